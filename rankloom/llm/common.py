@@ -60,3 +60,17 @@ def sum_by_text(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     total = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
     ends = np.cumsum(counts)
     return total[ends] - total[ends - counts]
+
+
+def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A table of a few rows that the driver made, as a literal that Spark itself unpacks."""
+    import json
+
+    from pyspark.sql import functions as F
+
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
+def power_of_two(x: float, most: int) -> int:
+    """The bits of the smallest power of two that is at least x, `most` of them at most."""
+    return max(0, min(most, int(np.ceil(np.log2(max(1.0, x))))))
