@@ -44,16 +44,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Dictionary content by language, from the first DOCS_PER_LANG training documents of each in hash order.
 
     Only rows with a text and a language outside the held-out part count. The first pass ranks ids without reading
-    texts (top-k by language, cut before the shuffle); the second reads the texts of the chosen ids alone, until
+    texts; the second reads the texts of the chosen ids alone, until
     each dictionary is full.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("g"), F.col(text_col).cast("string").alias("t"))
     rows = rows.where(F.col("g").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    order = Window.partitionBy("g").orderBy(F.xxhash64("i"), "i")
-    picks = rows.select("i", "g").withColumn("r", F.row_number().over(order)).where(F.col("r") <= DOCS_PER_LANG)
+    counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().limit(MAX_LANGS + 1).collect()}
+    if not counts:
+        return {}
+    # so few rows pass the first cut, a third more than are wanted, that no task ranks many of a common language
+    cut = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, DOCS_PER_LANG * 4 / 3 / n))))
+    part = F.shiftrightunsigned(F.xxhash64("i"), 11) / F.lit(float(1 << 53))
+    order = Window.partitionBy("g").orderBy(part, "i")
+    picks = rows.select("i", "g").where(part < cut[F.col("g")]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= DOCS_PER_LANG)
     chosen = picks.collect()  # at most DOCS_PER_LANG ids for each language
     ids, ranks = {r["i"] for r in chosen}, {(r["g"], r["i"]): r["r"] for r in chosen}
-    if len({r["g"] for r in chosen}) > MAX_LANGS:
+    if len(counts) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
     texts: dict[str, list] = {}
     # a text of over DICT_BYTES characters fills a dictionary alone, so no more of it is sent
