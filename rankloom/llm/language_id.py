@@ -7,6 +7,7 @@ that makes it smallest. A text whose best two sizes are too close is marked as r
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ DOCS_PER_LANG, DICT_BYTES, MAX_LANGS = 300, 32_768, 200
 PIECE_BYTES = 1024
 #: Texts whose margin is fewer bytes than this are rejected.
 MIN_MARGIN = 1
+#: Words of a run in a dictionary, and runs from one document at most.
+RUN_WORDS, RUNS_PER_DOC = 3, 60
 
 _NOT_LETTER = regex.compile(r"[^\p{L}]+")
 _state: dict = {}
@@ -65,7 +68,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     # a text of over DICT_BYTES characters fills a dictionary alone, so no more of it is sent
     for r in rows.where(F.col("i").isin(list(ids))).select("i", "g", F.substring("t", 1, DICT_BYTES).alias("t")).toLocalIterator():
         texts.setdefault(r["g"], []).append((ranks.get((r["g"], r["i"]), DOCS_PER_LANG + 1), r["t"]))
-    return {g: b"".join(folded(t) for _, t in sorted(found))[:DICT_BYTES] for g, found in sorted(texts.items())}
+    return {g: content([t for _, t in sorted(found)]) for g, found in sorted(texts.items())}
+
+
+def content(texts: list[str]) -> bytes:
+    """Dictionary content of a language: short runs of words from all sampled texts, shuffled.
+
+    No long passage stands in it whole, so a passage that texts of several languages share favours none of them.
+    """
+    rng = random.Random(len(texts))
+    runs = []
+    for text in texts:
+        words = folded(text).split()
+        own = [b" ".join(words[i : i + RUN_WORDS]) for i in range(0, len(words), RUN_WORDS)]
+        runs += rng.sample(own, min(len(own), RUNS_PER_DOC))
+    rng.shuffle(runs)
+    return (b" " + b" ".join(runs) + b" ")[:DICT_BYTES]
 
 
 class Classifier:
