@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import fingerprints, html_extract, language_id, mixing, quality, sharding, simhash, token_counts
+from rankloom.llm import fingerprints, html_extract, language_id, mixing, pii, quality, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_documents(spark, sf_dir))
 
 
+def op5_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -50,7 +54,8 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
-        op1_simhash_near_duplicates, op2_source_mixing, op3_quality_classifier, op4_document_fingerprints, op6_token_counts,
+        op1_simhash_near_duplicates, op2_source_mixing, op3_quality_classifier, op4_document_fingerprints,
+        op5_pii_spans, op6_token_counts,
         op7_sharding, op8_language_id, op10_html_extraction,
     )
     return {f.__name__: f for f in found}
