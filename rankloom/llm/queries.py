@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import fingerprints, html_extract, language_id, mixing, pii, quality, sharding, simhash, token_counts
+from rankloom.llm import decontamination, fingerprints, html_extract, language_id, mixing, pii, quality, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,15 +49,23 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_near_duplicates, op2_source_mixing, op3_quality_classifier, op4_document_fingerprints,
         op5_pii_spans, op6_token_counts,
-        op7_sharding, op8_language_id, op10_html_extraction,
+        op7_sharding, op8_language_id, op9_benchmark_decontamination, op10_html_extraction, pipeline,
     )
     return {f.__name__: f for f in found}
 
