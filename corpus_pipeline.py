@@ -1,4 +1,56 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicates, benchmark passages, source mix, shards.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from rankloom.llm import decontamination, language_id, mixing, sharding, simhash
+from rankloom.llm.common import staged
+
+
+def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or between two languages by the last byte, go."""
+    return language_id.keep_identified(docs, language_id.fit(docs))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar texts stays: the one with the smallest id."""
+    return simhash.one_of_each_group(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents stand as often as the mix takes them."""
+    return mixing.mixed_documents(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document of the mix."""
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("language_id", identified_language),
+    ("simhash_near_duplicates", without_near_duplicates),
+    ("benchmark_decontamination", without_benchmark),
+    ("source_mixing", mixed_to_weights),
+    ("sharding", sharded),
+]
+
+#: Compression, word hashing and seeded draws have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
