@@ -87,3 +87,16 @@ def match_contains(query: Column, value: Column) -> Column:
         .when(F.contains(value, query), 0.9 + 0.09 * n / m)
         .when(F.contains(query, value), 0.72 + 0.17 * m / n)
     )
+
+
+def exact_score(query: Column, title: Column, artist: Column, album: Column) -> Column:
+    """How well normalised names stand in a normalised query: title 6 as a phrase, 3 with all tokens, 1.5 * share from
+    half of them; artist 4, 2, share; album 1 as a phrase; 5 more if title and artist are both phrases."""
+    from rankloom.functions.text import overlap, phrase
+
+    def graded(value: Column, whole: float, full: float, part: float) -> Column:
+        share = overlap(query, value)
+        return F.when(phrase(query, value), whole).when(share == 1.0, full).when(share >= 0.5, part * share).otherwise(0.0)
+
+    both = F.when(phrase(query, title) & phrase(query, artist), 5.0).otherwise(0.0)
+    return F.round(graded(title, 6.0, 3.0, 1.5) + graded(artist, 4.0, 2.0, 1.0) + F.when(phrase(query, album), 1.0).otherwise(0.0) + both, 9)
