@@ -97,6 +97,6 @@ def ground_truth(messages: DataFrame, sessions: DataFrame, turns: int = 8) -> Da
 
     Turns with fewer messages have nulls, so that a check can count them."""
     said = messages.groupBy("session_id", "turn_number").agg(F.array_sort(F.collect_list(F.struct("pos", "content"))).alias("m"))
-    every = sessions.select("session_id", F.explode(F.sequence(F.lit(1), F.lit(turns))).cast("long").alias("turn_number"))
+    every = sessions.select("session_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(turns).cast("long"))).alias("turn_number"))
     rows = every.join(said, ["session_id", "turn_number"], "left")
     return rows.select("session_id", "turn_number", F.get("m", F.lit(1))["content"].alias("gold"), F.get("m", F.lit(2))["content"].alias("response"))

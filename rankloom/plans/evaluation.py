@@ -97,7 +97,7 @@ def duplicate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.missing(_gold(spark, sf_dir), retrieval.dense_topk(spark, sf_dir).where("query_id % 150 <> 0"))
+    return evaluation.missing(_gold(spark, sf_dir), retrieval.dense_topk(spark, sf_dir).where("score < 0.9"))
 
 
 def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +200,7 @@ SELECT round(n1, 6) AS ndcg_1, round(n10, 6) AS ndcg_10, round(n20, 6) AS ndcg_2
     "changed_by_spec": f"{_ARRAYS} SELECT specificity, count(*) FILTER (a <> b) AS changed, count(*) AS turns FROM x JOIN y USING (query_id) JOIN kinds USING (query_id) GROUP BY specificity",
     "candidate_lengths": f"WITH t AS ({retrieval.SQL['bm25_topk']}) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT query_id, count(*) AS n FROM t GROUP BY query_id)",
     "duplicate_predictions": "SELECT l_orderkey AS query_id, CAST(l_partkey AS VARCHAR) AS item_id, count(*) AS times FROM lineitem GROUP BY ALL HAVING count(*) > 1",
-    "missing_keys": f"{_DENSE} SELECT query_id FROM gold WHERE query_id NOT IN (SELECT query_id FROM r WHERE query_id % 150 <> 0)",
+    "missing_keys": f"{_DENSE} SELECT query_id FROM gold WHERE query_id NOT IN (SELECT query_id FROM r WHERE score < 0.9)",
     "eval_rollup": f"{_NDCG} SELECT specificity, half, round(avg(n20), 6) AS ndcg_20, count(*) AS turns FROM (SELECT *, CAST(query_id >= 250 AS INT) AS half FROM per JOIN kinds USING (query_id)) GROUP BY ROLLUP (specificity, half)",
     "points": f"{_DIVERSITY} SELECT config_id, round(greatest(0, least(10, 10 * (final_score - 0.05) / (0.25 - 0.05))), 4) AS points FROM sc",
     "replay_mismatches": f"{_ARRAYS} SELECT query_id FROM x FULL JOIN y USING (query_id) WHERE a IS DISTINCT FROM b",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("retrieval", "evaluation")
+MODULES = ("retrieval", "evaluation", "catalog", "playlists", "dialogue", "streams")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
