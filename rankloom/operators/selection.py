@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections import Counter
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rankloom.functions.scalars import duration_ms
 from rankloom.functions.text import plain
+from rankloom.operators.groups import by_group
 
 
 def classify_tags(tracks: DataFrame, aliases: DataFrame, id_col: str = "track_id") -> DataFrame:
@@ -90,19 +90,18 @@ def select_matches(scores: DataFrame, tracks: DataFrame, limit: int, key: str =
     artist; the better rank wins a tie."""
     rows = scores.join(tracks.select("track_id", F.transform("artist_name", plain).alias("artists")), "track_id").select(key, "rank", "track_id", "score", "artists")
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        pool = sorted(frame.itertuples(index=False), key=lambda r: r.rank)
+    def choose(pool: list[dict]) -> list[tuple]:
         seen: Counter = Counter()
-        out = []
+        out: list[tuple] = []
         while pool and len(out) < limit:
-            worth = [round(r.score - 0.12 * max((seen[a] for a in set(r.artists)), default=0), 9) for r in pool]
+            worth = [round(r["score"] - 0.12 * max((seen[a] for a in r["artists"]), default=0), 9) for r in pool]
             best = pool.pop(worth.index(max(worth)))
-            out.append((best[0], len(out) + 1, best.track_id))
-            seen.update(set(best.artists))
-        return pd.DataFrame(out, columns=[key, "place", "track_id"])
+            out.append((best[key], len(out) + 1, best["track_id"]))
+            seen.update(set(best["artists"]))
+        return out
 
     kind = scores.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(choose, f"{key} {kind}, place int, track_id string")
+    return by_group(rows, [key], ["rank"], choose, f"{key} {kind}, place int, track_id string")
 
 
 def select_diverse(candidates: DataFrame, tracks: DataFrame, tags: DataFrame, limit: int, wanted: DataFrame, key: str = "id") -> DataFrame:
@@ -116,13 +115,13 @@ def select_diverse(candidates: DataFrame, tracks: DataFrame, tags: DataFrame, li
     artist = F.when(F.size("artist_name") > 0, plain(F.get("artist_name", F.lit(0)))).otherwise("")
     rows = candidates.join(tracks.select("track_id", artist.alias("artist")), "track_id").join(held, "track_id", "left").join(asked, key, "left").select(key, "rank", "track_id", "artist", "features", "asked")
 
-    def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(frame.itertuples(index=False), key=lambda r: r.rank)
-        size = max(1, len(rows))
-        asked = set(rows[0].asked) if rows and rows[0].asked is not None else set()
+    def choose(rows: list[dict]) -> list[tuple]:
+        size, asked = max(1, len(rows)), set(rows[0]["asked"] or ())
         genres, moods = ({f for f in asked if f.startswith(p)} for p in ("genre/", "mood/"))
-        pool = [(i, r.track_id, r.artist, set(r.features) if r.features is not None else set()) for i, r in enumerate(rows)]
-        covered, chosen, out = set(), set(), []
+        pool = [(i, r["track_id"], r["artist"], set(r["features"] or ())) for i, r in enumerate(rows)]
+        covered: set = set()
+        chosen: set = set()
+        out: list[tuple] = []
 
         def worth(entry: tuple) -> float:
             i, _, artist, own = entry
@@ -133,13 +132,13 @@ def select_diverse(candidates: DataFrame, tracks: DataFrame, tags: DataFrame, li
         while pool and len(out) < limit:
             best = max(pool, key=worth)  # the first of equals
             pool.remove(best)
-            out.append((frame[key].iloc[0], len(out) + 1, best[1]))
+            out.append((rows[0][key], len(out) + 1, best[1]))
             covered |= genres & best[3]
             chosen |= {best[2]} - {""}
-        return pd.DataFrame(out, columns=[key, "place", "track_id"])
+        return out
 
     kind = candidates.schema[key].dataType.simpleString()
-    return rows.groupBy(key).applyInPandas(choose, f"{key} {kind}, place int, track_id string")
+    return by_group(rows, [key], ["rank"], choose, f"{key} {kind}, place int, track_id string")
 
 
 def target_minutes(text: Column) -> Column:
