@@ -50,6 +50,10 @@ CONTEXT = {
 }
 #: Characters of context on either side, EM rounds, probability from which a candidate becomes a span.
 NEAR, ROUNDS, ACCEPT = 24, 25, 0.9
+#: Candidates' worth of the kind's own share that is added to the counts of a feature value, so that rare values say little.
+PRIOR_COUNT = 2.0
+#: Matches of a text that are placed in one go.
+BLOCK = 512
 
 _VOTES = ("rule", "form", "list", "words", "edges")
 
@@ -84,7 +88,16 @@ def _matches(text: Column, kind: str, base: bool) -> Column:
         start = acc["at"] + F.length(x["p"])
         return F.struct((start + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), x["m"].alias("m")))).alias("out"))
 
-    located = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out")), add, lambda acc: acc["out"])
+    # arrays grow by copies, so matches are placed within blocks first, and then the blocks
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")), lambda i: F.slice(pairs, i * BLOCK + 1, BLOCK))
+    placed = F.transform(blocks, lambda b: F.aggregate(b, F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out")), add))
+
+    def follow(acc: Column, b: Column) -> Column:
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("o"), b["out"].alias("b")))).alias("out"))
+
+    none_yet = F.array().cast(f"array<struct<o:int,b:{empty}>>")
+    followed = F.aggregate(placed, F.struct(F.lit(0).alias("at"), none_yet.alias("out")), follow, lambda acc: acc["out"])
+    located = F.flatten(F.transform(followed, lambda x: F.transform(x["b"], lambda r: F.struct((x["o"] + r["s"]).alias("s"), r["m"].alias("m")))))
 
     def candidate(x: Column) -> Column:
         end = x["s"] + F.length(x["m"])
@@ -189,12 +202,13 @@ def train(found: DataFrame) -> dict[str, float]:
     weight = F.coalesce(F.element_at(_literal_map(post), F.concat_ws("/", "kind", "votes")), F.lit(0.5))
     weighed = each.select("kind", F.explode(F.array_append(F.col("features"), F.lit(""))).alias("f"), weight.alias("w"))
     sums = weighed.groupBy("kind", "f").agg(F.sum("w").alias("yes"), F.sum(1 - F.col("w")).alias("no")).collect()
-    whole = {r["kind"]: (r["yes"], r["no"]) for r in sums if r["f"] == ""}
+    whole = {r["kind"]: (r["yes"] + 0.5, r["no"] + 0.5) for r in sums if r["f"] == ""}
     out = {}
     for r in sums:
         yes, no = whole[r["kind"]]
-        prior = math.log((yes + 1) / (no + 1))
-        out[f"{r['kind']}/{r['f']}"] = prior if r["f"] == "" else math.log((r["yes"] + 1) / (yes + 8)) - math.log((r["no"] + 1) / (no + 8))
+        prior = math.log(yes / no)
+        share = PRIOR_COUNT * yes / (yes + no)
+        out[f"{r['kind']}/{r['f']}"] = prior if r["f"] == "" else math.log((r["yes"] + share) / (r["no"] + PRIOR_COUNT - share)) - prior
     return out
 
 
