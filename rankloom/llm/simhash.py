@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from rankloom.llm import shingles
 from rankloom.llm.common import slices, staged
 
 BITS, BLOCKS = 64, 4
@@ -303,8 +304,14 @@ PLANES, EDGES = 8, b".,;:"
 
 def word_fingerprints(text: str | None, planes: int = PLANES) -> np.ndarray:
     """`planes` independent fingerprints of the set of lower-cased words of a text, without stops at their ends."""
-    words = {w.strip(EDGES) for w in (text or "").encode("utf-8", "replace").lower().split()}
-    words.discard(b"")
+    return _of_words(set(_words(text)), planes)
+
+
+def _words(text: str | None) -> list[bytes]:
+    return [w for w in (w.strip(EDGES) for w in (text or "").encode("utf-8", "replace").lower().split()) if w]
+
+
+def _of_words(words: set[bytes], planes: int) -> np.ndarray:
     if not words:
         return np.zeros(planes, np.uint64)
     base = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -319,12 +326,22 @@ def word_fingerprints(text: str | None, planes: int = PLANES) -> np.ndarray:
     return np.packbits(ones * 2 > len(base), bitorder="little").view("<u8")
 
 
+def _signed(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+
+
 def similar_groups(docs: DataFrame, planes: int = PLANES, hot_tile: int = HOT_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, signature, component_id) of every row: groups of texts of a similarity of 0.8 or more on 5-word shingles.
 
-    A replaced word spoils five shingles but one word, so texts that similar share some 98 of 100 words, and 3 bits in
-    64 is what that much differs in on average. Texts link when any of `planes` independent fingerprints of their word
-    sets are within 3 bits, each found by the trie self-join; eight find 97 of 100 pairs at 0.8 and more above it.
+    Texts link when any of `planes` independent fingerprints of their word sets are within 3 bits, each found by the
+    trie self-join, or when their shingle sets are that similar. The fingerprints find most texts with single words
+    replaced, and some below 0.8; an appended, cut or swapped passage changes too many words at once for them, and
+    those pairs are found by shingles.links, which proposes by MinHash and decides by the exact sets.
     Texts with no word have signature 0 and stay alone: nothing says that they are copies, unless they are equal.
     """
     kind = docs.schema[id_col].dataType.simpleString()
@@ -332,13 +349,20 @@ def similar_groups(docs: DataFrame, planes: int = PLANES, hot_tile: int = HOT_TI
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column(1).to_pylist()
-            found = np.array([word_fingerprints(t, planes) for t in texts], np.uint64).reshape(len(texts), planes)
+            words = [_words(t) for t in texts]
+            found = np.array([_of_words(set(w), planes) for w in words], np.uint64).reshape(len(texts), planes)
             alike = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) if not f.any() else xxhash.xxh3_64_intdigest(f.tobytes()) for t, f in zip(texts, found)]
-            offsets = pa.array(np.arange(0, found.size + 1, planes, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(alike, np.uint64).view(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(found.ravel().view(np.int64)))], ["doc_id", "signature", "fps"])
-
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = staged(texts.mapInArrow(run, f"doc_id {kind}, signature long, fps array<long>"), "word-fingerprints")
+            sets = [shingles.shingle_set(w) for w in words]
+            blobs = [s.tobytes() for s in sets]
+            same = [xxhash.xxh3_64_intdigest(s) for s in blobs]
+            keys = [shingles.band_keys(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), _signed(alike), _lists(found.ravel(), np.full(len(texts), planes)), _signed(same), _lists(np.concatenate(keys), np.array(list(map(len, keys)))), pa.array(blobs, pa.binary())],
+                ["doc_id", "uid", "signature", "fps", "alike", "bands", "shingles"],
+            )
+
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = staged(texts.mapInArrow(run, f"doc_id {kind}, uid long, signature long, fps array<long>, alike long, bands array<long>, shingles binary"), "word-fingerprints")
     nodes = rows.groupBy("signature").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"))
     nodes = staged(nodes, "signatures")
     each = nodes.where(F.exists("fps", lambda x: x != 0)).select("signature", F.posexplode("fps").alias("plane", "fp"))
@@ -347,7 +371,7 @@ def similar_groups(docs: DataFrame, planes: int = PLANES, hot_tile: int = HOT_TI
     near = links(heads.select("fp", "plane"), hot_tile)
     near = near.join(heads.select("plane", F.col("fp").alias("a"), F.col("head").alias("u")), ["plane", "a"])
     near = near.join(heads.select("plane", F.col("fp").alias("b"), F.col("head").alias("v")), ["plane", "b"]).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    groups = components(same.union(near).distinct())
+    groups = components(same.union(near).union(shingles.links(rows)).distinct())
     named = nodes.join(groups, nodes.signature == groups.node, "left").select("signature", "first", F.coalesce("component", "signature").alias("g"))
     named = staged(named, "groups")
     smallest = named.groupBy("g").agg(F.min("first").alias("component_id"))
