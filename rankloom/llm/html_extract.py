@@ -3,11 +3,12 @@
 The DOMs of a host's pages are merged: an element is known by the tags and classes from the root down to it. For each
 element of the merged tree, over all pages of the host, two entropies are computed: of its presentation (which
 sequences of child tags it has) and of its content (on how many pages each of its texts stands). A text that is the
-same on every page says nothing; a branch whose importance is low is removed from each page. What an element is by its
-own name (a menu, a form, an article) comes before what the entropy says, as a host may have only one page.
+same on every page says nothing; a branch whose importance is low is removed from each page, in articles as well. What
+an element is by its own name (a menu, a form) comes before what the entropy says, as a host may have only one page; of
+articles, main elements and the rest of the page, the importance of their text chooses.
 
 The merged tree is never held anywhere: pages add counts to (host, element, feature) rows, which are summed before and
-after one shuffle, and a page is read against the few low elements of its host.
+after one shuffle, and a page is read against the few weak elements of its host.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from rankloom.llm.common import slices, staged
 
 #: Elements of fewer pages are not judged; importance under which a branch goes; weight of presentation in it.
 LEAST_PAGES, LOW, PRESENTATION = 3, 0.2, 0.1
+#: Importance from which on an element counts in full; share of the text outside articles under which an article beside it is a teaser.
+FULL, TEASER = 0.9, 0.25
 
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -71,17 +74,18 @@ def _element(tag: str, attrs: str) -> tuple[str, bool]:
     return ".".join([tag, *names]), drop
 
 
-def parse(page: str | None) -> tuple[list[tuple[str, int, bool, bool]], list[tuple[int, int]]]:
+def parse(page: str | None) -> tuple[list[tuple[str, int, bool, int]], list[tuple[int, int]]]:
     """(text blocks, elements) of a page.
 
-    A block is (text, element, dropped, inside an article); an element is (path, hash of its child tags), once for
+    A block is (text, element, dropped, number of the outermost article or main it is in or 0); an element is (path, hash of its child tags), once for
     each time it stands on the page. Broken markup is read as browsers do in the common cases: p, li, td and their
     like close each other, an end tag closes what is open inside it, a stray end tag is nothing.
     """
-    blocks: list[tuple[str, int, bool, bool]] = []
+    blocks: list[tuple[str, int, bool, int]] = []
     elements: list[tuple[int, int]] = []
-    # open elements: tag, path, dropped, in article, child tags
-    stack: list[tuple[str, int, bool, bool, list[str]]] = [("", 0, False, False, [])]
+    # open elements: tag, path, dropped, article, child tags
+    stack: list[tuple[str, int, bool, int, list[str]]] = [("", 0, False, 0, [])]
+    articles = 0
     text: list[str] = []
     at: list[tuple] = []
     skip = ""
@@ -160,7 +164,10 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, bool, bool]], list[tup
         if tag == "header" and parent[3] and drop:
             drop = _element("div", m[3])[1]
         path = xxhash.xxh64_intdigest(f"{parent[1]}/{name}") >> 1
-        stack.append((tag, path, parent[2] or drop, parent[3] or (tag in _MAIN and not drop), []))
+        article = parent[3]
+        if not article and tag in _MAIN and not drop:
+            article = articles = articles + 1
+        stack.append((tag, path, parent[2] or drop, article, []))
     flush()
     while len(stack) > 1:
         close()
@@ -173,14 +180,27 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^www\.", "", m[1].lower()) if m else ""
 
 
-def main_text(page: str | None, low: frozenset[int] = frozenset()) -> str:
-    """The blocks of the article in page order, joined by an empty line; '' if there is none.
+def main_text(page: str | None, low: frozenset[int] = frozenset(), weak: dict[int, float] | None = None) -> str:
+    """The blocks of the main text in page order, joined by an empty line; '' if there is none.
 
-    A page with text in an article or main element is read there alone; another without its low elements.
+    Low elements go wherever they stand. Of the rest, each article or main element and all text outside of them are
+    candidates, which weigh the sum of their characters times importance (`weak`, 1 if not given). If none of the
+    articles is outweighed by the text outside, the articles are read; else the text outside, and of the articles those
+    that are no teasers beside it. On a page of low elements alone, as of copies of one page, the articles are read.
     """
     blocks, _ = parse(page)
-    inside = [t for t, _, drop, article in blocks if article and not drop]
-    return "\n\n".join(inside or [t for t, path, drop, _ in blocks if not drop and path not in low])
+    kept = [(t, path, article) for t, path, drop, article in blocks if not drop and path not in low]
+    if not kept:
+        return "\n\n".join(t for t, _, drop, article in blocks if article and not drop)
+    weights: dict[int, float] = defaultdict(float)
+    for t, path, article in kept:
+        weights[article] += len(t) * (weak.get(path, 1.0) if weak else 1.0)
+    outside = weights.pop(0, 0.0)
+    if outside > max(weights.values(), default=0.0):
+        chosen = {0} | {article for article, weight in weights.items() if weight >= TEASER * outside}
+    else:
+        chosen = set(weights)
+    return "\n\n".join(t for t, _, article in kept if article in chosen)
 
 
 def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -237,21 +257,25 @@ def style_tree(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def extract(pages: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; null html is empty, a page without an article's text has ''.
+    """(page_id, url, text, n_chars) of every row; null html is empty, a page without a main text has ''.
 
-    Pages of null or odd URLs share the host ''. Repeated rows and null ids stay. The low elements of hosts are written
+    Pages of null or odd URLs share the host ''. Repeated rows and null ids stay. The weak elements of hosts are written
     first; Spark broadcasts them if they are small by its own threshold, and else joins by host with its skew handling.
     """
     tree = style_tree(pages, url_col, html_col)
-    gone = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < low))
-    gone = staged(gone.groupBy("host").agg(F.collect_set("element").alias("low")), "low-elements")
+    judged = tree.where((F.col("pages") >= least_pages) & (F.col("importance") < max(low, FULL)))
+    judged = judged.groupBy("host").agg(F.collect_list(F.struct("element", "importance")).alias("weak"))
+    judged = staged(judged.select("host", F.col("weak.element").alias("weak"), F.col("weak.importance").alias("importance")), "weak-elements")
     kind = pages.schema[id_col].dataType.simpleString()
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"^www\.", "")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")).join(gone, "host", "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host")).join(judged, "host", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            texts = [main_text(h, frozenset(low or ())) for h, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            texts = []
+            for page, paths, importance in zip(*(b.column(c).to_pylist() for c in (2, 3, 4))):
+                weak = dict(zip(paths or (), importance or ()))
+                texts.append(main_text(page, frozenset(p for p, x in weak.items() if x < low), weak))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "low").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "weak", "importance").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
