@@ -13,7 +13,7 @@ from rankloom.llm.common import staged
 
 
 def identified_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or between two languages by the last byte, go."""
+    """Documents without a letter, or whose language is not clear, go."""
     return language_id.keep_identified(docs, language_id.fit(docs))
 
 
