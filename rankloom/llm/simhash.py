@@ -347,14 +347,14 @@ def similar_groups(docs: DataFrame, planes: int = PLANES, hot_tile: int = HOT_TI
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 20):
             texts = b.column(1).to_pylist()
             words = [_words(t) for t in texts]
             found = np.array([_of_words(set(w), planes) for w in words], np.uint64).reshape(len(texts), planes)
             alike = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) if not f.any() else xxhash.xxh3_64_intdigest(f.tobytes()) for t, f in zip(texts, found)]
             sets = [shingles.shingle_set(w) for w in words]
-            blobs = [s.tobytes() for s in sets]
-            same = [xxhash.xxh3_64_intdigest(s) for s in blobs]
+            same = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
+            blobs = [shingles.packed(s) for s in sets]
             keys = [shingles.band_keys(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), _signed(alike), _lists(found.ravel(), np.full(len(texts), planes)), _signed(same), _lists(np.concatenate(keys), np.array(list(map(len, keys)))), pa.array(blobs, pa.binary())],

@@ -54,7 +54,7 @@ def test_links_connect_what_brute_force_connects(spark):
             texts.append(" ".join(copy))
     sets = [shingles.shingle_set(t.encode().split()) for t in texts]
     same = [xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets]
-    rows = [(i, i, same[i], [int(k) for k in shingles.band_keys(s).view(np.int64)], s.tobytes()) for i, s in enumerate(sets)]
+    rows = [(i, i, same[i], [int(k) for k in shingles.band_keys(s).view("<i8")], shingles.packed(s)) for i, s in enumerate(sets)]
     frame = spark.createDataFrame(rows, "uid long, signature long, alike long, bands array<long>, shingles binary")
 
     def connected(links):
