@@ -4,9 +4,9 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
-SF = "/root/testdata/sf0.001"
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
+
+from places import ROOT, SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -5,7 +5,7 @@ import importlib.util
 import subprocess
 import sys
 
-from conftest import ROOT, SF
+from places import ROOT
 
 
 def test_entry(spark):
