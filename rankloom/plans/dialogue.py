@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankloom.functions import aliases, messages as M
 from rankloom.operators import context, search, selection
@@ -63,65 +65,79 @@ def goal_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.goal_query(_recent(spark, sf_dir, 10), adapters.sessions(spark, sf_dir))
 
 
-#: Messages whose readings are written out in the SQL: (text, route, title, artist, canonical form of a follow-up, theme).
+#: What is said about every track, dealt by its number; {t} is its title, {a} its artist, {w} the first word of its title.
 SAID = (
-    ("Add Numb by Linkin Park", "add", "Numb", "Linkin Park", "Add Numb by Linkin Park", None),
-    ("please remove the song \"Africa\" from my playlist.", "remove", "Africa", None, "please remove the song \"Africa\" from my playlist.", None),
-    ("Show my playlist", "view", None, None, "Show my playlist", None),
-    ("clear the playlist", "clear", None, None, "clear the playlist", None),
-    ("what can you do?", "help", None, None, "what can you do?", None),
-    ("recommend some songs like these", "recommend", None, None, "recommend some songs like these", None),
-    ("Create a workout playlist", "create", None, None, "Create a workout playlist", "workout"),
-    ("could you make me a short jazz playlist for tonight, please", "create", None, None, "could you make me a short jazz playlist for tonight, please", "short jazz"),
-    ("Do you know when did it drop?", "question", None, None, "When was this song released?", None),
-    ("who sang it?", "question", None, None, "who sang this song?", None),
-    ("what else is by them", "question", None, None, "what else is by this artist", None),
-    ("Who made Africa?", "question", None, None, "Who performs Africa?", None),
-    ("I want sad love songs playlist", "create", None, None, "I want sad love songs playlist", "sad love songs"),
-)
-
-
-def _said(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, m[0]) for i, m in enumerate(SAID)], "query_id int, text string")
+    "Add {t} by {a}", 'please remove the song "{t}" from my playlist.', "I'd like you to put {t} into the playlist", "could you take out {t} by {a}", "Show me {w} playlist", "clear the playlist of {w}", "what else would fit with the songs of {a}",
+    "Create a {w} workout playlist", "Do you know when did {t} drop?", "Who made {t}?", "what is {t} by {a}", "suggest some music like {t}", "who sang that?", "show {w} songs from them",
+)
+#: Themes, dealt by order; requests for a playlist, dealt by line number.
+THEMES = ("jazz", "short commute", "gym", "sad love", "quick", "long trip rock", "wooden", "happy")
+ASKED = ("Create a {w} {x} playlist for tonight", "could you make me some {x} music of {w}, please", "I want {x} songs {w}. Could you put together that?", "build the {w} playlist")
+#: Choices among the tracks of a list; {k} and {m} are numbers of the order.
+CHOICES = ("Add first, last and {k}", "the first {m}", "option {k} please", "add the {k} coming", "{k} and {m}, last", "could you select 2nd and {m} in my playlist?")
+
+
+def _dealt(templates: tuple[str, ...], number: Column, **fill: Column) -> Column:
+    """The template of a row's number with its places filled."""
+
+    def filled(template: str) -> Column:
+        return F.concat(*(fill[part[1:-1]] if part.startswith("{") else F.lit(part) for part in re.split(r"(\{\w\})", template) if part))
+
+    return F.element_at(F.array(*map(filled, templates)), (number % len(templates) + 1).cast("int"))
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message about every track, and all user messages of the dialogues."""
+    part = adapters.table(spark, sf_dir, "part")
+    about = _dealt(SAID, F.col("p_partkey"), t=F.col("p_name"), a=F.col("p_brand"), w=F.substring_index("p_name", " ", 1))
+    talk = adapters.table(spark, sf_dir, "conversations").where("role = 'user'")
+    ours = part.select(F.concat(F.lit("track "), "p_partkey").alias("query_id"), about.alias("text"))
+    return ours.unionByName(talk.select(F.concat_ws(" ", F.lit("dialogue"), "conv_id", "turn").alias("query_id"), "text"))
 
 
 def route_message(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _said(spark).select("query_id", M.route(F.col("text")).alias("route"))
+    return _said(spark, sf_dir).select("query_id", M.route(F.col("text")).alias("route"))
 
 
 def routed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many user messages go each way."""
-    talk = adapters.table(spark, sf_dir, "conversations").where("role = 'user'")
-    return talk.groupBy(M.route(F.col("text")).alias("route")).agg(F.count("*").alias("messages"))
+    """How many messages go each way."""
+    return _said(spark, sf_dir).groupBy(M.route(F.col("text")).alias("route")).agg(F.count("*").alias("messages"))
 
 
 def split_title_artist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entity = M.entity_of(F.col("text"))
-    return _said(spark).where(M.route(F.col("text")).isin("add", "remove")).select("query_id", M.title_of(entity).alias("title"), M.artist_of(entity).alias("artist"))
+    rows = _said(spark, sf_dir).where(M.route(F.col("text")).isin("add", "remove")).select("query_id", M.entity_of(F.col("text")).alias("entity"))
+    return rows.select("query_id", M.title_of(F.col("entity")).alias("title"), M.artist_of(F.col("entity")).alias("artist"))
 
 
 def canonicalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _said(spark).select("query_id", M.canonical(F.col("text"), F.lit(True), F.lit(True)).alias("text"))
+    """Every third message follows on a known track, every second on a known artist."""
+    rows = _said(spark, sf_dir).where("query_id like 'track %'").withColumn("n", F.substring_index("query_id", " ", -1).cast("long"))
+    return rows.select("query_id", M.canonical(F.col("text"), F.col("n") % 3 != 0, F.col("n") % 2 == 0).alias("text"))
 
 
-def playlist_description(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _said(spark).where(M.route(F.col("text")) == "create").select("query_id", M.playlist_description(F.col("text")).alias("theme"))
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for a playlist about every line of every order."""
+    lines = adapters.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").distinct()
+    part = adapters.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.substring_index("p_name", " ", 1).alias("w"))
+    x = F.element_at(F.array(*map(F.lit, THEMES)), (F.col("l_orderkey") % len(THEMES) + 1).cast("int"))
+    return lines.join(part, "l_partkey").select("l_orderkey", "l_linenumber", "l_partkey", x.alias("x"), _dealt(ASKED, F.col("l_linenumber"), w=F.col("w"), x=x).alias("text"))
 
 
-THEMES = (("short commute", "easy listening relaxed music"), ("gym", "energetic upbeat exercise music"), ("sad love", "sad romantic love songs"), ("quick", "music"), ("long trip rock", "rock"))
+def playlist_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _requests(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", M.playlist_description(F.col("text")).alias("theme"))
 
 
 def rewrite_playlist_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(THEMES)], "query_id int, theme string")
-    return rows.select("query_id", M.rewritten_description(F.col("theme")).alias("query"))
-
-
-CHOICES = (("Add first, last and first", 5, [0, 4]), ("Add first, second and ninth", 5, []), ("the first two", 3, [0, 1]), ("2", 5, [1]), ("option 3 please", 5, [2]), ("add the second coming", 5, None), ("1st and 3rd songs", 4, [0, 2]))
+    rows = _requests(spark, sf_dir).withColumn("theme", M.playlist_description(F.col("text"))).where("theme is not null")
+    return rows.groupBy("theme").agg(F.count("*").alias("requests")).select("theme", "requests", M.rewritten_description(F.col("theme")).alias("query"))
 
 
 def selected_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(i, t, n) for i, (t, n, _) in enumerate(CHOICES)], "query_id int, text string, n int")
-    return rows.select("query_id", F.array_join(M.selected_positions("text", "n").cast("array<string>"), ",").alias("places"))
+    """A choice for every order, among as many suggestions as its customer's number allows."""
+    orders = adapters.table(spark, sf_dir, "orders")
+    k, m = (F.col("o_orderkey") % 7).cast("string"), (F.col("o_custkey") % 4).cast("string")
+    rows = orders.select(F.col("o_orderkey").alias("query_id"), _dealt(CHOICES, F.col("o_orderkey"), k=k, m=m).alias("text"), (F.col("o_custkey") % 6 + 1).cast("int").alias("n"))
+    return rows.select("query_id", F.array_join(M.selected_positions(F.col("text"), F.col("n")).cast("array<string>"), ",").alias("places"))
 
 
 def extract_prefs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,10 +223,22 @@ def _text(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-def _values(rows: list[tuple], names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(str(v) if isinstance(v, int) else _text(v) for v in r) + ')' for r in rows)}) t({names})"
+def _case(templates: tuple[str, ...], number: str, **fill: str) -> str:
+    """The template of a row's number in SQL."""
+    filled = ("concat(" + ", ".join(fill[part[1:-1]] if part.startswith("{") else _text(part) for part in re.split(r"(\{\w\})", t) if part) + ")" for t in templates)
+    return f"CASE {number} % {len(templates)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(filled)) + " END"
 
 
+_SAID = f"""said AS (SELECT concat('track ', p_partkey) AS query_id, p_partkey AS n, p_partkey % {len(SAID)} AS k, p_name AS t, p_brand AS a, {_case(SAID, "p_partkey", t="p_name", a="p_brand", w="string_split(p_name, ' ')[1]")} AS text FROM part
+  UNION ALL SELECT concat('dialogue ', conv_id, ' ', turn), NULL, NULL, NULL, NULL, text FROM conversations WHERE role = 'user'),
+heard AS (SELECT *, concat(' ', array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+'), ' '), ' ') AS s FROM said),
+routed AS (SELECT *, CASE WHEN trim(s) = '' THEN NULL WHEN regexp_matches(s, '^ (please )?help (me )?$| what can you do | how (do|can) i use | what can i ask | what do you do ') THEN 'help'
+  WHEN (regexp_matches(s, ' (recommend|suggest)(s|ion|ions|ation|ations)? ') AND regexp_matches(s, ' (songs?|tracks?|music|something|playlist|few more|more like|like these) ')) OR (regexp_matches(s, ' what else .*(sound good|goe?s? well|fit) ') AND regexp_matches(s, ' (songs?|tracks?|playlist|have) ')) THEN 'recommend'
+  WHEN (regexp_matches(s, ' (create|make|build|generate|put together) ') AND regexp_matches(s, ' (playlist|songs|tracks|music) ')) OR regexp_matches(s, ' put together (.* )?(some|an?) ') OR regexp_matches(s, ' (give me|i want|i need) (.* )?playlist ') THEN 'create'
+  WHEN regexp_matches(s, ' (show|view|display|see|list) (.* )?playlist | what (s|is) (on|in) (my|the) playlist ') THEN 'view' WHEN regexp_matches(s, ' (clear|empty|reset|delete all|remove all) (.* )?playlist ') THEN 'clear'
+  WHEN regexp_matches(s, '^ ((please|could|can|would|will|you|i|d|like|to|want) )*(add|put|include) .') THEN 'add' WHEN regexp_matches(s, '^ ((please|could|can|would|will|you|i|d|like|to|want) )*(remove|delete|take out) .') THEN 'remove' ELSE 'question' END AS route FROM heard)"""
+_ASKED = f"""lines AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_linenumber % {len(ASKED)} AS k, string_split(p_name, ' ')[1] AS w, {_case(THEMES, "l_orderkey")} AS x FROM lineitem JOIN part ON p_partkey = l_partkey),
+themes AS (SELECT *, CASE WHEN k = 3 OR x = 'wooden' THEN NULL WHEN k = 0 THEN concat(w, ' ', x) WHEN k = 1 THEN concat(x, ' ', w) WHEN x = 'sad love' THEN concat(x, ' songs ', w) ELSE concat(x, ' ', w) END AS theme FROM lines)"""
 _ALL = f"WITH {ctes.CATALOG}, {ctes.MESSAGES}, {ctes.SESSIONS}"
 _META = "concat('track_id: ', track_id, ', track_name: ', p_name, ', artist_name: ', p_brand, ', album_name: ', p_type)"
 _COMPACT = lambda n: f"concat('track ', p_name, '; artist ', p_brand, '; album ', p_type, '; tags ', array_to_string(tag_list[1:{n}], ', '))"
@@ -246,12 +274,16 @@ SELECT session_id, turn_number, specificity, CASE specificity WHEN 'HH' THEN {_J
   ELSE {_JOIN(_BLOCK("CURRENT REQUEST", "r", 2), _BLOCK("DISCOVERY GOAL", "g", 2), _BLOCK("PREVIOUS USER PREFERENCES", _LINES("u")), _BLOCK("RECENT MUSIC CONTEXT", _LINES("m")), _BLOCK("USER MUSIC PREFERENCE", "p"))} END AS query FROM x""",
     "goal_query": f"""{_RECENT(10)}, x AS (SELECT session_id, turn_number, request AS r, concat_ws('. ', nullif(listener_goal, ''), 'specificity ' || specificity) AS g, requests AS u, music AS m, CASE WHEN culture <> '' THEN concat('preferred musical culture ', culture) ELSE '' END AS p FROM rec LEFT JOIN sess USING (session_id))
 SELECT session_id, turn_number, {_JOIN(_BLOCK("CURRENT USER REQUEST", "r"), _BLOCK("MAIN MUSIC REQUEST", "r"), _BLOCK("CONVERSATION GOAL", "g"), _BLOCK("RECENT USER REQUESTS", _LINES("u")), _BLOCK("RECENT MUSIC CONTEXT", _LINES("m")), _BLOCK("USER MUSIC PREFERENCE", "p"))} AS query FROM x""",
-    "route_message": _values([(i, m[1]) for i, m in enumerate(SAID)], "query_id, route"),
-    "split_title_artist": _values([(i, m[2], m[3]) for i, m in enumerate(SAID) if m[1] in ("add", "remove")], "query_id, title, artist"),
-    "canonicalize": _values([(i, m[4]) for i, m in enumerate(SAID)], "query_id, text"),
-    "playlist_description": _values([(i, m[5]) for i, m in enumerate(SAID) if m[1] == "create"], "query_id, theme"),
-    "rewrite_playlist_query": _values([(i, t) for i, (_, t) in enumerate(THEMES)], "query_id, query"),
-    "selected_positions": _values([(i, None if p is None else ",".join(map(str, p))) for i, (_, _, p) in enumerate(CHOICES)], "query_id, places"),
+    "route_message": f"WITH {_SAID} SELECT query_id, route FROM routed",
+    "routed_requests": f"WITH {_SAID} SELECT route, count(*) AS messages FROM routed GROUP BY 1",
+    "split_title_artist": f"""WITH {_SAID} SELECT query_id, CASE WHEN t IS NOT NULL THEN t END AS title, CASE WHEN k IN (0, 3) THEN a END AS artist FROM routed WHERE route IN ('add', 'remove')""",
+    "canonicalize": f"""WITH {_SAID} SELECT query_id, CASE WHEN k = 8 THEN concat('When was ', t, ' released?') WHEN k = 9 THEN concat('Who performs ', t, '?') WHEN k = 12 AND n % 3 <> 0 THEN 'who sang this song?' WHEN k = 13 AND n % 2 = 0 THEN replace(text, 'from them', 'from this artist') ELSE text END AS text FROM said WHERE n IS NOT NULL""",
+    "playlist_description": f"WITH {_ASKED} SELECT l_orderkey, l_linenumber, l_partkey, theme FROM themes",
+    "rewrite_playlist_query": f"""WITH {_ASKED}, q AS (SELECT *, array_to_string(list_filter([CASE WHEN k = 0 THEN w ELSE '' END, CASE x WHEN 'jazz' THEN x WHEN 'happy' THEN x WHEN 'long trip rock' THEN 'rock' WHEN 'sad love' THEN concat('sad romantic love songs', CASE WHEN k = 2 THEN ' songs' ELSE '' END) ELSE '' END,
+  CASE WHEN k > 0 THEN w ELSE '' END, CASE x WHEN 'gym' THEN 'energetic upbeat exercise music' WHEN 'short commute' THEN 'easy listening relaxed music' ELSE '' END], lambda v: v <> ''), ' ') AS query FROM themes WHERE theme IS NOT NULL) SELECT theme, count(*) AS requests, any_value(query) AS query FROM q GROUP BY theme""",
+    "selected_positions": """WITH o AS (SELECT o_orderkey AS query_id, o_orderkey % 6 AS c, CAST(o_orderkey % 7 AS INT) AS k, CAST(o_custkey % 4 AS INT) AS m, CAST(o_custkey % 6 + 1 AS INT) AS n FROM orders),
+p AS (SELECT query_id, c, n, CASE c WHEN 0 THEN [1, n, k] WHEN 1 THEN CASE WHEN m = 0 THEN [0] ELSE range(1, m + 1) END WHEN 2 THEN [k] WHEN 4 THEN [k, m, n] WHEN 5 THEN [2, m] END AS p FROM o)
+SELECT query_id, CASE WHEN p IS NULL THEN NULL WHEN len(list_filter(p, lambda x: x < 1 OR x > n)) > 0 THEN '' ELSE array_to_string([x - 1 FOR x, i IN p IF list_position(p, x) = i], ',') END AS places FROM p""",
     "extract_prefs": "WITH alias(kind, alias, canonical) AS (VALUES " + ", ".join(str(r) for r in aliases.rows(aliases.SYNTHETIC)) + f") SELECT DISTINCT p_partkey, kind, canonical AS feature FROM part, alias WHERE kind <> 'style' AND contains(concat(' ', {ctes.plain('p_name')}, ' '), concat(' ', alias, ' '))",
     "entity_mentions": f"WITH {ctes.CATALOG}, {C.INDEX}, {_SPANS} SELECT * FROM found",
     "slot_match": f"WITH {ctes.CATALOG}, {C.INDEX} SELECT ord AS query_id, kind, name FROM cat JOIN idx ON replace(name, ' ', '') = replace({C._WORDS('p_name')}, ' ', '') WHERE kind = 'title' AND \"full\"",

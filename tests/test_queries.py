@@ -7,7 +7,7 @@ from rankloom.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries without SQL, held against brute force in other tests.
-NO_SQL = {"match_score_fuzzy", "search_tracks", "add_by_text", "remove_by_text", "playlist_select", "diverse_select", "routed_requests", "entity_select", "entity_fuzzy", "mask", "slot_match_fuzzy", "grid_fusion"}
+NO_SQL = {"match_score_fuzzy", "search_tracks", "add_by_text", "remove_by_text", "playlist_select", "diverse_select", "entity_select", "entity_fuzzy", "mask", "slot_match_fuzzy", "grid_fusion"}
 
 
 def test_inventory():
