@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.functions import aliases, messages as M
 from rankloom.operators import playlists as P, selection
 from rankloom.plans import ctes
-from rankloom.sources import adapters
+from rankloom.sources import adapters, storage
 
 _POSITION = ["line", "track_id", "supp", "price"]
 
@@ -18,9 +18,10 @@ def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _features(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(tracks, tags, styles) under the aliases that fit part names."""
+    """(tracks, tags, styles) under the aliases that fit part names. Tags and styles are read several times, so they are
+    written once."""
     tracks, table = adapters.catalog(spark, sf_dir), aliases.table(spark, aliases.SYNTHETIC)
-    return tracks, selection.classify_tags(tracks, table), selection.track_style(tracks, table)
+    return tracks, storage.staged(selection.classify_tags(tracks, table), "tags"), storage.staged(selection.track_style(tracks, table), "styles")
 
 
 def _present(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def playlist_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _choice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(lists, seeds, candidates): every list, its tracks, and twenty candidates from all over the catalog."""
-    seeds = adapters.entries(spark, sf_dir).select("id", "track_id").distinct()
+    seeds = storage.staged(adapters.entries(spark, sf_dir).select("id", "track_id").distinct(), "seeds")
     n = adapters.catalog(spark, sf_dir).count()
     ids = seeds.select("id").distinct()
     candidates = ids.select("id", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("rank")).withColumn("track_id", ((F.col("id") * 7 + F.col("rank") * 13) % n).cast("string"))
@@ -144,6 +145,7 @@ def explain_recs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each candidate was proposed: what it shares with the list, the first three names."""
     _, seeds, candidates = _choice(spark, sf_dir)
     tracks, tags, styles = _features(spark, sf_dir)
+
     def shared(features: DataFrame) -> DataFrame:
         own = candidates.select("id", "track_id").distinct().join(features, "track_id")
         held = seeds.join(features, "track_id").select("id", "feature").distinct()
@@ -165,8 +167,8 @@ THEMES = ("Create a short calm playlist", "Make me a road trip playlist with roc
 
 def build_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids, _, candidates = _choice(spark, sf_dir)
-    theme = M.playlist_description(F.element_at(F.array(*map(F.lit, THEMES)), (F.col("id") % len(THEMES) + 1).cast("int")))
-    wanted = ids.select("id", theme.alias("theme"))
+    themes = spark.createDataFrame(list(enumerate(THEMES)), "k long, said string").select("k", M.playlist_description(F.col("said")).alias("theme"))
+    wanted = ids.withColumn("k", F.col("id") % len(THEMES)).join(F.broadcast(storage.staged(themes, "themes")), "k").select("id", "theme")  # one row a theme
     first = candidates.groupBy("id", "track_id").agg(F.min("rank").alias("rank"))
     rows = first.join(adapters.catalog(spark, sf_dir).select("track_id", "duration"), "track_id").join(wanted.where("theme is not null"), "id")
     least = F.when(F.lower("theme").rlike(r"\b(short|quick)\b"), 4).otherwise(8)
@@ -192,7 +194,9 @@ _SIM = f"""WITH {_TAGS}, {_CHOICE}, norms AS (SELECT track_id, sqrt(sum(weight *
 dots AS (SELECT c.id, c.track_id, s.track_id AS seed, sum(a.weight * b.weight) AS dot FROM (SELECT DISTINCT id, track_id FROM cand) c JOIN styles a USING (track_id) JOIN seeds s ON s.id = c.id JOIN styles b ON b.track_id = s.track_id AND a.feature = b.feature GROUP BY ALL),
 sims AS (SELECT id, track_id, max(round(dot / (x.n * y.n), 9)) AS s FROM dots JOIN norms x USING (track_id) JOIN norms y ON y.track_id = seed GROUP BY ALL),
 sim AS (SELECT DISTINCT id, track_id, coalesce(s, 0) AS similarity FROM cand LEFT JOIN sims USING (id, track_id))"""
-_SHARED = lambda name, source: f"""{name} AS (SELECT id, track_id, array_to_string(list_sort(list(DISTINCT feature))[1:3], ', ') AS names FROM cand JOIN ({source}) USING (track_id) JOIN (SELECT DISTINCT id, feature FROM seeds JOIN ({source}) USING (track_id)) USING (id, feature) GROUP BY ALL)"""
+#: Features of a track and of a list as sorted lists, so that what a candidate shares is a list of its own row.
+_SHARED = lambda name, source: f"""{name}_t AS (SELECT track_id, list_sort(list(DISTINCT feature)) AS own FROM ({source}) GROUP BY track_id), {name}_l AS (SELECT id, list(DISTINCT feature) AS held FROM seeds JOIN ({source}) USING (track_id) GROUP BY id),
+{name} AS (SELECT id, track_id, array_to_string(shared[1:3], ', ') AS names FROM (SELECT id, track_id, list_filter(own, lambda f: list_contains(held, f)) AS shared FROM (SELECT DISTINCT id, track_id FROM cand) JOIN {name}_t USING (track_id) JOIN {name}_l USING (id)) WHERE len(shared) > 0)"""
 _LOG = """log AS (SELECT user_id AS device_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'new' WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'save' WHEN 'view' THEN 'open' WHEN 'error' THEN 'clear' END AS action,
   CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % (SELECT count(*) FROM part) AS VARCHAR) AS track_id FROM events)"""
 SQL = {
