@@ -118,23 +118,26 @@ def train(texts: list[str], labels: list[int], settings: Settings = Settings())
     return vectors @ (layer[1] - layer[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> np.ndarray:
     """Trains on the labelled documents outside the held-out part, MAX_DOCS and MAX_CHARS of them at most in hash order.
 
-    A document with several labels takes the smallest; null labels and null texts don't count. Without any labelled
-    document every score is 0.5.
+    A text that no longer fits into MAX_CHARS is skipped, and shorter ones after it still count. A document with several
+    labels takes the smallest, one with several texts the first of the shortest; null labels and null texts don't count.
+    Without any labelled document every score is 0.5.
     """
     known = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
     known = known.groupBy("i").agg(F.min("y").alias("y"))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").isNotNull())
-    ids = {r["i"]: r["y"] for r in known.orderBy(F.xxhash64("i"), "i").limit(MAX_DOCS).collect()}
-    size = {r["i"]: r["n"] for r in texts.where(F.col("i").isin(list(ids))).groupBy("i").agg(F.max(F.length("t")).alias("n")).collect()}
+    ids = {r["i"]: r["y"] for r in known.orderBy(F.xxhash64("i"), "i").limit(max_docs).collect()}
+    # lengths alone first, so that only texts that fit come to the driver
+    size = {r["i"]: r["n"] for r in texts.where(F.col("i").isin(list(ids))).groupBy("i").agg(F.min(F.length("t")).alias("n")).collect()}
     chosen, total = [], 0
     for i in ids:
-        total += size.get(i, 0)
-        if i in size and total <= MAX_CHARS:
+        if i in size and total + size[i] <= max_chars:
             chosen.append(i)
-    rows = {r["i"]: r["t"] for r in texts.where(F.col("i").isin(chosen)).groupBy("i").agg(F.min("t").alias("t")).collect()}
+            total += size[i]
+    fits = texts.where(F.col("i").isin(chosen) & (F.length("t") <= max_chars))
+    rows = {r["i"]: r["t"] for r in fits.groupBy("i").agg(F.min(F.struct(F.length("t").alias("n"), "t")).alias("x")).select("i", "x.t").collect()}
     return train([rows[i] for i in chosen], [int(ids[i] == 1) for i in chosen], settings) if chosen else np.zeros(BUCKETS)
 
 
