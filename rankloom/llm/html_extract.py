@@ -46,7 +46,7 @@ _DROP_WORDS = set(
 #: A start tag of these closes an open element of the same set, up to the element in the third place.
 _CLOSES = {t: ({"li"}, {"ul", "ol"}) for t in ("li",)} | {t: ({"dt", "dd"}, {"dl"}) for t in ("dt", "dd")} | {t: ({"td", "th"}, {"tr", "table"}) for t in ("td", "th")} | {"tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 _NO_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S)
 _ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|\Z)", re.I)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -74,17 +74,47 @@ def _element(tag: str, attrs: str) -> tuple[str, bool]:
     return ".".join([tag, *names]), drop
 
 
+class _Open:
+    """The open elements of a page, with the places of each tag, so that no tag is sought through all of them."""
+
+    def __init__(self) -> None:
+        #: tag, path, dropped, article, child tags
+        self.stack: list[tuple[str, int, bool, int, list[str]]] = [("", 0, False, 0, [])]
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+        self.closed: list[tuple[int, int]] = []
+
+    def push(self, tag: str, *rest: object) -> None:
+        if tag not in _INLINE:
+            self.blocks.append(len(self.stack))
+        self.places[tag].append(len(self.stack))
+        self.stack.append((tag, *rest))
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost of these tags; 0 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close_to(self, depth: int) -> None:
+        """Closes the elements from the innermost out to the one at depth."""
+        while len(self.stack) > depth:
+            tag, path, _, _, children = self.stack.pop()
+            self.places[tag].pop()
+            if tag not in _INLINE:
+                self.blocks.pop()
+            self.closed.append((path, xxhash.xxh64_intdigest(" ".join(children)) >> 1))
+
+
 def parse(page: str | None) -> tuple[list[tuple[str, int, bool, int]], list[tuple[int, int]]]:
     """(text blocks, elements) of a page.
 
     A block is (text, element, dropped, number of the outermost article or main it is in or 0); an element is (path, hash of its child tags), once for
     each time it stands on the page. Broken markup is read as browsers do in the common cases: p, li, td and their
-    like close each other, an end tag closes what is open inside it, a stray end tag is nothing.
+    like close each other, an end tag closes what is open inside it, a stray end tag is nothing, a tag that never ends
+    is text. Time is in proportion to the page, however deep its elements are or many of its tags broken.
     """
     blocks: list[tuple[str, int, bool, int]] = []
-    elements: list[tuple[int, int]] = []
-    # open elements: tag, path, dropped, article, child tags
-    stack: list[tuple[str, int, bool, int, list[str]]] = [("", 0, False, 0, [])]
+    open_ = _Open()
+    stack = open_.stack
     articles = 0
     text: list[str] = []
     at: list[tuple] = []
@@ -98,14 +128,6 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, bool, int]], list[tupl
             text.clear()
             at.clear()
 
-    def close() -> None:
-        tag, path, _, _, children = stack.pop()
-        elements.append((path, xxhash.xxh64_intdigest(" ".join(children)) >> 1))
-
-    def block_at() -> tuple:
-        """The nearest open element that isn't inline."""
-        return next((e for e in reversed(stack) if e[0] not in _INLINE), stack[0])
-
     for m in _TOKEN.finditer(page or ""):
         tag = m[2]
         if tag is None:
@@ -113,7 +135,7 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, bool, int]], list[tupl
             if skip or piece.startswith(("<!", "<?")):
                 continue
             if not text:
-                at.append(block_at())
+                at.append(stack[open_.blocks[-1]])
             # what an inline element drops is no part of the block
             if stack[-1][2] and not at[0][2]:
                 continue
@@ -127,28 +149,25 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, bool, int]], list[tupl
         if m[1]:
             if tag == "br" and text:
                 text.append(" ")
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
+            depth = open_.last(tag)
             if depth:
                 if tag not in _INLINE:
                     flush()
-                elif any(e[0] not in _INLINE for e in stack[depth + 1 :]):
+                elif open_.blocks[-1] > depth:
                     continue  # an inline end tag doesn't close blocks
-                while len(stack) > depth:
-                    close()
+                open_.close_to(depth)
             continue
         if tag not in _INLINE and tag != "br":
             flush()
         if tag in _NO_P:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p" or stack[i][0] in ("button", "td", "th", "table")), 0)
-            if depth and stack[depth][0] == "p":
-                while len(stack) > depth:
-                    close()
+            paragraph = open_.last("p")
+            if paragraph > open_.last("button", "td", "th", "table"):
+                open_.close_to(paragraph)
         if tag in _CLOSES:
             same, stop = _CLOSES[tag]
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] in same or stack[i][0] in stop), 0)
-            if depth and stack[depth][0] in same:
-                while len(stack) > depth:
-                    close()
+            depth = open_.last(*same)
+            if depth > open_.last(*(stop - same)):
+                open_.close_to(depth)
         parent = stack[-1]
         parent[4].append(tag)
         if tag == "br":
@@ -167,11 +186,10 @@ def parse(page: str | None) -> tuple[list[tuple[str, int, bool, int]], list[tupl
         article = parent[3]
         if not article and tag in _MAIN and not drop:
             article = articles = articles + 1
-        stack.append((tag, path, parent[2] or drop, article, []))
+        open_.push(tag, path, parent[2] or drop, article, [])
     flush()
-    while len(stack) > 1:
-        close()
-    return blocks, elements
+    open_.close_to(1)
+    return blocks, open_.closed
 
 
 def host_of(url: str | None) -> str:
