@@ -290,7 +290,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot_tile: int = HOT_TILE,
     groups = components(links(first.select("fp", F.lit(0).alias("plane")), hot_tile))
     grouped = first.join(groups, first.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("g"))
     grouped = staged(grouped, "groups")
-    smallest = grouped.groupBy("g").agg(F.min("first").alias("component_id"))
+    # written first, so that the join deals both sides anew and Spark can split the rows of a large group
+    smallest = staged(grouped.groupBy("g").agg(F.min("first").alias("component_id")), "smallest")
     by_fp = grouped.join(smallest, "g").select("fp", "component_id")
     named = fps.join(by_fp, "fp")
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -299,12 +300,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, hot_tile: int = HOT_TILE,
 # --- several fingerprints of words, for a similarity rather than a distance ---------------------------------------
 
 #: Independent fingerprints of a text's words, and what is cut off a word's ends.
-PLANES, EDGES = 8, b".,;:"
-
-
-def word_fingerprints(text: str | None, planes: int = PLANES) -> np.ndarray:
-    """`planes` independent fingerprints of the set of lower-cased words of a text, without stops at their ends."""
-    return _of_words(set(_words(text)), planes)
+PLANES, EDGES = 2, b".,;:"
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -336,13 +332,14 @@ def _lists(flat: np.ndarray, counts: np.ndarray) -> pa.ListArray:
 
 
 def similar_groups(docs: DataFrame, planes: int = PLANES, hot_tile: int = HOT_TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, signature, component_id) of every row: groups of texts of a similarity of 0.8 or more on 5-word shingles.
-
-    Texts link when any of `planes` independent fingerprints of their word sets are within 3 bits, each found by the
-    trie self-join, or when their shingle sets are that similar. The fingerprints find most texts with single words
-    replaced, and some below 0.8; an appended, cut or swapped passage changes too many words at once for them, and
-    those pairs are found by shingles.links, which proposes by MinHash and decides by the exact sets.
-    Texts with no word have signature 0 and stay alone: nothing says that they are copies, unless they are equal.
+    """(doc_id, text_key, signature, n, component_id, kept) of every distinct pair of id and text, n rows each: groups
+    of texts of a similarity of 0.8 or more on 5-word shingles.
+
+    Texts whose word fingerprints are within 3 bits, found by the trie self-join, are proposed, and so are those that
+    agree in a MinHash band: an appended, cut or swapped passage changes too many words at once for the fingerprints.
+    Exact shingle sets decide on what is proposed, so no link is below 0.8. Texts with the same shingle set are one node
+    and have one signature; texts without a word are alike only if they are equal.
+    component_id is the smallest id of the group (null ids count last), kept is true for one pair of the group.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -351,37 +348,46 @@ def similar_groups(docs: DataFrame, planes: int = PLANES, hot_tile: int = HOT_TI
             texts = b.column(1).to_pylist()
             words = [_words(t) for t in texts]
             found = np.array([_of_words(set(w), planes) for w in words], np.uint64).reshape(len(texts), planes)
-            alike = [xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace")) if not f.any() else xxhash.xxh3_64_intdigest(f.tobytes()) for t, f in zip(texts, found)]
             sets = [shingles.shingle_set(w) for w in words]
-            same = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-            blobs = [shingles.packed(s) for s in sets]
+            signature = [xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else xxhash.xxh3_64_intdigest((t or "").encode("utf-8", "replace"), 1) for t, s in zip(texts, sets)]
             keys = [shingles.band_keys(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), _signed(alike), _lists(found.ravel(), np.full(len(texts), planes)), _signed(same), _lists(np.concatenate(keys), np.array(list(map(len, keys)))), pa.array(blobs, pa.binary())],
-                ["doc_id", "uid", "signature", "fps", "alike", "bands", "shingles"],
+                [b.column(0), b.column(2), b.column(3), _signed(signature), _lists(found.ravel(), np.full(len(texts), planes)), _lists(np.concatenate(keys), np.array(list(map(len, keys)))), pa.array([shingles.packed(s) for s in sets], pa.binary())],
+                ["doc_id", "uid", "text_key", "signature", "fps", "bands", "shingles"],
             )
 
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("uid"))
-    rows = staged(texts.mapInArrow(run, f"doc_id {kind}, uid long, signature long, fps array<long>, alike long, bands array<long>, shingles binary"), "word-fingerprints")
-    nodes = rows.groupBy("signature").agg(F.min("doc_id").alias("first"), F.first("fps").alias("fps"))
-    nodes = staged(nodes, "signatures")
-    each = nodes.where(F.exists("fps", lambda x: x != 0)).select("signature", F.posexplode("fps").alias("plane", "fp"))
-    heads = staged(each.groupBy("plane", "fp").agg(F.min("signature").alias("head")), "heads")
-    same = each.join(heads, ["plane", "fp"]).where("signature <> head").select(F.col("signature").alias("a"), F.col("head").alias("b"))
-    near = links(heads.select("fp", "plane"), hot_tile)
-    near = near.join(heads.select("plane", F.col("fp").alias("a"), F.col("head").alias("u")), ["plane", "a"])
-    near = near.join(heads.select("plane", F.col("fp").alias("b"), F.col("head").alias("v")), ["plane", "b"]).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    groups = components(same.union(near).union(shingles.links(rows)).distinct())
-    named = nodes.join(groups, nodes.signature == groups.node, "left").select("signature", "first", F.coalesce("component", "signature").alias("g"))
-    named = staged(named, "groups")
-    smallest = named.groupBy("g").agg(F.min("first").alias("component_id"))
-    return rows.join(named.join(smallest, "g").select("signature", "component_id"), "signature").select("doc_id", "signature", "component_id")
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("uid"), F.xxhash64(text).alias("text_key"))
+    rows = staged(texts.mapInArrow(run, f"doc_id {kind}, uid long, text_key long, signature long, fps array<long>, bands array<long>, shingles binary"), "word-fingerprints")
+    size = (F.octet_length("shingles") / 4).cast("int")
+    one = rows.where(F.size("bands") > 0).groupBy("signature").agg(F.min(F.struct("uid", "fps", "bands", size.alias("size"))).alias("x")).select("x.*")
+    one = staged(one, "distinct-sets")
+    each = one.select("uid", "size", F.posexplode("fps").alias("plane", "fp"))
+    near = staged(links(each.select("fp", "plane").distinct(), hot_tile).select("plane", F.col("a").alias("fp"), "b"), "near-fingerprints")
+    in_trie = each.select("uid", "size", F.xxhash64("plane", "fp").alias("bucket")).union(each.join(near, ["plane", "fp"]).select("uid", "size", F.xxhash64("plane", "b")))
+    members = one.select("uid", "size", F.explode("bands").alias("bucket")).union(in_trie)
+    linked = components(shingles.links(rows, members))
+    keyed = staged(rows.groupBy("doc_id", "text_key", "signature").agg(F.count("*").alias("n")), "document-keys")
+    pair = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    first = keyed.groupBy("signature").agg(F.min(pair).alias("first"))
+    named = staged(first.join(linked, first.signature == linked.node, "left").select("signature", "first", F.coalesce("component", "signature").alias("g")), "groups")
+    smallest = staged(named.groupBy("g").agg(F.min("first").alias("kept")), "kept")
+    by_signature = staged(named.join(smallest, "g").select("signature", F.col("kept").alias("k")), "kept-by-signature")
+    out = keyed.join(by_signature, "signature")
+    return out.select("doc_id", "text_key", "signature", "n", F.col("k.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_key") == F.col("k.text_key"))).alias("kept"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of their group of similar texts, with their columns.
-
-    Equal rows stay as they are, being one document; a row with a null id stays, as it can't be told from others."""
-    found = similar_groups(docs, id_col=id_col, text_col=text_col)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone_id"], "left_anti")
+    """One row of each group of similar texts, with its columns: that of the smallest id, and of the smaller hash of the
+    text where one id has several texts. Null ids are kept only in groups without another id. Of rows that repeat id
+    and text one stays."""
+    found = staged(similar_groups(docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "kept", "n").where("not kept or n > 1"), "gone")
+    rows = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
+    rows = rows.join(found.where("not kept").select("__id", "__text"), same, "left_anti")
+    again = found.where("kept").select("__id", "__text")
+    if again.isEmpty():
+        return rows.drop("__key")
+    # only the rows that stand several times are dealt by their key; repeats go before the shuffle, too
+    once = rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates([id_col, "__key"]))
+    return once.drop("__key")

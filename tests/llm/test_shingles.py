@@ -3,6 +3,7 @@
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from rankloom.llm import shingles, simhash
 
@@ -54,8 +55,9 @@ def test_links_connect_what_brute_force_connects(spark):
             texts.append(" ".join(copy))
     sets = [shingles.shingle_set(t.encode().split()) for t in texts]
     same = [xxhash.xxh3_64_intdigest(s.tobytes()) >> 1 for s in sets]
-    rows = [(i, i, same[i], [int(k) for k in shingles.band_keys(s).view("<i8")], shingles.packed(s)) for i, s in enumerate(sets)]
-    frame = spark.createDataFrame(rows, "uid long, signature long, alike long, bands array<long>, shingles binary")
+    rows = [(i, i, [int(k) for k in shingles.band_keys(s).view("<i8")], len(s), shingles.packed(s)) for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows, "uid long, signature long, bands array<long>, size int, shingles binary")
+    members = frame.where(F.col("uid").isin([same.index(x) for x in set(same)])).select("uid", "size", F.explode("bands").alias("bucket"))
 
     def connected(links):
         root = list(range(len(texts)))
@@ -66,6 +68,44 @@ def test_links_connect_what_brute_force_connects(spark):
 
     want = connected([(i, j) for i in range(len(texts)) for j in range(i) if similarity(texts[i], texts[j]) >= 0.8] + [(i, same.index(s)) for i, s in enumerate(same)])
     for block in (shingles.BLOCK, 300):  # 300: buckets of three texts and more are dealt out as pairs of blocks
-        got = [(r["a"], r["b"]) for r in shingles.links(frame, block).collect()]
+        got = [(r["a"], r["b"]) for r in shingles.links(frame, members, block).collect()]
         assert all(similarity(texts[a], texts[b]) >= 0.8 for a, b in got)
         assert connected(got + [(i, same.index(s)) for i, s in enumerate(same)]) == want
+
+
+def plain_groups(rows):
+    """{(id, text): smallest id of the group} of texts that chains of similarity 0.8 connect; ids may be null."""
+    words = [[w for w in (x.strip(".,;:") for x in (t or "").lower().split()) if w] for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {("", t or "")} for (_, t), w in zip(rows, words)]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    least = {}
+    for (i, _), r in zip(rows, root):
+        if i is not None and (r not in least or i < least[r]):
+            least[r] = i
+    return [least.get(r) for r in root], root
+
+
+def test_whole_table(docs):
+    """The groups of the pipeline's stage against every pair of texts; one row of each stays."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    wanted, root = plain_groups(rows)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    assert found == {i: w for (i, _), w in zip(rows, wanted)}
+    kept = [r["doc_id"] for r in simhash.one_of_each_group(docs).collect()]
+    assert sorted(kept) == sorted(set(wanted)) and len(kept) == len(set(root)) < len(rows)
+
+
+def test_nulls_and_repeats(spark):
+    """Exactly one row of each group: null ids, rows that repeat, and one id on several texts."""
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(9999)}" for _ in range(60)) for _ in range(3))
+    rows = [(None, a), (None, a), (7, a), (None, b), (None, b), (3, c), (3, c), (3, c), (3, a), (9, "other words here"), (None, None), (None, ""), (12, "."), (13, " ")]
+    docs = spark.createDataFrame([(*r, None, None) for r in rows], "doc_id long, text string, kept string, n string")
+    out = simhash.one_of_each_group(docs)
+    assert out.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect()) == sorted([("3", a), ("None", b), ("3", c), ("9", "other words here"), ("None", ""), ("12", "."), ("13", " ")])
