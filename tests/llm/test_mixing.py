@@ -76,3 +76,53 @@ def test_edge_rows(edge, empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
     kept = mixing.mixed_documents(edge)
     assert kept.columns == edge.columns and kept.where("doc_id in (2, 3, 4)").count() == 3
+
+
+def test_null_and_equal_ids_meet_the_target(spark):
+    """Sources whose ids are all null, all the same, or whose rows are all equal, come as near as others."""
+    rows = [(None, f"a{i} " * 26, "nulls") for i in range(2000)] + [(7, f"b{i} " * 26, "one id") for i in range(2000)] + [(8, "same words here", "equal rows")] * 900 + [(i, f"c{i} " * 10, "plain") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(docs).groupBy("target").agg({"taken": "sum"}).collect()
+    assert len(out) >= 3 and all(abs(r["target"] - r["sum(taken)"]) <= 26 for r in out if r["target"] not in [x["target"] for x in out if x is not r])
+    by_source = {}
+    for r in mixing.mixed_documents(docs).collect():
+        by_source[r["source"]] = by_source.get(r["source"], 0) + len(r["text"].split())
+    plan, _ = mixing.plan_mix(mixing._rows(docs, 23, "doc_id", "text", "source"))
+    for s, target in plan.targets.items():
+        assert by_source[s] == pytest.approx(target, abs=26 if s != "equal rows" else 0.1 * target)
+
+
+def test_edges_by_levels(spark, docs):
+    """Dividing ranges of hashes again and again finds the same edge as ordering all rows."""
+    rows = mixing._rows(docs, 23, "doc_id", "text", "source")
+    tables = [sorted((r["pattern"], r["whole"], r["edge"], r["extra"]) for r in mixing.plan_mix(rows, cell_rows=n)[1].collect()) for n in (10**9, 20, 1)]
+    taken = []
+    for table in tables:
+        edge = {p: (w, e, x) for p, w, e, x in table}
+        taken.append({(r["doc_id"], r["copy"]): edge[r["pattern"]][0] + ((edge[r["pattern"]][1] is not None and r["h"] <= edge[r["pattern"]][1]) or r["h"] == edge[r["pattern"]][2]) for r in rows.collect()})
+    assert taken[0].keys() == taken[1].keys() == taken[2].keys()
+    assert sum(taken[0][k] != taken[1][k] for k in taken[0]) <= 2 * len(tables[0])  # at most the one past the edge differs
+
+
+def test_many_patterns():
+    """200,000 patterns, half of them overlapping in chains: near-linear, and every quota that can be met is."""
+    import time
+
+    rng = random.Random(2)
+    members = {f"p{i}": [f"s{i}"] for i in range(100_000)} | {f"o{i}": [f"t{i // 2}", f"t{i // 2 + 1}"] for i in range(100_000)}
+    tokens = {p: rng.randint(1, 50) for p in members}
+    sizes = {}
+    for p, group in members.items():
+        for s in group:
+            sizes[s] = sizes.get(s, 0) + tokens[p]
+    began = time.time()
+    targets = mixing.targets_of(sizes, budget=1.5 * sum(tokens.values()))
+    flow = mixing.route(tokens, members, targets)
+    assert time.time() - began < 30
+    sent = {s: 0 for s in targets}
+    for p, out in flow.items():
+        assert sum(out.values()) <= 2 * tokens[p] and min(out.values()) >= 0
+        for s, f in out.items():
+            sent[s] += f
+    assert all(sent[s] <= round(t) for s, t in targets.items())
+    assert all(sent[f"s{i}"] == min(round(targets[f"s{i}"]), 2 * tokens[f"p{i}"]) for i in range(100_000))

@@ -51,3 +51,23 @@ def test_edge_rows(edge, empty):
     assert len(rows) == edge.count() and len({(r["shard"], r["slot"]) for r in rows}) == len(rows)
     assert {r["size"] for r in rows if r["doc_id"] in (2, 3)} == {1}
     assert sharding.shard(empty).count() == 0
+
+
+def test_the_law_of_large_populations():
+    """Draws beyond numpy's range: the same law as numpy's where both work, and right moments where only one does."""
+    import math
+
+    rng = np.random.default_rng(3)
+    for good, bad, drawn in ((300, 700, 200), (50, 60, 90), (40_000, 360_000, 5_000)):
+        ours = [sharding.hypergeometric(rng, good, bad, drawn, largest=0) for _ in range(6000)]
+        theirs = rng.hypergeometric(good, bad, drawn, 6000)
+        cuts = np.unique(np.quantile(theirs, np.linspace(0, 1, 9)[1:-1]))
+        a, b = (np.bincount(np.searchsorted(cuts, x), minlength=len(cuts) + 1) for x in (ours, theirs))
+        assert ((a - b) ** 2 / (a + b)).sum() < 30, (good, bad, drawn, a, b)
+    good, bad, drawn = 12_500_000_000, 87_500_000_000, 1_500_000
+    draws = np.array([sharding.hypergeometric(rng, good, bad, drawn) for _ in range(4000)], float)
+    mean, var = drawn / 8, drawn / 8 * 7 / 8
+    assert abs(draws.mean() - mean) < 5 * math.sqrt(var / 4000) and abs(draws.var() / var - 1) < 0.15
+    counts, sizes = [10**10 // 4] * 4, [10**10 // 8] * 8
+    m = sharding.communication_matrix(counts, sizes, 1)
+    assert m.sum(axis=1).tolist() == counts and m.sum(axis=0).tolist() == sizes
