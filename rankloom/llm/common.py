@@ -8,7 +8,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The bytes that separate words in every operator here.
 WHITE = "[\\x20\\x09-\\x0D]+"
@@ -28,6 +28,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one or two numbers that are broadcast at most (some 60 bytes each in a hash table).
+BROADCAST_ROWS = 2_000_000
+
+
+def broadcast_if_few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of narrow rows, marked for broadcast if it has `most` rows at most; else Spark joins it as it
+    sees fit. The rows that it meets are then not shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def slices(batches: Iterable[pa.RecordBatch], text: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts batches so that column `text` holds about `limit` bytes at most (or one row)."""
     for batch in batches:
@@ -66,8 +76,6 @@ def small_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     """A table of a few rows that the driver made, as a literal that Spark itself unpacks."""
     import json
 
-    from pyspark.sql import functions as F
-
     return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 

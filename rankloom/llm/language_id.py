@@ -20,8 +20,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rankloom.llm.common import slices
 
 UNKNOWN = "und"
-#: Bounds of the training sample: documents looked at and bytes of dictionary for each language; languages.
-DOCS_PER_LANG, DICT_BYTES, MAX_LANGS = 300, 32_768, 200
+#: Bounds of the training sample: documents looked at and bytes of dictionary for each language.
+DOCS_PER_LANG, DICT_BYTES = 300, 32_768
 #: Texts are encoded whole, in pieces of so many bytes, so that a long text can't learn itself.
 PIECE_BYTES = 1024
 #: Texts whose margin is under this share of their smallest size are rejected. Of sf0.1's training texts with the right
@@ -51,27 +51,26 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Dictionary content by language, from the first DOCS_PER_LANG training documents of each in hash order.
 
     Only rows with a text and a language outside the held-out part count. The first pass ranks ids without reading
-    texts; the second reads the texts of the chosen ids alone, until
-    each dictionary is full.
+    texts; the second reads the texts of the chosen ids alone, the least for each id and language, so that at most
+    DOCS_PER_LANG texts of each language come to the driver, however often an id stands.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("g"), F.col(text_col).cast("string").alias("t"))
     rows = rows.where(F.col("g").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().limit(MAX_LANGS + 1).collect()}
+    counts = {r["g"]: r["count"] for r in rows.groupBy("g").count().collect()}  # a row for each language
     if not counts:
         return {}
     # so few rows pass the first cut, a third more than are wanted, that no task ranks many of a common language
     cut = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, DOCS_PER_LANG * 4 / 3 / n))))
     part = F.shiftrightunsigned(F.xxhash64("i"), 11) / F.lit(float(1 << 53))
     order = Window.partitionBy("g").orderBy(part, "i")
-    picks = rows.select("i", "g").where(part < cut[F.col("g")]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= DOCS_PER_LANG)
+    picks = rows.select("i", "g").distinct().where(part < cut[F.col("g")]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= DOCS_PER_LANG)
     chosen = picks.collect()  # at most DOCS_PER_LANG ids for each language
     ids, ranks = {r["i"] for r in chosen}, {(r["g"], r["i"]): r["r"] for r in chosen}
-    if len(counts) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
     texts: dict[str, list] = {}
     # a text of over DICT_BYTES characters fills a dictionary alone, so no more of it is sent
-    for r in rows.where(F.col("i").isin(list(ids))).select("i", "g", F.substring("t", 1, DICT_BYTES).alias("t")).toLocalIterator():
-        texts.setdefault(r["g"], []).append((ranks.get((r["g"], r["i"]), DOCS_PER_LANG + 1), r["t"]))
+    for r in rows.where(F.col("i").isin(list(ids))).groupBy("i", "g").agg(F.min(F.substring("t", 1, DICT_BYTES)).alias("t")).collect():
+        if (r["g"], r["i"]) in ranks:
+            texts.setdefault(r["g"], []).append((ranks[r["g"], r["i"]], r["t"]))
     return {g: content([t for _, t in sorted(found)]) for g, found in sorted(texts.items())}
 
 

@@ -23,7 +23,7 @@ from rankloom.llm.common import small_table, staged
 #: Weights of the sources in code point order, repeating; share of all sizes that is given out; copies at most.
 WEIGHTS, SHARE, COPIES = (5.0, 2.0, 1.0), 1.5, 2
 #: Rows of a hash cell that are ordered by one task; bits by which cells are divided while they hold more.
-CELL_ROWS, LEVEL_BITS = 2_000, 12
+CELL_ROWS, LEVEL_BITS = 2_000, 8
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 

@@ -2,7 +2,7 @@
 
 Buckets of texts are proposed, exact sets decide. Two sets of similarity s agree in one MinHash band of ROWS minima with
 probability s ** ROWS, however the edits lie in the text; of a pair of similarity 0.8, all BANDS bands miss with
-probability 3e-6. The texts of a bucket are compared by their whole sets, so no link is a guess. A bucket with more shingles than
+probability 1e-5. The texts of a bucket are compared by their whole sets, so no link is a guess. A bucket with more shingles than
 BLOCK is dealt out as pairs of blocks of its texts, so that no task holds it; each pair of its texts meets in one.
 """
 
@@ -15,9 +15,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from rankloom.llm.common import staged
+from rankloom.llm.common import broadcast_if_few, staged
 
-WORDS, BANDS, ROWS = 5, 24, 4
+WORDS, BANDS, ROWS = 5, 16, 3
 #: Shingles of the texts in one block of a bucket, about.
 BLOCK = 1 << 18
 
@@ -112,13 +112,16 @@ def _links_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(rows: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b): links between signatures, from rows (uid, signature, shingles) and the buckets that propose them, members
     (uid, size in shingles, bucket), with one uid for each set. Buckets that hold the same texts are one bucket."""
-    stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("uid")).alias("mark"), F.min("uid").alias("first"), F.sum("size").alias("total")).where("n > 1")
-    chosen = staged(stats.groupBy("n", "mark", "first", "total").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("total") / block).cast("int").alias("blocks")), "buckets")
-    dealt = members.select("uid", "bucket").join(chosen, "bucket")
+    stats = members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("uid")).alias("mark"), F.sum("size").alias("total")).where("n > 1")
+    chosen = staged(stats.groupBy("n", "mark", "total").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("total") / block).cast("int").alias("blocks")), "buckets")
+    dealt = members.select("uid", "bucket").join(broadcast_if_few(chosen), "bucket")
     own = F.pmod(F.xxhash64("uid", "bucket"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.where("blocks = 1 or own <> other")  # the texts of one block meet in each of its pairs
     tasks = dealt.select("uid", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
     tasks = staged(tasks, "bucket-tasks")
-    ready = tasks.join(rows.select("uid", "signature", "shingles"), "uid").select("task", "signature", "shingles")
+    # sets that no bucket proposes are left where they are
+    wanted = staged(tasks.select("uid").distinct(), "proposed")
+    proposed = rows.select("uid", "signature", "shingles").join(broadcast_if_few(wanted), "uid", "left_semi")
+    ready = tasks.join(proposed, "uid").select("task", "signature", "shingles")
     return ready.repartition("task").sortWithinPartitions("task").mapInArrow(_links_of, "a long, b long").distinct()

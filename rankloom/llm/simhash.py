@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from rankloom.llm import shingles
-from rankloom.llm.common import slices, staged
+from rankloom.llm.common import broadcast_if_few, slices, staged
 
 BITS, BLOCKS = 64, 4
 BLOCK = BITS // BLOCKS
@@ -382,12 +382,14 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     text where one id has several texts. Null ids are kept only in groups without another id. Of rows that repeat id
     and text one stays."""
     found = staged(similar_groups(docs, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), "kept", "n").where("not kept or n > 1"), "gone")
+    gone = staged(found.where("not kept").select("__id", "__text"), "gone")
     rows = docs.withColumn("__key", F.xxhash64(F.col(text_col).cast("string")))
     same = docs[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text"))
-    rows = rows.join(found.where("not kept").select("__id", "__text"), same, "left_anti")
-    again = found.where("kept").select("__id", "__text")
+    rows = rows.join(broadcast_if_few(gone), same, "left_anti")
+    again = staged(found.where("kept").select("__id", "__text"), "repeats")
     if again.isEmpty():
         return rows.drop("__key")
     # only the rows that stand several times are dealt by their key; repeats go before the shuffle, too
+    again = broadcast_if_few(again)
     once = rows.join(again, same, "left_anti").union(rows.join(again, same, "left_semi").dropDuplicates([id_col, "__key"]))
     return once.drop("__key")
