@@ -199,8 +199,10 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     The next document is that of the next id; rows with the same id follow each other by text, null ids come first,
     and the first row follows the last (a lone row follows itself). A null text is empty. Likeness of equal digests,
-    empty ones included, is 1; an empty one is unlike any other.
+    empty ones included, is 1; an empty one is unlike any other. Ids are whole numbers; other types are a TypeError.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must hold whole numbers")
     kind = docs.schema[id_col].dataType.simpleString()
     rows = _ranged(docs, id_col, text_col)
 

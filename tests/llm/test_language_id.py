@@ -62,3 +62,42 @@ def test_table_marks_what_the_pipeline_drops(spark, learned):
     marked = {r["doc_id"]: r["rejected"] for r in language_id.identify(docs, content).collect()}
     assert marked == {0: False, 1: True, 2: True}
     assert [r["doc_id"] for r in language_id.keep_identified(docs, content).collect()] == [0]
+
+
+def test_whole_table_against_plain_compression(spark, sf_dir, learned):
+    """Sizes, winner and score of every text by one call of the compressor after another."""
+    content, _ = learned
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = {r["doc_id"]: r for r in language_id.identify(docs, content).collect()}
+    classify = language_id.Classifier(content)
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    for row in rows:
+        data, r = language_id.folded(row["text"]), found[row["doc_id"]]
+        if not data:
+            assert (r["lang_pred"], r["score"]) == (language_id.UNKNOWN, 0.0)
+            continue
+        sizes = {g: sum(len(c.compress(data[i : i + 1024])) for i in range(0, len(data), 1024)) for g, c in zip(classify.langs, classify.first)}
+        least = min(sizes.values())
+        assert sizes[r["lang_pred"]] == least and r["score"] == pytest.approx(1 / sum(2.0 ** -min(60, s - least) for s in sizes.values()))
+
+
+def test_many_languages_and_an_id_on_many_rows(spark):
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for g in range(300):
+        own = ["".join(rng.choices(letters, k=6)) for _ in range(40)]
+        rows += [(g * 10 + k, " ".join(rng.choices(own, k=60)), f"l{g:03}") for k in range(4)]
+    rows += [(0, f"copy {i} of one id", "l000") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    content = language_id.fit(docs)
+    assert len(content) >= 295 and language_id.identify(docs.limit(20), content).count() == 20
+
+
+def test_edge_rows(edge, empty):
+    content = language_id.fit(edge)
+    rows = language_id.identify(edge, content).collect()
+    assert len(rows) == edge.count() and all(r["lang_pred"] == "und" for r in rows if r["doc_id"] in (2, 3, 4))
+    assert language_id.keep_identified(edge, content).columns == edge.columns
+    assert language_id.fit(empty) == {} and language_id.identify(empty, {}).count() == 0 and language_id.keep_identified(empty, {}).count() == 0
