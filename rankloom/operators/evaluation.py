@@ -77,3 +77,15 @@ def best_config(scores: DataFrame, by: str = "final_score", target: float | None
         return best
     reached = scores.where(F.col(by) >= target).agg(F.min_by(F.struct(*scores.columns), "config_id").alias("r"))
     return best.crossJoin(reached).select(F.coalesce("r", F.struct(*(best[c] for c in scores.columns))).alias("x")).select("x.*")
+
+
+def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, turns, median, p95, most) of measured times: of n in order those at n // 2 and ceil(0.95 n) - 1, from 0."""
+    at = lambda p, order: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value} {order})")
+    return rows.groupBy(by).agg(F.count(value).alias("turns"), at(0.5, "DESC").alias("median"), at(0.95, "ASC").alias("p95"), F.max(value).alias("most"))
+
+
+def feedback(votes: DataFrame, key: str = "device_id") -> DataFrame:
+    """(item_id, up, down) from thumbs (key, seq, item_id, up): the last vote of each device on an item counts."""
+    last = votes.groupBy(key, "item_id").agg(F.max_by("up", "seq").alias("up"))
+    return last.groupBy("item_id").agg(F.count_if("up").alias("up"), F.count_if(~F.col("up")).alias("down"))

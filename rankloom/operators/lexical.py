@@ -1,10 +1,14 @@
-"""BM25: postings as rows, scored by a join on terms."""
+"""BM25: postings as rows in a saved index, scored by a join on terms."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rankloom.functions.text import STOP_WORDS, tokens
+from rankloom.sources.storage import fresh_path, staged
 
 K1, B = 1.5, 0.75
 
@@ -19,22 +23,60 @@ def document_frequency(postings: DataFrame) -> DataFrame:
     return postings.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "query", decimals: int = 6) -> DataFrame:
+def _postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf, dl): each term of each document with the document's length, by one shuffle."""
+    kept = F.filter(tokens(F.col(text_col)), lambda t: ~t.isin(STOP_WORDS))
+    # in a lambda, so that the words are made once for both their number and themselves
+    sized = F.explode(F.transform(F.array(kept), lambda w: F.struct(F.size(w).alias("dl"), w.alias("w")))).alias("x")
+    each = docs.select(F.col(id_col).alias("id"), sized).select("id", "x.dl", F.explode("x.w").alias("term"))
+    return each.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).select("id", "term", "tf", "dl")
+
+
+def save_index(docs: DataFrame, path: str, source: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Writes the postings of docs under path. A marker written last, with the counts that a load checks, makes them visible."""
+    spark = docs.sparkSession
+    data = f"{path}/postings-{uuid.uuid4().hex}"
+    _postings(docs, id_col, text_col).write.parquet(data)
+    found = spark.read.parquet(data).agg(F.count("*").alias("n"), F.coalesce(F.sum("tf"), F.lit(0)).alias("total")).first()
+    marker = spark.createDataFrame([(source, docs.count(), found["n"], found["total"], data)], "source string, documents long, postings long, total long, data string")
+    marker.coalesce(1).write.mode("overwrite").parquet(f"{path}/marker")
+
+
+def load_index(spark: SparkSession, path: str, source: str) -> tuple[DataFrame, int, int]:
+    """(postings, documents, sum of lengths) of the index at path; another source or missing postings are an error."""
+    marker = spark.read.parquet(f"{path}/marker").first()
+    if marker["source"] != source:
+        raise ValueError(f"the index is of {marker['source']}")
+    postings = spark.read.parquet(marker["data"])
+    if postings.count() != marker["postings"]:
+        raise ValueError("the index is incomplete")
+    return postings, marker["documents"], marker["total"]
+
+
+def index_of(docs: DataFrame, path: str, source: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, int, int]:
+    """The index at path if it is whole and of this source; else it is written first."""
+    try:
+        return load_index(docs.sparkSession, path, source)
+    except (AnalysisException, ValueError):
+        save_index(docs, path, source, id_col, text_col)
+        return load_index(docs.sparkSession, path, source)
+
+
+def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "query", decimals: int = 6, index: tuple[DataFrame, int, int] | None = None) -> DataFrame:
     """(query_id, rank, item_id, score) of the documents that match, k at most for each query.
 
     Term weights are ln(1 + (N - df + .5) / (df + .5)) * tf / (tf + k1 (1 - b + b * dl / avgdl)); a term that a query
     repeats adds as often. Ties go to the smaller id. Only postings of terms that some query holds are joined: the
-    distinct query terms are few, so the corpus's postings are cut before any shuffle of them.
+    distinct query terms are few, so the corpus's postings are cut before any shuffle of them. index is one of load_index;
+    k at most 0 asks for nothing, and a query without terms finds nothing.
     """
     asked = terms(queries, query_col, query_text).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf"))
-    postings = terms(docs, id_col, text_col)
-    lengths = postings.groupBy("id").agg(F.sum("tf").alias("dl"))
-    # documents without any term count, too
-    stats = docs.agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("dl").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl")).first()
-    wanted = asked.select("term").distinct()
-    held = postings.join(wanted, "term", "left_semi").join(lengths, "id")
-    weight = F.log(1 + (F.lit(float(stats["n"])) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
-    df = document_frequency(postings.join(wanted, "term", "left_semi"))
+    spark = docs.sparkSession
+    postings, n, total = index if index is not None else index_of(docs, fresh_path(spark, "bm25"), "fresh", id_col, text_col)
+    asked = staged(asked, "asked")
+    held = postings.join(asked.select("term").distinct(), "term", "left_semi")
+    df = document_frequency(held)
+    weight = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(total / n if total else 1.0)))
     scored = asked.join(df, "term").join(held, "term").groupBy("query_id", F.col("id").alias("item_id")).agg(F.round(F.sum(F.col("qtf") * weight), decimals).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, k)).select("query_id", "rank", "item_id", "score")

@@ -156,11 +156,22 @@ def grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.best_config(grid_diversity(spark, sf_dir))
 
 
+def latency_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.latencies(adapters.table(spark, sf_dir, "events"), "event_type", "value")
+
+
+def feedback_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks are thumbs up, errors are thumbs down."""
+    events = adapters.table(spark, sf_dir, "events").where("event_type in ('click', 'error')")
+    votes = events.select(F.col("user_id").alias("device_id"), F.col("event_id").alias("seq"), F.get_json_object("props", "$.k").cast("long").alias("item_id"), (F.col("event_type") == "click").alias("up"))
+    return evaluation.feedback(votes)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         eval_metrics, ndcg, catalog_diversity, eval_join, fusion_join, specificity_default, specificity_counts, track_frequency, top_frequency, changed_turns, changed_by_spec, candidate_lengths,
-        duplicate_predictions, missing_keys, eval_rollup, points, replay_mismatches, grid_dense_weight, grid_diversity, grid_expansion, grid_selective, grid_exact, grid_fusion, grid_best,
+        duplicate_predictions, missing_keys, eval_rollup, points, latency_stats, feedback_counts, replay_mismatches, grid_dense_weight, grid_diversity, grid_expansion, grid_selective, grid_exact, grid_fusion, grid_best,
     )
 }
 
@@ -199,6 +210,8 @@ SELECT round(n1, 6) AS ndcg_1, round(n10, 6) AS ndcg_10, round(n20, 6) AS ndcg_2
     "changed_turns": f"{_ARRAYS} SELECT count(*) FILTER (a <> b) AS changed, count(*) AS turns, CAST(sum(len(list_filter(b, lambda t: NOT list_contains(a, t)))) AS BIGINT) AS inserted FROM x JOIN y USING (query_id)",
     "changed_by_spec": f"{_ARRAYS} SELECT specificity, count(*) FILTER (a <> b) AS changed, count(*) AS turns FROM x JOIN y USING (query_id) JOIN kinds USING (query_id) GROUP BY specificity",
     "candidate_lengths": f"WITH t AS ({retrieval.SQL['bm25_topk']}) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM (SELECT query_id, count(*) AS n FROM t GROUP BY query_id)",
+    "latency_stats": "SELECT event_type, len(v) AS turns, v[len(v) // 2 + 1] AS median, v[CAST(ceil(0.95 * len(v)) AS INT)] AS p95, v[len(v)] AS most FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)",
+    "feedback_counts": "WITH v AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, arg_max(event_type, event_id) AS last FROM events WHERE event_type IN ('click', 'error') GROUP BY ALL) SELECT item_id, count(*) FILTER (last = 'click') AS up, count(*) FILTER (last = 'error') AS down FROM v GROUP BY 1",
     "duplicate_predictions": "SELECT l_orderkey AS query_id, CAST(l_partkey AS VARCHAR) AS item_id, count(*) AS times FROM lineitem GROUP BY ALL HAVING count(*) > 1",
     "missing_keys": f"{_DENSE} SELECT query_id FROM gold WHERE query_id NOT IN (SELECT query_id FROM r WHERE score < 0.9)",
     "eval_rollup": f"{_NDCG} SELECT specificity, half, round(avg(n20), 6) AS ndcg_20, count(*) AS turns FROM (SELECT *, CAST(query_id >= 250 AS INT) AS half FROM per JOIN kinds USING (query_id)) GROUP BY ROLLUP (specificity, half)",

@@ -6,7 +6,7 @@ from compare import assert_same
 from rankloom.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-#: Queries without SQL, held against brute force in other tests.
+#: Queries without SQL; other tests hold the searches against brute force and the rest against cases.
 NO_SQL = {"match_score_fuzzy", "search_tracks", "add_by_text", "remove_by_text", "playlist_select", "diverse_select", "entity_select", "entity_fuzzy", "mask", "slot_match_fuzzy", "grid_fusion"}
 
 

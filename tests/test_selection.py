@@ -2,9 +2,8 @@
 
 from difflib import SequenceMatcher
 
-import pytest
 
-from rankloom.functions import aliases, messages as M
+from rankloom.functions import aliases
 from rankloom.functions.text import composed, exact, plain
 from rankloom.operators import context, playlists as P, search, selection
 
@@ -45,11 +44,6 @@ def test_matches_prefer_other_artists(spark):
     assert [r["track_id"] for r in selection.select_matches(scores, rows, 3).orderBy("place").collect()] == ["1", "3", "2"]
 
 
-@pytest.mark.parametrize("text,count,places", [("Add first, last and first", 5, [0, 4]), ("Add first, second and ninth", 5, []), ("add the first two", 5, [0, 1]), ("first nine", 3, []), ("options 2 and 3, please", 4, None), ("2nd and 3rd", 4, [1, 2]), ("the second coming", 5, None), ("", 3, None), (None, 3, None)])
-def test_positions(text, count, places):
-    assert M.positions_of(text, count) == places
-
-
 def test_normalisers(spark):
     from pyspark.sql import functions as F
 
