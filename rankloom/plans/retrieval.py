@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions import scalars
 from rankloom.functions.text import exact as normal, tokens
-from rankloom.operators import dense, lexical, ranking
+from rankloom.operators import dense, lexical, ranking, requests
 from rankloom.plans import ctes
 from rankloom.sources import adapters
 from rankloom.sources.storage import staged
@@ -44,6 +44,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_k(adapters.table(spark, sf_dir, "documents"), asked, 20)
 
 
+def retrieve_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of several lengths for benchmark items as requests, some of them blank and some that ask for nothing."""
+    docs = adapters.table(spark, sf_dir, "documents")
+    item = F.col("item_id")
+    asked = adapters.table(spark, sf_dir, "benchmark").select(item.alias("query_id"), F.when(item % 7 == 0, "  ").otherwise(F.col("text")).alias("query"), (item % 5 * 3 - 3).alias("k"))
+    out = requests.answered(asked, lambda live, depth: lexical.top_k(docs, live, depth), docs.count())
+    return out.select("query_id", F.array_join(F.col("predicted_track_ids").cast("array<string>"), ",").alias("items"))
+
+
 def _corpus(spark: SparkSession, sf_dir: str, fields: tuple[str, ...]) -> DataFrame:
     tracks = adapters.catalog(spark, sf_dir)
     return tracks.select("ord", scalars.labelled({f: F.col(f) for f in fields}, "\n").alias("text"))
@@ -159,7 +168,7 @@ _FIELDS = "concat('track_name: ', p_name, chr(10), 'artist_name: ', p_brand, chr
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, valid_embeddings, l2_normalize, tokenize, bm25_df, bm25_topk, bm25_fields, rrf_hybrid, rrf_branch, exact_score, exact_rerank, exact_debug, diversity_rerank, candidate_expansion, selective_rerank, final_pipeline, novelty)
+    for f in (dense_topk, valid_embeddings, l2_normalize, tokenize, bm25_df, bm25_topk, retrieve_requests, bm25_fields, rrf_hybrid, rrf_branch, exact_score, exact_rerank, exact_debug, diversity_rerank, candidate_expansion, selective_rerank, final_pipeline, novelty)
 }
 _CHAIN = f"WITH {ctes.CHAIN} "
 SQL = {
@@ -171,6 +180,9 @@ SELECT vec_id, CAST(pos AS INT) AS pos, round(v[pos + 1] / CASE WHEN n = 0 THEN
     "bm25_df": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) WHERE term NOT IN {_STOP} GROUP BY term",
     "bm25_topk": _bm25_sql("SELECT doc_id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark", 20),
     "bm25_fields": f"WITH {ctes.CATALOG}, top AS ({_bm25_sql(f'SELECT ord AS doc_id, {_FIELDS} AS text FROM cat', "SELECT ord AS query_id, concat(p_name, ' ', p_type) AS text FROM cat", 10)}) SELECT * FROM top",
+    "retrieve_requests": f"""WITH req AS (SELECT item_id AS query_id, CASE WHEN item_id % 7 = 0 THEN '  ' ELSE text END AS query, item_id % 5 * 3 - 3 AS k FROM benchmark),
+top AS ({_bm25_sql("SELECT doc_id, text FROM documents", "SELECT query_id, query AS text FROM req WHERE trim(query) <> '' AND k > 0", 9)})
+SELECT query_id, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) FILTER (rank <= k), '') AS items FROM req LEFT JOIN top USING (query_id) GROUP BY query_id""",
     "rrf_hybrid": _CHAIN + "SELECT * FROM adaptive",
     "rrf_branch": _CHAIN + "SELECT * FROM fused",
     "exact_score": _CHAIN + "SELECT * FROM exacts",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.sources import adapters
+from rankloom.sources.storage import staged
 from rankloom.streaming import sessions as S
 
 _ACTIONS = {"signup": "new", "click": "add", "purchase": "save", "view": "open", "error": "clear"}
@@ -33,15 +34,61 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.sessions(_commands(spark, sf_dir)), "sessions").select("device_id", "seq", "action", "tracks", "lists")
 
 
+#: What users say to suggestions, by event.
+_SAID = ("add all of them", "the second one", "none of these", "all except the one by Brand#2", "first 2", "1 and 3", "number 9", "the last one", "add the one by Brand#1")
+
+
+def stream_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions in which three tracks are suggested at a time and users choose among them in words."""
+    tracks = adapters.catalog(spark, sf_dir)
+    n = tracks.count()
+    near = tracks.select("track_id", F.col("artist_name")[0].alias("artist"), F.col("track_name")[0].alias("title"), "ord", F.explode(F.array(*map(F.lit, range(3)))).alias("place"))
+    offers = near.groupBy(((F.col("ord") - F.col("place") + n) % n).alias("k")).agg(F.array_sort(F.collect_list(F.struct("place", "track_id", "artist", "title"))).alias("o"))
+    names = F.to_json(F.map_from_arrays(F.col("o.track_id"), F.transform("o", lambda x: F.array(x["artist"], x["title"]))))
+    offers = staged(offers.select("k", F.array_join("o.track_id", ",").alias("offered"), names.alias("names")), "offers")
+    kind, rare = F.col("event_type"), F.col("event_id") % 4 == 0
+    action = F.when(kind == "click", "suggest").when(kind == "signup", F.when(rare, "new").otherwise("remove")).when(kind == "error", F.when(rare, "clear").otherwise("add")).otherwise("say")
+    said = F.array(*map(F.lit, _SAID))[(F.col("event_id") % len(_SAID)).cast("int")]
+    rows = _source(spark, sf_dir, "events").select(F.col("user_id").alias("device_id"), F.col("event_id").alias("seq"), action.alias("action"), said.alias("said"), (F.get_json_object("props", "$.k").cast("long") % n).alias("k"))
+    suggests = F.col("action") == "suggest"
+    track = F.when(suggests, F.col("offered")).otherwise(F.col("k").cast("string"))
+    request = F.when(suggests, F.concat(F.lit("request "), "k")).otherwise(F.col("said"))
+    commands = rows.join(offers, "k", "left").select("device_id", "seq", "action", track.alias("track_id"), request.alias("request"), "names")
+    return S.drained(S.sessions(commands), "choices").select("device_id", "seq", "action", "playlist", "waiting", "requests", "lists")
+
+
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _source(spark, sf_dir, "events").select("ts", "event_type", "value")
     return S.drained(S.tumbling(rows), "tumbling")
 
 
-QUERIES = {f.__name__: f for f in (stream_turns, stream_sessions, events_tumbling)}
+QUERIES = {f.__name__: f for f in (stream_turns, stream_sessions, stream_choices, events_tumbling)}
 _LOG = """log AS (SELECT user_id AS device_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'new' WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'save' WHEN 'view' THEN 'open' WHEN 'error' THEN 'clear' END AS action,
   CAST(json_extract_string(props, '$.k') AS BIGINT) % (SELECT count(*) FROM part) AS track FROM events)"""
+#: What is chosen of what waits, null if the words choose nothing that is there; m is the number of the words.
+_CHOSEN = """CASE m WHEN 0 THEN waiting WHEN 1 THEN CASE WHEN len(waiting) >= 2 THEN waiting[2:2] END WHEN 2 THEN waiting[1:0]
+  WHEN 3 THEN CASE WHEN len(list_filter(waiting, lambda x: contains(lower(x.artist), 'brand#2') OR contains(lower(x.title), 'brand#2'))) = 1 THEN list_filter(waiting, lambda x: NOT (contains(lower(x.artist), 'brand#2') OR contains(lower(x.title), 'brand#2'))) END
+  WHEN 4 THEN CASE WHEN len(waiting) >= 2 THEN waiting[1:2] END WHEN 5 THEN CASE WHEN len(waiting) >= 3 THEN list_concat(waiting[1:1], waiting[3:3]) END WHEN 7 THEN waiting[-1:]
+  WHEN 8 THEN CASE WHEN len(list_filter(waiting, lambda x: contains(lower(x.artist), 'brand#1'))) = 1 THEN list_filter(waiting, lambda x: contains(lower(x.artist), 'brand#1')) END END"""
+#: One command after another: each round of the recursion is the next command of every device.
+_CHOICES = f"""WITH RECURSIVE size AS (SELECT count(*) AS n FROM part),
+tracks AS (SELECT p_partkey AS ord, {{'id': CAST(p_partkey AS VARCHAR), 'artist': p_brand, 'title': p_name}} AS t FROM part),
+log AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % n AS k FROM events, size),
+cmd AS (SELECT user_id AS device_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id % 9 AS m, k,
+  CASE event_type WHEN 'click' THEN 'suggest' WHEN 'signup' THEN CASE WHEN event_id % 4 = 0 THEN 'new' ELSE 'remove' END WHEN 'error' THEN CASE WHEN event_id % 4 = 0 THEN 'clear' ELSE 'add' END ELSE 'say' END AS action,
+  [a.t, b.t, c.t] AS offer FROM log JOIN tracks a ON a.ord = k JOIN tracks b ON b.ord = (k + 1) % n JOIN tracks c ON c.ord = (k + 2) % n),
+st AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, CAST([] AS VARCHAR[]) AS playlist, offer[1:0] AS waiting, CAST([] AS VARCHAR[]) AS requests, 0 AS lists FROM cmd
+UNION ALL SELECT device_id, i, seq, action,
+  CASE WHEN action IN ('new', 'clear') THEN CAST([] AS VARCHAR[]) WHEN action = 'add' AND NOT list_contains(playlist, key) THEN list_append(playlist, key) WHEN action = 'remove' THEN list_filter(playlist, lambda x: x <> key)
+    WHEN action = 'say' AND chosen IS NOT NULL THEN list_concat(playlist, list_filter(list_transform(chosen, lambda x: x.id), lambda x: NOT list_contains(playlist, x))) ELSE playlist END,
+  CASE WHEN action IN ('new', 'clear') OR (action = 'say' AND chosen IS NOT NULL) THEN waiting[1:0] WHEN action = 'suggest' THEN offered ELSE waiting END,
+  CASE WHEN action IN ('new', 'clear') THEN CAST([] AS VARCHAR[]) WHEN action = 'suggest' AND len(offered) > 0 THEN list_append(requests, concat('request ', key))[-2:] ELSE requests END,
+  lists + CASE WHEN action = 'new' THEN 1 ELSE 0 END
+  FROM (SELECT st.device_id, cmd.i, cmd.seq, cmd.action, CAST(k AS VARCHAR) AS key, playlist, waiting, requests, lists, list_filter(offer, lambda x: NOT list_contains(playlist, x.id)) AS offered, CASE WHEN len(waiting) > 0 THEN {_CHOSEN} END AS chosen
+    FROM st JOIN cmd ON cmd.device_id = st.device_id AND cmd.i = st.i + 1))
+SELECT device_id, seq, action, array_to_string(playlist, ',') AS playlist, array_to_string(list_transform(waiting, lambda x: x.id), ',') AS waiting, array_to_string(requests, '|') AS requests, CAST(lists AS INT) AS lists FROM st WHERE i > 0"""
 SQL = {
+    "stream_choices": _CHOICES,
     "stream_turns": "SELECT conv_id AS session_id, turn // 2 + 1 AS turn_number, trim(text) AS request FROM conversations WHERE role = 'user' AND trim(text) <> ''",
     "stream_sessions": f"""WITH {_LOG}, e AS (SELECT *, count(*) FILTER (action IN ('new', 'clear')) OVER d AS epoch, count(*) FILTER (action = 'new') OVER d AS lists FROM log WINDOW d AS (PARTITION BY device_id ORDER BY seq)),
 f AS (SELECT *, CASE WHEN action = 'add' AND track IS NOT NULL AND row_number() OVER (PARTITION BY device_id, epoch, track, action = 'add' ORDER BY seq) = 1 THEN 1 ELSE 0 END AS fresh FROM e)

@@ -6,7 +6,8 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
@@ -116,6 +117,9 @@ def replay_mismatches(saved: DataFrame, replayed: DataFrame) -> DataFrame:
     return a.join(b, "query_id", "full_outer").where(~F.col("predicted_track_ids").eqNullSafe(F.col("again"))).select("query_id")
 
 
+#: The folder of the saved rankings in an artifact.
+RANKINGS = "rankings"
+
 #: Settings that an artifact must have, with their kinds.
 ARTIFACT = {"hybrid": ("candidate_k", "reservoir_k", "dense_weight", "rrf_k", "fusion_rrf_k"), "fusion_weights": ("HH", "HL", "LH", "LL"), "exact_weights": ("HH", "HL", "LH", "LL"), "diversity": ("protect", "weight"), "selective": ("protect", "weight", "bonus", "start", "end")}
 
@@ -138,20 +142,74 @@ def validated_artifact(artifact: dict) -> dict:
 def export_artifact(spark: SparkSession, artifact: dict, tables: dict[str, DataFrame], saved: DataFrame, replayed: DataFrame, path: str) -> None:
     """Writes settings and their frequency tables, once the replayed rankings equal the saved ones.
 
-    A mismatch raises before anything is written, so what was at path stays. A digest of the saved rankings goes along.
+    A mismatch raises before anything is written, so what was at path stays. The saved rankings and the SHA-256 of all
+    files go along.
     """
     artifact = validated_artifact(artifact)
     if not replay_mismatches(saved, replayed).isEmpty():
         raise ValueError("replayed rankings differ from the saved ones")
-    digest = array_form(saved).agg(F.sum(F.xxhash64("query_id", "predicted_track_ids").cast("decimal(38,0)")).cast("string")).first()[0]
     version = uuid.uuid4().hex
+    folders = {n: f"{n}-{version}" for n in tables} | {RANKINGS: f"{RANKINGS}-{version}"}
     for name, df in tables.items():
-        df.write.parquet(f"{path}/{name}-{version}")
-    whole = json.dumps(artifact | {"rankings_digest": digest, "tables": {n: f"{n}-{version}" for n in tables}}, sort_keys=True)
+        df.write.parquet(f"{path}/{folders[name]}")
+    array_form(saved).write.parquet(f"{path}/{folders[RANKINGS]}")
+    digests = {name: folder_digest(spark, f"{path}/{folder}") for name, folder in folders.items()}
+    whole = json.dumps(artifact | {"tables": folders, "sha256": digests}, sort_keys=True)
     spark.createDataFrame([(whole,)], "artifact string").coalesce(1).write.mode("overwrite").text(f"{path}/artifact")
 
 
 def load_artifact(spark: SparkSession, path: str) -> tuple[dict, dict[str, DataFrame]]:
-    """(settings, frequency tables); a missing artifact is an error, there is no fallback."""
+    """(settings, tables by name, the saved rankings among them); a missing artifact, or a file that is not the one that
+    was written, is an error, there is no fallback."""
     artifact = validated_artifact(json.loads(spark.read.text(f"{path}/artifact").first()[0]))
+    for name, folder in artifact["tables"].items():
+        if folder_digest(spark, f"{path}/{folder}") != artifact["sha256"][name]:
+            raise ValueError(f"the files of {name} are not those that were written")
     return artifact, {n: spark.read.parquet(f"{path}/{folder}") for n, folder in artifact["tables"].items()}
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """(file, length, sha256) of the Parquet files under path; each file is hashed whole, up to 2 GB, where it is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def folder_digest(spark: SparkSession, path: str) -> str:
+    """SHA-256 over the digests of a folder's files in order of their names."""
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("file", "sha256"))), lambda s: F.concat_ws(" ", s["sha256"], s["file"]))
+    return file_digests(spark, path).agg(F.sha2(F.array_join(lines, "\n"), 256)).first()[0]
+
+
+def save_best(scores: DataFrame, path: str, by: str = "final_score") -> bool:
+    """Saves the best row of scores (config_id, ...) at path if it beats the one saved there; says whether it did.
+
+    Equal scores keep what is saved, and the smallest id wins among new ones. A null or NaN score is never saved.
+    """
+    spark = scores.sparkSession
+    found = scores.where(F.col(by).isNotNull() & ~F.isnan(by)).orderBy(F.desc(by), "config_id").limit(1)
+    new = found.first()
+    saved = load_best(spark, path, by)
+    if new is None or (saved is not None and saved[by] >= new[by]):
+        return False
+    folder = f"best-{uuid.uuid4().hex}"
+    spark.createDataFrame([new], scores.schema).coalesce(1).write.parquet(f"{path}/{folder}")
+    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.parquet(f"{path}/saved/{folder}")
+    return True
+
+
+def load_best(spark: SparkSession, path: str, by: str = "final_score") -> Row | None:
+    """The best row saved at path; null if there is none."""
+    try:
+        markers = [r["folder"] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/saved").collect()]
+    except AnalysisException as e:  # nothing saved yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+    return spark.read.parquet(*(f"{path}/{m}" for m in markers)).orderBy(F.desc(by), "config_id").first()
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """(intent, pos, phrase) of files that each hold one JSON map from intents to lists of phrases; blank phrases go."""
+    maps = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
+    each = maps.select(F.explode("m").alias("intent", "phrases"))
+    return each.select("intent", F.posexplode("phrases").alias("pos", "phrase")).where(F.trim("phrase") != "")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from rankloom.functions.messages import choice
 from rankloom.sources.storage import fresh_path
 
 #: Requests that a session remembers.
@@ -20,12 +21,13 @@ def turn_source(spark: SparkSession, path: str, schema: str, files_per_batch: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def step(state: dict, action: str | None, track: str | None, request: str | None) -> dict:
+def step(state: dict, action: str | None, track: str | None, request: str | None, names: dict | None = None, picked: tuple | None = None) -> dict:
     """The state of a session after one command; unknown commands change nothing.
 
-    A session holds its playlist, suggestions waiting for a choice, the last requests, and the last track asked for.
+    A session holds its playlist, suggestions waiting for a choice with their artists and titles, the last requests, and
+    the last track asked for. names is {track: [artist, title]} of what is suggested; picked is what a message said.
     """
-    state = {k: list(v) if isinstance(v, list) else v for k, v in state.items()}
+    state = {k: v.copy() if isinstance(v, (list, dict)) else v for k, v in state.items()}
     if action in ("new", "clear"):
         return start() | {"lists": state["lists"] + (action == "new")}
     if action == "add" and track is not None and track not in state["playlist"]:
@@ -34,41 +36,77 @@ def step(state: dict, action: str | None, track: str | None, request: str | None
         state["playlist"].remove(track)
     elif action == "suggest" and track is not None:
         state["pending"] = [t for t in dict.fromkeys(track.split(",")) if t not in state["playlist"]]
+        state["names"] = {t: (names or {}).get(t, []) for t in state["pending"]}
         if state["pending"] and request:
             state["requests"] = [*state["requests"], request][-MEMORY:]
     elif action == "choose" and track is not None:
         places = [int(p) for p in track.split(",") if p.isdigit()]
-        if places and all(0 < p <= len(state["pending"]) for p in places):  # a bad choice keeps what waits
-            state["playlist"] += [t for p in dict.fromkeys(places) if (t := state["pending"][p - 1]) not in state["playlist"]]
-            state["pending"] = []
+        _take(state, ("places", places, ""))
+    elif action == "say" and picked is not None:
+        _take(state, picked)
     elif action == "reject":
-        state["pending"] = []
+        _take(state, ("none", [], ""))
     elif action == "open":
         state["last"] = track
     return state
 
 
+def _take(state: dict, picked: tuple) -> None:
+    """Moves what was chosen, as messages.choice tells it, from the suggestions into the list. What can't be done (a place
+    that is not there, a name that fits none or several) changes nothing, and the suggestions go on waiting."""
+    kind, numbers, name = picked
+    waiting, found = state["pending"], None
+    called = lambda t, fields: any(name.casefold() in (x or "").casefold() for x in state["names"].get(t, [])[:fields])
+    if kind == "none":
+        found = []
+    elif kind == "all":
+        found = waiting
+    elif kind in ("first", "places"):
+        places = [len(waiting) if p == -1 else p for p in numbers]
+        if places and all(0 < p <= len(waiting) for p in places):
+            found = waiting[: places[0]] if kind == "first" else [waiting[p - 1] for p in places]
+    elif kind in ("except", "by"):
+        fitting = [t for t in waiting if name and called(t, 1 if kind == "by" else 2)]
+        if len(fitting) == 1:
+            found = fitting if kind == "by" else [t for t in waiting if t not in fitting]
+    if waiting and found is not None:
+        state["playlist"] += [t for t in dict.fromkeys(found) if t not in state["playlist"]]
+        state["pending"], state["names"] = [], {}
+
+
 def start() -> dict:
-    return {"playlist": [], "pending": [], "requests": [], "last": None, "lists": 0}
+    return {"playlist": [], "pending": [], "names": {}, "requests": [], "last": None, "lists": 0}
 
 
 def sessions(commands: DataFrame, key: str = "device_id") -> DataFrame:
-    """(key, seq, action, tracks, pending, lists): the state after each command of a stream (key, seq, action, track_id
-    [, request]). Commands of a batch are taken in order of seq; state lives in the state store under the key."""
-    rows = commands if "request" in commands.columns else commands.withColumn("request", F.lit(None).cast("string"))
-    kind = rows.schema[key].dataType.simpleString()
+    """(key, seq, action, tracks, pending, lists, playlist, waiting, requests): the state after each command of a stream
+    (key, seq, action, track_id [, request, names]); playlist and waiting are track ids joined by commas, requests by |.
+
+    A request goes with a suggestion and is remembered, or is what a user says to choose among suggestions. names is a
+    JSON object of suggested tracks to [artist, title]. Commands of a batch are taken in order of seq; state lives in the
+    state store under the key.
+    """
+    rows = commands
+    for c in ("request", "names"):
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("string"))
+    picked = choice(F.when(F.col("action") == "say", F.col("request")).otherwise(""))
+    rows = rows.withColumn("picked", picked).select(key, "seq", "action", "track_id", "request", "names", "picked.kind", "picked.numbers", F.col("picked.name").alias("said"))
+    type_of_key = rows.schema[key].dataType.simpleString()
+    columns = [key, "seq", "action", "tracks", "pending", "lists", "playlist", "waiting", "requests"]
 
     def advance(group: tuple, frames: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd.DataFrame]:
         state = json.loads(store.get[0]) if store.exists else start()
         out = []
         for r in pd.concat(list(frames)).sort_values("seq").itertuples(index=False):
-            state = step(state, *(x if isinstance(x, str) else None for x in (r.action, r.track_id, r.request)))
-            out.append((group[0], r.seq, r.action, len(state["playlist"]), len(state["pending"]), state["lists"]))
+            action, track, request, names, kind, said = (x if isinstance(x, str) else None for x in (r.action, r.track_id, r.request, r.names, r.kind, r.said))
+            state = step(state, action, track, request, json.loads(names) if names else None, (kind, [int(n) for n in r.numbers], said) if kind else None)
+            texts = (",".join(state["playlist"]), ",".join(state["pending"]), "|".join(state["requests"]))
+            out.append((group[0], r.seq, r.action, len(state["playlist"]), len(state["pending"]), state["lists"], *texts))
         store.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=[key, "seq", "action", "tracks", "pending", "lists"])
+        yield pd.DataFrame(out, columns=columns)
 
-    schema = f"{key} {kind}, seq long, action string, tracks int, pending int, lists int"
-    return rows.select(key, "seq", "action", "track_id", "request").groupBy(key).applyInPandasWithState(advance, schema, "state string", "append", GroupStateTimeout.NoTimeout)
+    schema = f"{key} {type_of_key}, seq long, action string, tracks int, pending int, lists int, playlist string, waiting string, requests string"
+    return rows.groupBy(key).applyInPandasWithState(advance, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:

@@ -4,8 +4,9 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from rankloom.operators import evaluation, ranking, tuning
+from rankloom.operators import evaluation, ranking, requests, tuning
 from rankloom.sources import storage
 
 
@@ -159,3 +160,16 @@ def test_fusion_search_finds_the_best_weights(spark):
     weights, scores = tuning.fusion_by_kind(a, b, kinds, gold, (0.0, 0.5, 2.0), 100, 4, {"HH": 0.0, "HL": 0.0, "LH": 0.0, "LL": 0.0})
     assert set(weights.values()) == {2.0}
     assert scores.count() == 2**4
+
+
+def test_requests_are_answered(spark):
+    asked = spark.createDataFrame([(1, "a", 2), (2, " ", 5), (3, "b", 0), (4, None, 3), (5, "c", 99), (6, "d", None)], "query_id long, query string, k int")
+    seen = []
+
+    def retrieve(live, depth):
+        seen.append((sorted(r["query_id"] for r in live.collect()), depth))
+        return live.where("query_id <> 6").select("query_id", F.posexplode(F.array(*map(F.lit, "xyz"))).alias("rank", "item_id")).withColumn("rank", F.col("rank") + 1)
+
+    out = {r["query_id"]: r["predicted_track_ids"] for r in requests.answered(asked, retrieve, 3).collect()}
+    assert out == {1: ["x", "y"], 2: [], 3: [], 4: [], 5: ["x", "y", "z"], 6: []}
+    assert seen == [([1, 5], 3)]

@@ -1,3 +1,6 @@
+import hashlib
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +68,33 @@ def test_artifact_is_checked_and_replayed(spark, tmp_path):
         storage.export_artifact(spark, _artifact(), {"times": times}, rank, other, path)
     settings, tables = storage.load_artifact(spark, path)
     assert settings["selective"]["weight"] == 1.35 and tables["times"].count() == 1
+    assert tables["rankings"].first()["predicted_track_ids"] == ["a", "b"]
+    folder = tmp_path / "artifact" / settings["tables"]["times"]
+    for row in storage.file_digests(spark, str(folder)).collect():
+        content = (folder / row["file"]).read_bytes()
+        assert (row["length"], row["sha256"]) == (len(content), hashlib.sha256(content).hexdigest())
+    times.limit(0).write.mode("append").parquet(str(folder))  # a file more
+    with pytest.raises(ValueError):
+        storage.load_artifact(spark, path)
     assert [r["query_id"] for r in storage.replay_mismatches(rank, other).collect()] == [1]
     for broken in ({"schema_version": 2}, {"diversity": {"protect": float("nan"), "weight": 0.1}}, {"selective": {}}, {"diversity_statistics": {}}):
         with pytest.raises(ValueError):
             storage.validated_artifact(_artifact() | broken)
+
+
+def test_best_so_far_is_saved_when_it_is_better(spark, tmp_path):
+    path = str(tmp_path / "best")
+    scores = lambda *rows: spark.createDataFrame(rows, "config_id int, final_score double")
+    assert storage.load_best(spark, path) is None
+    assert not storage.save_best(scores((1, None), (2, float("nan"))), path)
+    assert storage.save_best(scores((3, 0.5), (2, 0.5), (1, 0.4)), path)
+    assert not storage.save_best(scores((1, 0.5), (9, 0.1)), path)  # no better
+    assert tuple(storage.load_best(spark, path)) == (2, 0.5)
+    assert storage.save_best(scores((7, 0.6)), path)
+    assert tuple(storage.load_best(spark, path)) == (7, 0.6)
+
+
+def test_training_examples(spark, tmp_path):
+    (tmp_path / "examples.json").write_text(json.dumps({"add": ["add it", " ", "put it in"], "clear": []}, indent=1))
+    rows = storage.read_examples(spark, str(tmp_path / "examples.json")).collect()
+    assert sorted(map(tuple, rows)) == [("add", 0, "add it"), ("add", 2, "put it in")]

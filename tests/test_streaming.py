@@ -21,6 +21,23 @@ def test_states():
     assert cleared == S.start() | {"lists": 1}
 
 
+def test_words_choose_among_suggestions():
+    names = {"x": ["The Ants", "Red"], "y": ["The Bees", "Blue"], "z": ["The Ants", "Bee song"]}
+
+    def said(*picked):
+        return S.step(S.step(S.start(), "suggest", "x,y,z", "r", names), "say", None, None, None, picked)
+
+    for picked, playlist in (
+        (("all", [], ""), ["x", "y", "z"]), (("places", [-1, 1], ""), ["z", "x"]), (("first", [2], ""), ["x", "y"]),
+        (("by", [], "bees"), ["y"]), (("except", [], "blue"), ["x", "z"]), (("none", [], ""), []),
+    ):
+        assert (said(*picked)["playlist"], said(*picked)["pending"]) == (playlist, [])
+    # beyond what waits, a name of two tracks or of none, and words that are no choice: all go on waiting
+    for picked in (("first", [4], ""), ("places", [0], ""), ("places", [9], ""), ("by", [], "ants"), ("by", [], "red"), ("except", [], "bee"), ("except", [], "nobody")):
+        assert (said(*picked)["playlist"], said(*picked)["pending"]) == ([], ["x", "y", "z"])
+    assert S.step(S.start(), "say", None, None, None, ("all", [], "")) == S.start()
+
+
 def test_stream_keeps_state_between_batches(spark, tmp_path):
     schema = "device_id long, seq long, action string, track_id string"
     for n, rows in enumerate(([(1, 1, "add", "a"), (2, 1, "add", "z")], [(1, 2, "add", "b"), (1, 3, "remove", "a")], [(2, 2, "clear", None)])):
