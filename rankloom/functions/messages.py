@@ -58,7 +58,7 @@ def route(message: Column) -> Column:
     asks_help = said.isin(" help ", " help me ", " please help ", " please help me ") | _any(said, ("what can you do", "how do i use", "how can i use", "what can i ask", "what do you do"))
     listed = tuple(f"what{s} {at} {whose} playlist" for s in (" s", " is") for at in ("on", "in") for whose in ("my", "the"))
     return (
-        F.when(F.trim(said) == "", F.lit(None)).when(asks_help, "help").when((F.lower(F.trim(message)) == "/recommend") | suggest | what_else, "recommend").when(make, "create")
+        F.when(F.coalesce(F.trim(said) == "", F.lit(True)), F.lit(None)).when(asks_help, "help").when((F.lower(F.trim(message)) == "/recommend") | suggest | what_else, "recommend").when(make, "create")
         .when(_then(said, SHOWING, LISTS) | _any(said, listed), "view").when(_then(said, EMPTYING, LISTS), "clear")
         .when(F.size(_named(message, ADDING)) > 0, "add").when(F.size(_named(message, REMOVING)) > 0, "remove").otherwise("question")
     )
