@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,8 @@ FILTER_BITS, HASHES, MOST = 2048, 5, 160
 SLACK = 0.1
 #: Documents of a range, and ranges at most.
 RANGE_ROWS, MAX_RANGES = 500, 100_000
+#: Above the number of pieces into which a range is cut.
+MAX_PIECES = 1 << 20
 
 _F = np.round(np.arange(WINDOW + 2) * np.log2(np.maximum(np.arange(WINDOW + 2), 1)) * (1 << 12)).astype(np.int64)
 _GAIN = (_F[1:] - _F[:-1]).astype(np.int32)
@@ -168,43 +172,68 @@ def shown(digest: np.ndarray) -> str:
     return f"{len(digest)}:{base64.b64encode(digest.tobytes()).decode()}"
 
 
-def _ranged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, tail, key, doc_id, text) sorted within partitions: consecutive ranges of ids, each whole in a partition
-    and followed by a copy of the first row of the next range (of the first range, after the last).
+def _ranged(docs: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """(doc_id, text, part, tail) sorted within partitions: consecutive ranges of rows by id and hash of the text, each
+    whole in a partition and followed by a copy of the first row of the next range (of the first range, after the last).
 
-    Range bounds come from quantiles of the ids and the first ids of the ranges from a pass over the ids alone; both
-    have MAX_RANGES entries at most. Texts are shuffled once.
+    Range bounds come from quantiles of the ids and the first rows of the ranges from a pass over ids; both have some
+    MAX_RANGES entries at most. An id that fills several ranges is cut by the hash of its texts. Where one id and text
+    fill more than two ranges, all of these rows but one have an equal row for their next: they are dealt evenly with
+    tail 2, and follow themselves. Texts are shuffled once.
     """
-    low = F.lit(-(1 << 63)).cast("long")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), low).alias("key"))
-    n = max(1, min(MAX_RANGES, rows.count() // RANGE_ROWS))
+    low = -(1 << 63)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(low)).alias("key"))
+    total = rows.count()
+    n = max(1, min(MAX_RANGES, total // range_rows))
     cuts = rows.select(F.percentile_approx("key", [i / n for i in range(1, n)], max(10_000, 4 * n)).alias("q")).first()["q"] if n > 1 else []
     splits = [-float("inf"), *sorted({float(c) for c in cuts or []}), float("inf")]
     if len(splits) > 2:
         ranged = Bucketizer(splits=splits, inputCol="place", outputCol="part").transform(rows.withColumn("place", F.col("key").cast("double"))).drop("place")
-        ranged = ranged.withColumn("part", F.col("part").cast("int"))
+        ranged = ranged.withColumn("part", F.col("part").cast("long") * MAX_PIECES)
     else:
-        ranged = rows.withColumn("part", F.lit(0))
-    firsts = sorted(ranged.groupBy("part").agg(F.min("key").alias("key")).collect(), key=lambda r: r["part"])
-    before = {r["key"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}
-    spark = docs.sparkSession
-    tails = spark.createDataFrame(list(before.items()), "first long, into int") if before else spark.createDataFrame([], "first long, into int")
-    copies = ranged.join(F.broadcast(tails), F.col("key") == F.col("first")).select("doc_id", "text", "key", F.col("into").alias("part"), F.lit(1).alias("tail"))
-    both = ranged.select("doc_id", "text", "key", "part", F.lit(0).alias("tail")).union(copies)
-    return both.repartition("part").sortWithinPartitions("part", "tail", "key", "text").select("doc_id", "text", "part", "tail")
+        ranged = rows.withColumn("part", F.lit(0).cast("long"))
+    # ids from which doubles differ have a range that starts at them
+    often = {k: c for k, c in Counter(cuts or []).items() if c > 1 and (k == low or abs(k) < 1 << 53)}
+    ranged = _cut_by_text(ranged, often, splits, 2 * max(range_rows, total // n)) if often else ranged.withColumn("h", F.lit(0).cast("long")).withColumn("tail", F.lit(0))
+    first = F.min(F.struct("key", "h")).alias("first")
+    firsts = ranged.where("tail = 0").groupBy("part").agg(first).orderBy("part").collect()
+    tails = docs.sparkSession.createDataFrame([(r["first"]["key"], r["first"]["h"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)], "key long, h long, into long")
+    copies = ranged.where("tail = 0").join(F.broadcast(tails), ["key", "h"]).groupBy("into").agg(F.min(F.struct("text", "doc_id", "key", "h")).alias("x"))
+    copies = copies.select("x.doc_id", "x.text", "x.key", "x.h", F.col("into").alias("part"), F.lit(1).alias("tail"))
+    both = ranged.select("doc_id", "text", "key", "h", "part", "tail").union(copies)
+    return both.repartition("part").sortWithinPartitions("part", "tail", "key", "h", "text").select("doc_id", "text", "part", "tail")
 
 
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _cut_by_text(ranged: DataFrame, often: dict[int, int], splits: list[float], most: int) -> DataFrame:
+    """Cuts the ranges that start at one of the ids of `often` (id: pieces) by the hash of its texts, and sets apart rows
+    that stand more than `most` times. Adds h and tail; part grows within its range as (key, h) does."""
+    spark = ranged.sparkSession
+    hot = [((bisect_right(splits, float(k)) - 1) * MAX_PIECES, k, c) for k, c in often.items()]
+    ranged = ranged.join(F.broadcast(spark.createDataFrame(hot, "part long, hot long, pieces int")), "part", "left")
+    mine = F.col("key") == F.col("hot")
+    ranged = ranged.withColumn("h", F.when(mine, F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).withColumn("uid", F.monotonically_increasing_id())
+    again = ranged.where(mine).groupBy("key", "h").agg(F.count("*").alias("n"), F.min("uid").alias("one")).where(F.col("n") > most)
+    again = spark.createDataFrame(again.collect(), "key long, h long, n long, one long")  # total / most rows at most
+    ranged = ranged.join(F.broadcast(again), ["key", "h"], "left")
+    apart = F.coalesce(F.col("uid") != F.col("one"), F.lit(False))
+    last = F.col("pieces") - 1
+    piece = F.when(mine, F.least(last, F.floor((F.col("h").cast("double") / float(1 << 64) + 0.5) * F.col("pieces")))).otherwise(F.coalesce(last, F.lit(0)))
+    part = F.when(apart, -1 - F.pmod(F.xxhash64("uid"), F.lit(len(splits) + sum(often.values())))).otherwise(F.col("part") + piece)
+    return ranged.select("doc_id", "text", "key", "h", part.cast("long").alias("part"), F.when(apart, 2).otherwise(0).alias("tail"))
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_rows: int = RANGE_ROWS) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    The next document is that of the next id; rows with the same id follow each other by text, null ids come first,
-    and the first row follows the last (a lone row follows itself). A null text is empty. Likeness of equal digests,
+    The next document is that of the next id; rows with the same id follow each other by text (those of an id that fills
+    several ranges by the text's hash), null ids come first, and the first row follows the last (a lone row follows
+    itself). A null text is empty. Likeness of equal digests,
     empty ones included, is 1; an empty one is unlike any other. Ids are whole numbers; other types are a TypeError.
     """
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError(f"{id_col} must hold whole numbers")
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = _ranged(docs, id_col, text_col)
+    rows = _ranged(docs, id_col, text_col, range_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # (row, digest) whose next document is yet to come
@@ -214,6 +243,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
             seq = ([last] if last else []) + list(zip(part, found))
             last = seq[-1]
             pairs = [(r, d, s, e) for (r, d), (s, e) in zip(seq, seq[1:]) if not r[3] and r[2] == s[2]]
+            pairs += [(r, d, r, d) for r, d in zip(part, found) if r[3] == 2]
             if not pairs:
                 continue
             texts = [r[1] for r, _, _, _ in pairs]

@@ -63,6 +63,24 @@ def test_whole_table(docs):
         assert r["near_edited"] == P.likeness(own, changed) and r["near_next"] == P.likeness(own, other)
 
 
+def test_ids_that_fill_many_ranges(spark):
+    """A third of the rows without an id, an eighth under one id, and one of its texts again and again, over small ranges."""
+    rows = [(i, f"document {i} says " + "on and on " * (i % 7)) for i in range(300)]
+    rows += [(None, f"nameless {i} " * (1 + i % 5)) for i in range(250)] + [(40, f"same id {i} " * (1 + i % 3)) for i in range(90)] + [(40, "copied text of one id")] * 120 + [(None, None)] * 90
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "text")
+    hashed = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()
+    order = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["h"], r["text"]) for r in hashed)
+    parts = P._ranged(docs, "doc_id", "text", 20).where("tail <> 1").groupBy("part").count().collect()
+    assert max(r["count"] for r in parts) < 120
+    want = Counter()
+    for (i, _, text), (_, _, after) in zip(order, order[1:] + order[:1]):
+        half = len(text) // 2
+        want[(i, len(text), hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest())] += 1
+    got = P.fingerprint_documents(docs, range_rows=20).collect()
+    assert Counter((-1 if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    assert P.fingerprint_documents(docs.where("doc_id = 40 AND text LIKE 'copied%'"), range_rows=20).where("near_next = 1").count() == 120
+
+
 def test_digests_window_by_window(docs):
     texts = [r["text"].encode()[:3000] for r in docs.where("text is not null").limit(25).collect()] + [b"", b"a", b"same " * 200, bytes(range(256)), b"x" * 159, b"short text of words"]
     for text, digest in zip(texts, P.digests(texts)):
