@@ -198,8 +198,10 @@ def _ranged(docs: DataFrame, id_col: str, text_col: str, range_rows: int = RANGE
     first = F.min(F.struct("key", "h")).alias("first")
     firsts = ranged.where("tail = 0").groupBy("part").agg(first).orderBy("part").collect()
     tails = docs.sparkSession.createDataFrame([(r["first"]["key"], r["first"]["h"], firsts[i - 1]["part"]) for i, r in enumerate(firsts)], "key long, h long, into long")
-    copies = ranged.where("tail = 0").join(F.broadcast(tails), ["key", "h"]).groupBy("into").agg(F.min(F.struct("text", "doc_id", "key", "h")).alias("x"))
-    copies = copies.select("x.doc_id", "x.text", "x.key", "x.h", F.col("into").alias("part"), F.lit(1).alias("tail"))
+    copies = ranged.where("tail = 0").join(F.broadcast(tails), ["key", "h"]).select("doc_id", "text", "key", "h", F.col("into").alias("part"), F.lit(1).alias("tail"))
+    if often:  # a range may start with many equal rows, of which the range before needs one
+        one = copies.groupBy("part").agg(F.min(F.struct("text", "doc_id", "key", "h")).alias("x"))
+        copies = one.select("x.doc_id", "x.text", "x.key", "x.h", "part", F.lit(1).alias("tail"))
     both = ranged.select("doc_id", "text", "key", "h", "part", "tail").union(copies)
     return both.repartition("part").sortWithinPartitions("part", "tail", "key", "h", "text").select("doc_id", "text", "part", "tail")
 
