@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.sources import adapters
-from rankloom.sources.storage import staged
+from rankloom.sources.storage import fresh_path, staged
 from rankloom.streaming import sessions as S
 
 _ACTIONS = {"signup": "new", "click": "add", "purchase": "save", "view": "open", "error": "clear"}
@@ -34,6 +34,13 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.sessions(_commands(spark, sf_dir)), "sessions").select("device_id", "seq", "action", "tracks", "lists")
 
 
+def stream_saved_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each list of each device as it was saved after its last update."""
+    path = fresh_path(spark, "saved-lists")
+    S.autosave(S.sessions(_commands(spark, sf_dir)), path).awaitTermination()
+    return S.saved_lists(spark, path)
+
+
 #: What users say to suggestions, by event.
 _SAID = ("add all of them", "the second one", "none of these", "all except the one by Brand#2", "first 2", "1 and 3", "number 9", "the last one", "add the one by Brand#1")
 
@@ -62,9 +69,11 @@ def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.tumbling(rows), "tumbling")
 
 
-QUERIES = {f.__name__: f for f in (stream_turns, stream_sessions, stream_choices, events_tumbling)}
+QUERIES = {f.__name__: f for f in (stream_turns, stream_sessions, stream_saved_lists, stream_choices, events_tumbling)}
 _LOG = """log AS (SELECT user_id AS device_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'new' WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'save' WHEN 'view' THEN 'open' WHEN 'error' THEN 'clear' END AS action,
   CAST(json_extract_string(props, '$.k') AS BIGINT) % (SELECT count(*) FROM part) AS track FROM events)"""
+_EPOCHS = """e AS (SELECT *, count(*) FILTER (action IN ('new', 'clear')) OVER d AS epoch, count(*) FILTER (action = 'new') OVER d AS lists FROM log WINDOW d AS (PARTITION BY device_id ORDER BY seq)),
+f AS (SELECT *, CASE WHEN action = 'add' AND track IS NOT NULL AND row_number() OVER (PARTITION BY device_id, epoch, track, action = 'add' ORDER BY seq) = 1 THEN 1 ELSE 0 END AS fresh FROM e)"""
 #: What is chosen of what waits, null if the words choose nothing that is there; m is the number of the words.
 _CHOSEN = """CASE m WHEN 0 THEN waiting WHEN 1 THEN CASE WHEN len(waiting) >= 2 THEN waiting[2:2] END WHEN 2 THEN waiting[1:0]
   WHEN 3 THEN CASE WHEN len(list_filter(waiting, lambda x: contains(lower(x.artist), 'brand#2') OR contains(lower(x.title), 'brand#2'))) = 1 THEN list_filter(waiting, lambda x: NOT (contains(lower(x.artist), 'brand#2') OR contains(lower(x.title), 'brand#2'))) END
@@ -90,9 +99,11 @@ SELECT device_id, seq, action, array_to_string(playlist, ',') AS playlist, array
 SQL = {
     "stream_choices": _CHOICES,
     "stream_turns": "SELECT conv_id AS session_id, turn // 2 + 1 AS turn_number, trim(text) AS request FROM conversations WHERE role = 'user' AND trim(text) <> ''",
-    "stream_sessions": f"""WITH {_LOG}, e AS (SELECT *, count(*) FILTER (action IN ('new', 'clear')) OVER d AS epoch, count(*) FILTER (action = 'new') OVER d AS lists FROM log WINDOW d AS (PARTITION BY device_id ORDER BY seq)),
-f AS (SELECT *, CASE WHEN action = 'add' AND track IS NOT NULL AND row_number() OVER (PARTITION BY device_id, epoch, track, action = 'add' ORDER BY seq) = 1 THEN 1 ELSE 0 END AS fresh FROM e)
+    "stream_sessions": f"""WITH {_LOG}, {_EPOCHS}
 SELECT device_id, seq, action, CAST(sum(fresh) OVER (PARTITION BY device_id, epoch ORDER BY seq) AS INT) AS tracks, CAST(lists AS INT) AS lists FROM f""",
+    "stream_saved_lists": f"""WITH {_LOG}, {_EPOCHS}, u AS (SELECT device_id, lists, max(epoch) AS epoch, max(seq) FILTER (action IN ('new', 'clear', 'add')) AS last FROM f GROUP BY 1, 2)
+SELECT u.device_id, CAST(u.lists AS INT) AS lists, u.last AS seq, coalesce(string_agg(CAST(track AS VARCHAR), ',' ORDER BY f.seq) FILTER (fresh = 1), '') AS playlist
+FROM u JOIN f ON f.device_id = u.device_id AND f.lists = u.lists AND f.epoch = u.epoch WHERE u.last IS NOT NULL GROUP BY 1, 2, 3""",
     "events_tumbling": """WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM events)""",
 }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankloom.functions.messages import choice
@@ -14,6 +15,8 @@ from rankloom.sources.storage import fresh_path
 
 #: Requests that a session remembers.
 MEMORY = 2
+#: Commands after which the active list is saved.
+UPDATES = ("new", "clear", "add", "remove", "choose", "say")
 
 
 def turn_source(spark: SparkSession, path: str, schema: str, files_per_batch: int = 1) -> DataFrame:
@@ -109,6 +112,28 @@ def sessions(commands: DataFrame, key: str = "device_id") -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(advance, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def autosave(states: DataFrame, path: str, key: str = "device_id") -> StreamingQuery:
+    """Saves the lists of a stream of states, as `sessions` gives them, at path after the updates of each batch.
+
+    A created list has a number of its own, so it is saved beside the former ones, which stay; other updates are saved to
+    the active list. A batch that is run again overwrites its own files, so that each state is saved once. Runs over all
+    that is there; a later call with the same path goes on where this one ended.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        updates = batch.where(F.col("action").isin(*UPDATES))
+        last = updates.groupBy(key, "lists").agg(F.max("seq").alias("seq"), F.max_by("playlist", "seq").alias("playlist"))
+        last.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+
+    return states.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
+
+
+def saved_lists(spark: SparkSession, path: str, key: str = "device_id") -> DataFrame:
+    """(key, lists, seq, playlist): each list that was saved at path, as it was saved last."""
+    rows = spark.read.parquet(f"{path}/batch-*")
+    return rows.groupBy(key, "lists").agg(F.max("seq").alias("seq"), F.max_by("playlist", "seq").alias("playlist"))
+
+
 def tumbling(events: DataFrame, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
     """(window_start, event_type, n, total) of event-time windows; what comes later than `late` is dropped."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)

@@ -45,3 +45,17 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
     source = S.turn_source(spark, str(tmp_path / "in/*"), schema)
     rows = {(r["device_id"], r["seq"]): r["tracks"] for r in S.drained(S.sessions(source), "test").collect()}
     assert rows == {(1, 1): 1, (1, 2): 2, (1, 3): 1, (2, 1): 1, (2, 2): 0}
+
+
+def test_lists_are_saved_after_updates_and_a_restart_goes_on(spark, tmp_path):
+    schema, path = "device_id long, seq long, action string, track_id string", str(tmp_path / "saved")
+
+    def run(n, *rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        S.autosave(S.sessions(S.turn_source(spark, str(tmp_path / "in/*"), schema)), path).awaitTermination()
+        return {(r["device_id"], r["lists"]): (r["seq"], r["playlist"]) for r in S.saved_lists(spark, path).collect()}
+
+    assert run(0, (1, 1, "add", "a"), (1, 2, "add", "b"), (2, 1, "open", "z")) == {(1, 0): (2, "a,b")}
+    later = run(1, (1, 3, "suggest", "x,y"), (1, 4, "new", None), (1, 5, "choose", "1"), (2, 2, "add", "z"))
+    assert later == {(1, 0): (2, "a,b"), (1, 1): (5, ""), (2, 0): (2, "z")}  # a new list forgets what was suggested
+    assert run(2, (1, 6, "add", "c"), (2, 3, "clear", None)) == {(1, 0): (2, "a,b"), (1, 1): (6, "c"), (2, 0): (3, "")}
