@@ -130,7 +130,7 @@ def autosave(states: DataFrame, path: str, key: str = "device_id") -> StreamingQ
 
 def saved_lists(spark: SparkSession, path: str, key: str = "device_id") -> DataFrame:
     """(key, lists, seq, playlist): each list that was saved at path, as it was saved last."""
-    rows = spark.read.parquet(f"{path}/batch-*")
+    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
     return rows.groupBy(key, "lists").agg(F.max("seq").alias("seq"), F.max_by("playlist", "seq").alias("playlist"))
 
 

@@ -59,3 +59,12 @@ def test_lists_are_saved_after_updates_and_a_restart_goes_on(spark, tmp_path):
     later = run(1, (1, 3, "suggest", "x,y"), (1, 4, "new", None), (1, 5, "choose", "1"), (2, 2, "add", "z"))
     assert later == {(1, 0): (2, "a,b"), (1, 1): (5, ""), (2, 0): (2, "z")}  # a new list forgets what was suggested
     assert run(2, (1, 6, "add", "c"), (2, 3, "clear", None)) == {(1, 0): (2, "a,b"), (1, 1): (6, "c"), (2, 0): (3, "")}
+
+
+def test_no_updates_save_no_list(spark, tmp_path):
+    schema = "device_id long, seq long, action string, track_id string"
+    for name, rows in (("none", []), ("looks", [(1, 1, "open", "a"), (None, 2, None, None)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}/0"))
+        source = S.turn_source(spark, str(tmp_path / f"{name}/*"), schema)
+        S.autosave(S.sessions(source), str(tmp_path / f"{name}-saved")).awaitTermination()
+        assert S.saved_lists(spark, str(tmp_path / f"{name}-saved")).collect() == []
