@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankloom.llm import decontamination, fingerprints, html_extract, language_id, mixing, pii, quality, sharding, simhash, token_counts
+from rankloom.llm import decontamination, fingerprints, html_extract, language_id, lexical_search, line_dedup, mixing, pii, prefix_trie, quality, sharding, simhash, token_counts
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,19 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return line_dedup.dedup(docs, line_dedup.LineState.create(docs), digest=True).withColumnRenamed("kept", "kept_sha256")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -65,11 +78,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_simhash_near_duplicates, op2_source_mixing, op3_quality_classifier, op4_document_fingerprints,
         op5_pii_spans, op6_token_counts,
-        op7_sharding, op8_language_id, op9_benchmark_decontamination, op10_html_extraction, pipeline,
+        op7_sharding, op8_language_id, op9_benchmark_decontamination, op10_html_extraction, op11_lexical_search, op12_line_dedup, op13_prefix_trie, pipeline,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    """Word hashing, learned models and library tokenizers have no SQL form; tests hold these queries against brute force."""
-    return {}
+    """Word hashing, learned models and library tokenizers have no SQL form; tests hold those queries against brute force."""
+    return {"op11_lexical_search": lexical_search.SQL, "op12_line_dedup": line_dedup.SQL, "op13_prefix_trie": prefix_trie.SQL}
