@@ -229,14 +229,43 @@ def _case(templates: tuple[str, ...], number: str, **fill: str) -> str:
     return f"CASE {number} % {len(templates)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(filled)) + " END"
 
 
+#: What the SQL of the routes knows: phrases by family, and rules (place, route, family, second family, in this order or
+#: in any). A message goes the way of the rule in the lowest place of which it has a phrase of each family.
+PHRASES = {
+    "cry": ("help", "help me", "please help", "please help me"),
+    "how": ("what can you do", "how do i use", "how can i use", "what can i ask", "what do you do"),
+    "advise": ("recommend", "recommends", "recommendation", "recommendations", "suggest", "suggests", "suggestion", "suggestions"),
+    "ware": ("song", "songs", "track", "tracks", "music", "something", "playlist", "few more", "more like", "like these"),
+    "else": ("what else",),
+    "suit": ("sound good", "go well", "goes well", "fit"),
+    "make": ("create", "make", "build", "generate", "put together"),
+    "set": ("playlist", "songs", "tracks", "music"),
+    "join": ("put together",),
+    "some": ("some", "a", "an"),
+    "give": ("give me", "i want", "i need"),
+    "list": ("playlist",),
+    "see": ("show", "view", "display", "see", "list"),
+    "on": ("what s on my playlist", "what s on the playlist", "what s in my playlist", "what s in the playlist", "what is on my playlist", "what is on the playlist", "what is in my playlist", "what is in the playlist"),
+    "drop": ("clear", "empty", "reset", "delete all", "remove all"),
+}
+RULES = (
+    (1, "help", "how", "", False), (2, "recommend", "advise", "ware", False), (2, "recommend", "else", "suit", True), (3, "create", "make", "set", False), (3, "create", "join", "some", True),
+    (3, "create", "give", "list", True), (4, "view", "see", "list", True), (4, "view", "on", "", False), (5, "clear", "drop", "list", True),
+)
+POLITE = ("please", "could", "can", "would", "will", "you", "i", "d", "like", "to", "want")
 _SAID = f"""said AS (SELECT concat('track ', p_partkey) AS query_id, p_partkey AS n, p_partkey % {len(SAID)} AS k, p_name AS t, p_brand AS a, {_case(SAID, "p_partkey", t="p_name", a="p_brand", w="string_split(p_name, ' ')[1]")} AS text FROM part
   UNION ALL SELECT concat('dialogue ', conv_id, ' ', turn), NULL, NULL, NULL, NULL, text FROM conversations WHERE role = 'user'),
-heard AS (SELECT *, concat(' ', array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+'), ' '), ' ') AS s FROM said),
-routed AS (SELECT *, CASE WHEN trim(s) = '' THEN NULL WHEN regexp_matches(s, '^ (please )?help (me )?$| what can you do | how (do|can) i use | what can i ask | what do you do ') THEN 'help'
-  WHEN (regexp_matches(s, ' (recommend|suggest)(s|ion|ions|ation|ations)? ') AND regexp_matches(s, ' (songs?|tracks?|music|something|playlist|few more|more like|like these) ')) OR (regexp_matches(s, ' what else .*(sound good|goe?s? well|fit) ') AND regexp_matches(s, ' (songs?|tracks?|playlist|have) ')) THEN 'recommend'
-  WHEN (regexp_matches(s, ' (create|make|build|generate|put together) ') AND regexp_matches(s, ' (playlist|songs|tracks|music) ')) OR regexp_matches(s, ' put together (.* )?(some|an?) ') OR regexp_matches(s, ' (give me|i want|i need) (.* )?playlist ') THEN 'create'
-  WHEN regexp_matches(s, ' (show|view|display|see|list) (.* )?playlist | what (s|is) (on|in) (my|the) playlist ') THEN 'view' WHEN regexp_matches(s, ' (clear|empty|reset|delete all|remove all) (.* )?playlist ') THEN 'clear'
-  WHEN regexp_matches(s, '^ ((please|could|can|would|will|you|i|d|like|to|want) )*(add|put|include) .') THEN 'add' WHEN regexp_matches(s, '^ ((please|could|can|would|will|you|i|d|like|to|want) )*(remove|delete|take out) .') THEN 'remove' ELSE 'question' END AS route FROM heard)"""
+heard AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}_]+') AS w, concat(' ', array_to_string(w, ' '), ' ') AS s FROM said),
+phrase(family, phrase) AS (VALUES {", ".join(str((family, p)) for family, phrases in PHRASES.items() for p in phrases)}),
+rule(place, route, one, two, ordered) AS (VALUES {", ".join(map(str, RULES))}),
+fired AS (SELECT query_id, place, route FROM heard JOIN phrase x ON contains(s, concat(' ', x.phrase, ' ')) JOIN rule ON rule.one = x.family JOIN phrase y ON rule.two = y.family
+    AND contains(CASE WHEN ordered THEN substr(s, strpos(s, concat(' ', x.phrase, ' ')) + length(x.phrase) + 1) ELSE s END, concat(' ', y.phrase, ' '))
+  UNION ALL SELECT query_id, place, route FROM heard JOIN phrase x ON contains(s, concat(' ', x.phrase, ' ')) JOIN rule ON rule.one = x.family AND rule.two = ''
+  UNION ALL SELECT query_id, 1, 'help' FROM heard JOIN phrase ON family = 'cry' AND s = concat(' ', phrase, ' ')
+  UNION ALL SELECT query_id, place, route FROM (SELECT *, list_filter(w, lambda x, i: i >= coalesce(list_position(list_transform(w, lambda y: list_contains({list(POLITE)}, y)), false), 1000000)) AS rest FROM heard)
+    JOIN (VALUES (6, 'add', 'add', ''), (6, 'add', 'put', ''), (6, 'add', 'include', ''), (7, 'remove', 'remove', ''), (7, 'remove', 'delete', ''), (7, 'remove', 'take', 'out')) v(place, route, verb, more)
+    ON rest[1] = verb AND ((more = '' AND len(rest) > 1) OR (rest[2] = more AND len(rest) > 2))),
+routed AS (SELECT heard.*, CASE WHEN len(w) > 0 THEN coalesce(f.route, 'question') END AS route FROM heard LEFT JOIN (SELECT query_id, arg_min(route, place) AS route FROM fired GROUP BY query_id) f USING (query_id))"""
 _ASKED = f"""lines AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_linenumber % {len(ASKED)} AS k, string_split(p_name, ' ')[1] AS w, {_case(THEMES, "l_orderkey")} AS x FROM lineitem JOIN part ON p_partkey = l_partkey),
 themes AS (SELECT *, CASE WHEN k = 3 OR x = 'wooden' THEN NULL WHEN k = 0 THEN concat(w, ' ', x) WHEN k = 1 THEN concat(x, ' ', w) WHEN x = 'sad love' THEN concat(x, ' songs ', w) ELSE concat(x, ' ', w) END AS theme FROM lines)"""
 _ALL = f"WITH {ctes.CATALOG}, {ctes.MESSAGES}, {ctes.SESSIONS}"
