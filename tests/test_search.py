@@ -3,7 +3,7 @@
 import re
 from difflib import SequenceMatcher
 
-from rankloom.operators import search
+from rankloom.operators import near, search
 from rankloom.plans import registry
 from rankloom.sources import adapters
 
@@ -64,7 +64,7 @@ def test_search_of_odd_names(spark, monkeypatch):
     requests = spark.createDataFrame(asked, "query_id long, title string, artist string")
     wanted = {k: v for k, v in brute(asked, rows, 3).items() if v}
     assert rows_of(search.search_tracks(requests, tracks, 3)) == wanted
-    monkeypatch.setattr(search, "BROADCAST_NAMES", 0)  # dealt out by length and salt instead
+    monkeypatch.setattr(near, "WANTED", 3)  # more tiles
     assert rows_of(search.search_tracks(requests, tracks, 3)) == wanted
 
 
