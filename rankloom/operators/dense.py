@@ -1,70 +1,73 @@
-"""Dense top-k: cosine or dot product of all items with a set of queries, by blocks of items."""
+"""Dense top-k: cosine or dot product of all items with a set of queries, in tiles of a block of each."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from rankloom.operators.tiles import tiled
+
+#: Queries and items of a tile.
+QUERIES, ITEMS = 1024, 4096
+
 
-#: Queries whose vectors go to the tasks at once; more are answered in further rounds of this size.
-QUERY_BLOCK = 8192
+def whole(vector: Column, dim: int | None = None) -> Column:
+    """Whether a vector is there, without nulls, and of length dim if that is given."""
+    there = vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull())
+    return F.coalesce(there & (F.size(vector) == dim) if dim is not None else there, F.lit(False))
 
 
-def top_k(queries: DataFrame, items: DataFrame, k: int, first: int | None = None, cosine: bool = True, decimals: int = 6) -> DataFrame:
+def validity(vectors: DataFrame, dim: int | None = None) -> DataFrame:
+    """(length, valid, dropped): how many vectors of each length are used and how many are not; null has length null."""
+    ok = whole(F.col("vector"), dim)
+    length = F.when(F.col("vector").isNotNull(), F.size("vector"))
+    return vectors.groupBy(length.alias("length")).agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("dropped"))
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int, first: int | None = None, cosine: bool = True, decimals: int = 6, dim: int | None = None) -> DataFrame:
     """(query_id, rank, item_id, score): the k best items of each query by (rounded score, smaller id).
 
-    queries (query_id, vector) and items (item_id, vector); `first` cuts the vectors. Vectors that are null or of
-    another length than the first query's are left out. Each block of items is multiplied with all vectors of a block
-    of queries, and only the k best of a block leave the task, so the shuffle holds k rows a query and block.
+    queries (query_id, vector) and items (item_id, vector); `first` cuts the vectors. A query meets the items whose
+    vectors are as long as its own; with dim, only vectors of that length are used. Vectors that are null, empty or hold
+    a null are left out (see validity). Blocks of queries and items meet in tiles, of which only the k best of each query
+    go on, so nothing is collected and the shuffle holds the blocks and k rows a query and tile.
     """
-    asked = queries.where(F.col("vector").isNotNull()).select("query_id", "vector")
-    n = asked.count()
-    rounds = max(1, -(-n // QUERY_BLOCK))
-    if rounds == 1:
-        parts = [asked]
-    else:
-        parts = [asked.where(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == r) for r in range(rounds)]
-    scored = reduce(DataFrame.union, [_scored(part, items, k, first, cosine, decimals) for part in parts])
+    asked = queries.where(whole(F.col("vector"), dim)).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    known = items.where(whole(F.col("vector"), dim)).select("item_id", F.col("vector").cast("array<double>").alias("vector"))
+    types = (asked.schema["query_id"].dataType.simpleString(), known.schema["item_id"].dataType.simpleString())
+    scored = tiled(asked, known, QUERIES, ITEMS, _best(k, first, cosine, decimals), f"query_id {types[0]}, item_id {types[1]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "item_id", "score")
 
 
-def _scored(queries: DataFrame, items: DataFrame, k: int, first: int | None, cosine: bool, decimals: int) -> DataFrame:
-    rows = queries.collect()  # QUERY_BLOCK vectors, or little more
-    dim = len(rows[0]["vector"]) if rows else 0
-    rows = [r for r in rows if len(r["vector"]) == dim]
-    ids = np.array([r["query_id"] for r in rows], np.int64)
-    asked = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), dim)[:, :first]
-    if cosine:
-        asked = _unit(asked)
-    shipped = items.sparkSession.sparkContext.broadcast((ids, asked))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wanted = shipped.value
-        for b in batches:
-            if not b.num_rows or not len(names):
-                continue
-            item = b.column(0).to_numpy()
-            block = b.column(1).flatten().to_numpy().reshape(b.num_rows, dim)[:, :first]
-            score = np.round(wanted @ (_unit(block) if cosine else block).T, decimals)
-            out = []
-            for q, row in enumerate(score):
+def _best(k: int, first: int | None, cosine: bool, decimals: int):
+    def tile(queries: pa.Table, items: pa.Table) -> pa.Table:
+        items = items.take(pc.sort_indices(items.column("item_id")))  # a smaller place is a smaller id
+        places: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for dim in pc.unique(pc.list_value_length(queries.column("vector"))).to_pylist():
+            rows, wanted = _matrix(queries.column("vector"), dim, first, cosine)
+            held, known = _matrix(items.column("vector"), dim, first, cosine)
+            for q, row in zip(rows, np.round(wanted @ known.T, decimals)):
+                at = np.arange(len(row))
                 if len(row) > k:
                     edge = np.partition(row, len(row) - k)[len(row) - k]
-                    place = np.flatnonzero(row >= edge)
-                    place = place[np.lexsort((item[place], -row[place]))[:k]]
-                else:
-                    place = np.arange(len(row))
-                out.append((np.full(len(place), names[q]), item[place], row[place]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["query_id", "item_id", "score"])
+                    at = np.concatenate([np.flatnonzero(row > edge), np.flatnonzero(row == edge)])[:k]
+                places.append((np.full(len(at), q), held[at], row[at]))
+        q, i, score = (np.concatenate(x) for x in zip(*places)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"query_id": queries.column("query_id").take(pa.array(q)), "item_id": items.column("item_id").take(pa.array(i)), "score": score})
+
+    return tile
+
 
-    fits = items.where(F.col("vector").isNotNull() & (F.size("vector") == dim) & ~F.exists("vector", lambda x: x.isNull()))
-    return fits.select("item_id", "vector").mapInArrow(run, "query_id long, item_id long, score double")
+def _matrix(vectors: pa.ChunkedArray, dim: int, first: int | None, cosine: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(places, rows) of the vectors of one length."""
+    fits = pc.equal(pc.list_value_length(vectors), dim)
+    rows = pc.list_flatten(vectors.filter(fits)).to_numpy().reshape(-1, dim)[:, :first]
+    return np.flatnonzero(fits.to_numpy()), unit(rows) if cosine else rows
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
+def unit(rows: np.ndarray) -> np.ndarray:
     norm = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
     return rows / np.where(norm == 0, 1, norm)

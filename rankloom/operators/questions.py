@@ -151,10 +151,34 @@ def slots(asked: DataFrame, index: DataFrame, id_col: str = "query_id") -> DataF
     )
 
 
-def _tracks_of(rows: DataFrame, column: str, kind: str, names: DataFrame, id_col: str) -> DataFrame:
-    """(id, track_id) of the tracks whose title, artist or album is one of the names in a column."""
-    each = rows.select(id_col, F.explode(column).alias("name"))
-    return each.join(names.where(F.col("kind") == kind).select("name", "track_id"), "name").select(id_col, "track_id").distinct()
+def _best(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, track_id, popularity): the CHOICES most popular tracks of each combination of names."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("popularity"), "track_id")
+    return rows.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= CHOICES).select(*keys, "track_id", "popularity")
+
+
+def _candidates(live: DataFrame, names: DataFrame, tracks: DataFrame, id_col: str) -> DataFrame:
+    """(id, track_id, popularity): the CHOICES best tracks, or all if fewer, that fit the title, and the artist and the
+    album where a question gives them.
+
+    Questions meet the combinations of names that they ask for, of which only the best tracks are kept, so a name that
+    very many tracks share brings no more rows than another.
+    """
+    of = lambda kind: names.where(F.col("kind") == kind).select(F.col("name").alias(kind), "track_id")
+    wanted = live.select(F.explode("titles").alias("title")).distinct()
+    base = of("title").join(wanted, "title", "left_semi").join(tracks.select("track_id", scalars.popularity(F.col("popularity")).alias("popularity")), "track_id")
+    by, on = F.col("artist").isNotNull(), F.col("album").isNotNull()
+    found = None
+    for given, kinds in ((~by & ~on, []), (by & ~on, ["artist"]), (~by & on, ["album"]), (by & on, ["artist", "album"])):
+        rows = live.where(given).select(id_col, F.explode("titles").alias("title"), "artists", "held")
+        known = base
+        for kind, column in (("artist", "artists"), ("album", "held")):
+            if kind in kinds:
+                rows, known = rows.withColumn(kind, F.explode(column)), known.join(of(kind), "track_id")
+        keys = ["title", *kinds]
+        each = rows.select(id_col, *keys).join(_best(known.select(*keys, "track_id", "popularity"), keys), keys).select(id_col, "track_id", "popularity")
+        found = each if found is None else found.union(each)
+    return found
 
 
 def _quoted(before: str, x: Column, after: str) -> Column:
@@ -166,12 +190,23 @@ def answered(questions: DataFrame, tracks: DataFrame, id_col: str = "query_id",
 
     outcome: `track` with one track that is answered, `choose` with five at most, the most popular first and the smaller
     id among equals, `album` with its performers, `which_album`, or what could not be found: `no_artist`, `no_album`,
-    `no_name`, `no_track`. last_col holds the id of the track spoken of last, if one was.
+    `no_name`, `no_track`. last_col holds the id of the track spoken of last, if one was. Equal questions are answered
+    once.
     """
+    last = F.col(last_col) if last_col is not None else F.lit(None).cast("string")
+    each = questions.select(id_col, F.col(text_col).alias("text"), last.alias("last")).where("text is not null")
+    each = staged(each.withColumn("class", F.md5(F.concat(F.length("text").cast("string"), F.lit(" "), "text", F.coalesce("last", F.lit("")), F.col("last").isNull().cast("string")))), "asked")
+    answers = _resolved(staged(each.select("class", "text", "last").distinct(), "classes"), tracks)
+    return each.select(id_col, "class").join(answers, "class").drop("class")
+
+
+def _resolved(questions: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(class, outcome, answer, track_ids) of different questions (class, text, last)."""
+    key = "class"
     names = staged(search._names(tracks), "names")
     index = staged(search.name_index(tracks), "index")
-    asked = staged(parsed(questions, id_col, text_col), "questions")
-    rows = staged(slots(asked, index, id_col), "slots")
+    asked = staged(parsed(questions, key), "questions")
+    rows = slots(asked, index, key)
     shown = tracks.select("track_id", scalars.display(F.col("track_name")).alias("title"), scalars.display(F.col("artist_name")).alias("by"), scalars.display_track(F.col("track_name"), F.col("artist_name"), F.col("album_name")).alias("line"), scalars.popularity(F.col("popularity")).alias("popularity"))
     size = lambda c: F.size(c) > 0
     missing = F.when(F.col("artist").isNotNull() & ~size("artists"), "no_artist").when(F.col("album").isNotNull() & ~size("held"), "no_album").when(~size("titles") & ~size("albums"), "no_name").when(~size("titles"), "album").otherwise("track")
@@ -179,52 +214,52 @@ def answered(questions: DataFrame, tracks: DataFrame, id_col: str = "query_id",
     lost = rows.where(F.col("way").isin("no_artist", "no_album", "no_name"))
     text = F.when(F.col("way") == "no_artist", _quoted("I couldn't find the artist ", F.col("artist"), " in the catalog. Please check the name.")).when(F.col("way") == "no_album", _quoted("I couldn't find the album ", F.col("album"), " in the catalog. Please check the name.")).otherwise(_quoted("I couldn't find a track or album matching ", F.col("target"), " in the catalog."))
     none = F.array().cast("array<string>")
-    out = lost.select(id_col, F.col("way").alias("outcome"), text.alias("answer"), none.alias("track_ids"))
-
-    def within(found: DataFrame, live: DataFrame, column: str, kind: str, given: str) -> DataFrame:
-        """Tracks of found that the names in a column hold too, where a question gives some."""
-        held = _tracks_of(live.where(F.col(given).isNotNull()), column, kind, names, id_col)
-        free = live.where(F.col(given).isNull()).select(id_col)
-        return found.join(free, id_col, "left_semi").union(found.join(held, [id_col, "track_id"], "left_semi").select(id_col, "track_id"))
-
+    out = lost.select(key, F.col("way").alias("outcome"), text.alias("answer"), none.alias("track_ids"))
     live = rows.where("way = 'track'")
-    found = within(_tracks_of(live, "titles", "title", names, id_col), live, "artists", "artist", "artist")
-    found = within(staged(found, "found"), live, "held", "album", "album")
-    same = asked.where("same").select(id_col)
-    if last_col is not None:
-        last = questions.select(id_col, F.col(last_col).alias("track_id")).where("track_id is not null")
-        # a title that is asked for again without more is the track spoken of last
-        again = live.where("artist is null and album is null").select(id_col, F.try_element_at("titles", F.lit(1)).alias("name")).join(last, id_col)
-        again = again.join(names.where("kind = 'title'").select("name", "track_id"), ["name", "track_id"], "left_semi").select(id_col, "track_id")
-        found = found.join(again.select(id_col), id_col, "left_anti").union(again).union(same.join(last, id_col).select(id_col, "track_id"))
+    found = _candidates(live, names, tracks, key).select(key, "track_id")
+    last = questions.where("last is not null").select(key, F.col("last").alias("track_id"))
+    # a title that is asked for again without more is the track spoken of last
+    again = live.where("artist is null and album is null").select(key, F.try_element_at("titles", F.lit(1)).alias("name")).join(last, key)
+    again = staged(again.join(names.where("kind = 'title'").select("name", "track_id"), ["name", "track_id"], "left_semi").select(key, "track_id"), "again")
+    same = asked.where("same").select(key)
+    found = found.join(again.select(key), key, "left_anti").union(again).union(same.join(last, key).select(key, "track_id"))
     found = staged(found.distinct(), "candidates")
-    order = Window.partitionBy(id_col).orderBy(F.desc("popularity"), "track_id")
+    order = Window.partitionBy(key).orderBy(F.desc("popularity"), "track_id")
     ranked = found.join(shown, "track_id").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CHOICES)
-    lists = ranked.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "track_id", "line", "title", "by"))).alias("l"))
+    lists = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "track_id", "line", "title", "by"))).alias("l"))
     ids = F.transform("l", lambda x: x["track_id"])
     first = F.col("l")[0]
     one = F.when(first["by"] != "", F.concat(first["title"], F.lit(" is by "), first["by"], F.lit("."))).otherwise(F.concat(F.lit("The artist for "), first["title"], F.lit(" is not listed in the catalog.")))
     many = F.concat(F.lit("Which track did you mean? Reply with its number.\n"), F.array_join(F.transform("l", lambda x: F.concat(x["rank"].cast("string"), F.lit(". "), x["line"])), "\n"))
     single = F.size("l") == 1
-    told = lists.select(id_col, F.when(single, "track").otherwise("choose").alias("outcome"), F.when(single, one).otherwise(many).alias("answer"), ids.alias("track_ids"))
+    told = staged(lists.select(key, F.when(single, "track").otherwise("choose").alias("outcome"), F.when(single, one).otherwise(many).alias("answer"), ids.alias("track_ids")), "told")
     nothing = F.when(F.col("album").isNotNull(), F.concat(_quoted("I couldn't find a catalog track matching ", F.col("target"), ""), _quoted(" on the album ", F.col("album"), "."))).otherwise(F.concat(F.lit("I couldn't find a catalog track matching "), F.try_element_at("titles", F.lit(1)), F.lit(".")))
-    bare = live.join(lists.select(id_col), id_col, "left_anti").select(id_col, F.lit("no_track").alias("outcome"), nothing.alias("answer"), none.alias("track_ids"))
-    unsaid = same.join(lists.select(id_col), id_col, "left_anti").select(id_col, F.lit("no_track").alias("outcome"), F.lit("Which song or track should I look up?").alias("answer"), none.alias("track_ids"))
-    return out.union(told).union(bare).union(unsaid).union(_albums_answered(rows.where("way = 'album'"), tracks, names, within, id_col))
-
-
-def _albums_answered(rows: DataFrame, tracks: DataFrame, names: DataFrame, within, id_col: str) -> DataFrame:
-    """Performers of the albums that questions name."""
-    found = staged(within(_tracks_of(rows, "albums", "album", names, id_col), rows, "artists", "artist", "artist"), "of-albums")
-    each = found.join(tracks.select("track_id", scalars.values(F.col("album_name")).alias("on"), scalars.values(F.col("artist_name")).alias("by")), "track_id")
-    titles = each.select(id_col, F.explode("on").alias("shown")).distinct().withColumn("name", normal(F.col("shown")))
-    wanted = rows.select(id_col, F.explode("albums").alias("name"))
-    titles = titles.join(wanted, [id_col, "name"], "left_semi").groupBy(id_col).agg(F.sort_array(F.collect_set("shown")).alias("on"))
-    singers = each.select(id_col, F.explode("by").alias("b")).groupBy(id_col).agg(F.sort_array(F.collect_set("b")).alias("by"))
-    out = rows.join(titles, id_col, "left").join(singers, id_col, "left")
+    bare = live.join(told.select(key), key, "left_anti").select(key, F.lit("no_track").alias("outcome"), nothing.alias("answer"), none.alias("track_ids"))
+    unsaid = same.join(told.select(key), key, "left_anti").select(key, F.lit("no_track").alias("outcome"), F.lit("Which song or track should I look up?").alias("answer"), none.alias("track_ids"))
+    return out.union(told).union(bare).union(unsaid).union(_albums_answered(rows.where("way = 'album'"), tracks, names, key))
+
+
+def _albums_answered(rows: DataFrame, tracks: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    """Performers of the albums that questions name, on the tracks of the artist where a question gives one.
+
+    Tracks are reduced to different (album, performer) and (album, artist, performer) before questions meet them.
+    """
+    wanted = rows.select(F.explode("albums").alias("album")).distinct()
+    held = names.where("kind = 'album'").select(F.col("name").alias("album"), "track_id").join(wanted, "album", "left_semi")
+    shown = tracks.select("track_id", F.explode(scalars.values(F.col("album_name"))).alias("on")).withColumn("n", normal(F.col("on")))
+    by = tracks.select("track_id", F.explode_outer(scalars.values(F.col("artist_name"))).alias("by"))
+    each = held.join(shown, "track_id").where("n = album").select("album", "on", "track_id").join(by, "track_id")
+    artists = names.where("kind = 'artist'").select(F.col("name").alias("artist_key"), "track_id")
+    free = each.select("album", "on", "by").distinct()
+    strict = each.join(artists, "track_id").select("album", "artist_key", "on", "by").distinct()
+    asked = rows.select(key, "artist", "artists", F.explode("albums").alias("album"))
+    found = asked.where("artist is null").join(free, "album").select(key, "on", "by")
+    found = found.union(asked.where("artist is not null").select(key, "album", F.explode("artists").alias("artist_key")).join(strict, ["album", "artist_key"]).select(key, "on", "by"))
+    lists = found.groupBy(key).agg(F.sort_array(F.collect_set("on")).alias("on"), F.sort_array(F.collect_set("by")).alias("by"))
+    out = rows.join(lists, key, "left")
     one = F.size("on") == 1
     told = F.concat(_quoted("", F.col("on")[0], " is an album. Performers credited on its catalog tracks include "), F.array_join("by", ", "), F.lit("."))
     which = F.concat(F.lit("Which album do you mean? Catalog matches: "), F.array_join("on", "; "), F.lit("."))
     none = F.concat(_quoted("I couldn't find catalog tracks from ", F.col("target"), ""), _quoted(" by ", F.coalesce("artist", F.lit("")), "."))
     outcome = F.when(F.col("on").isNull(), "no_track").when(one, "album").otherwise("which_album")
-    return out.select(id_col, outcome.alias("outcome"), F.when(F.col("on").isNull(), none).when(one, told).otherwise(which).alias("answer"), F.array().cast("array<string>").alias("track_ids"))
+    return out.select(key, outcome.alias("outcome"), F.when(F.col("on").isNull(), none).when(one, told).otherwise(which).alias("answer"), F.array().cast("array<string>").alias("track_ids"))

@@ -13,6 +13,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.operators import evaluation, ranking
+from rankloom.sources.storage import staged
 
 CONFIG_KEYS = ("config_id", "query_id")
 
@@ -20,6 +21,12 @@ CONFIG_KEYS = ("config_id", "query_id")
 DENSE_WEIGHTS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)
 EXACT_WEIGHTS = (0.0, 0.025, 0.05, 0.075, 0.1, 0.15, 0.2)
 PROTECT, NOVELTY = (5, 8, 10, 12, 15), (0.0, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75, 1.0)
+FUSION_WEIGHTS, FUSION_STEPS = (0.0, 0.05, 0.10, 0.20, 0.30, 0.50, 0.75, 1.00), (-0.10, -0.05, 0.05, 0.10)
+EXPANSION = {"protect": (10, 11, 12, 13, 14, 15), "replacements": (5, 6, 7, 8, 9, 10), "weight": (1.5, 2.0, 2.5, 3.0, 4.0, 5.0, 7.5, 10.0)}
+SELECTIVE = {
+    "protect": (12, 11, 13), "start": (11, 10, 12, 9, 13), "weight": (1.50, 1.45, 1.55, 1.40, 1.60, 1.35, 1.65, 1.30, 1.70, 1.20, 1.80),
+    "bonus": (0.150, 0.145, 0.155, 0.140, 0.160, 0.135, 0.165, 0.130, 0.170, 0.120, 0.180, 0.110, 0.190, 0.100, 0.200),
+}
 
 
 def grid(spark: SparkSession, **values: Iterable) -> DataFrame:
@@ -33,11 +40,22 @@ def crossed(rows: DataFrame, configs: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(configs))
 
 
-def search(configs: DataFrame, evaluate: Callable[[DataFrame], DataFrame], block: int = 500) -> DataFrame:
-    """Scores of all configurations, `block` of them a job branch."""
-    n = configs.agg(F.max("config_id")).first()[0] + 1
-    parts = [evaluate(configs.where(F.col("config_id").between(at, at + block - 1))) for at in range(0, n, block)]
-    return reduce(DataFrame.union, parts)
+def search(configs: DataFrame, evaluate: Callable[[DataFrame], DataFrame], block: int = 500, target: float | None = None, by: str = "final_score") -> DataFrame:
+    """Scores of all configurations, `block` of them a job; with a target, of those up to the first that reaches it.
+
+    Blocks go in the order of the ids. Each block's scores are written, so a search that stops has not run what follows.
+    """
+    n = (configs.agg(F.max("config_id")).first()[0] or 0) + 1
+    done: list[DataFrame] = []
+    for at in range(0, n, block):
+        done.append(staged(evaluate(configs.where(F.col("config_id").between(at, at + block - 1))), "scores"))
+        if target is None:
+            continue
+        first = done[-1].where(F.col(by) >= target).agg(F.min("config_id")).first()[0]
+        if first is not None:
+            done[-1] = done[-1].where(F.col("config_id") <= first)
+            break
+    return reduce(DataFrame.union, done)
 
 
 def dense_weight(first: DataFrame, second: DataFrame, gold: DataFrame, configs: DataFrame, catalog_size: int, turns: int, k: int = 60) -> DataFrame:
@@ -85,30 +103,33 @@ def exact(base: DataFrame, scores: DataFrame, kinds: DataFrame, gold: DataFrame,
     return evaluation.score_configs(rows.select("config_id", "query_id", "rank", "item_id"), gold, catalog_size, turns)
 
 
-def fusion_by_kind(first: DataFrame, second: DataFrame, kinds: DataFrame, gold: DataFrame, weights: Iterable[float], catalog_size: int, turns: int, start: dict[str, float], k: int = 60) -> tuple[dict[str, float], DataFrame]:
+def fusion_by_kind(first: DataFrame, second: DataFrame, kinds: DataFrame, gold: DataFrame, weights: Iterable[float], catalog_size: int, turns: int, start: dict[str, float], k: int = 60, steps: Iterable[float] = FUSION_STEPS) -> tuple[dict[str, float], DataFrame]:
     """(weights by kind, scores of the last grid): one pass over the kinds, then the neighbourhood of what it found.
 
-    The pass must look at its scores before it goes on: four jobs of len(weights) configurations. Each (query, weight)
-    is ranked once and kept for all jobs.
+    The pass must look at its scores before it goes on: a job of len(weights) configurations for each kind. Its
+    neighbourhood has 0, the weight found and those a step away, of every kind. Each (query, weight) is ranked once.
     """
-    spark, weights = first.sparkSession, sorted(set(weights) | set(start.values()))
-    tried = spark.createDataFrame([(w,) for w in weights], "weight double")
-    by_list = crossed(kinds, tried).select("query_id", "weight", F.col("weight").alias("w"))
-    pairs = lambda df: crossed(df.select("query_id", "rank", "item_id"), tried)
-    keyed = by_list.select("query_id", F.col("w").alias("tried"), "weight")
-    fused = ranking.rrf(pairs(first).withColumnRenamed("weight", "tried"), pairs(second).withColumnRenamed("weight", "tried"), keyed, k, keys=("query_id", "tried")).join(kinds, "query_id").persist()
-
-    def scored(configs: list[dict[str, float]]) -> DataFrame:
+    spark, weights = first.sparkSession, list(weights)
+
+    def ranked(some: set[float]) -> DataFrame:
+        tried = spark.createDataFrame([(w,) for w in sorted(some)], "tried double")
+        slim = lambda df: crossed(df.select("query_id", "rank", "item_id"), tried)
+        by_list = crossed(kinds.select("query_id"), tried).withColumn("weight", F.col("tried"))
+        return staged(ranking.rrf(slim(first), slim(second), by_list, k, keys=("query_id", "tried")).join(kinds, "query_id"), "fused-by-weight")
+
+    def scored(fused: DataFrame, configs: list[dict[str, float]]) -> DataFrame:
         long = spark.createDataFrame([(i, s, w) for i, c in enumerate(configs) for s, w in c.items()], "config_id int, specificity string, tried double")
         rows = fused.join(F.broadcast(long), ["specificity", "tried"])
         return evaluation.score_configs(rows.select("config_id", "query_id", "rank", "item_id"), gold, catalog_size, turns)
 
     best = dict(start)
+    fused = ranked(set(weights) | set(best.values()))
     for kind in sorted(best):
         configs = [best | {kind: w} for w in weights]
-        best = configs[evaluation.best_config(scored(configs)).first()["config_id"]]
-    near = {s: weights[max(0, weights.index(w) - 1) : weights.index(w) + 2] for s, w in best.items()}
+        found = evaluation.best_config(scored(fused, configs)).first()
+        best = configs[found["config_id"]] if found else best
+    near = {s: sorted({0.0, w, *(x for d in steps if 0 <= (x := round(w + d, 2)) <= 1)}) for s, w in best.items()}
     configs = [dict(zip(near, combo)) for combo in product(*near.values())]
-    scores = scored(configs)
+    scores = staged(scored(ranked({w for values in near.values() for w in values}), configs), "scores")
     found = evaluation.best_config(scores).first()
     return (configs[found["config_id"]] if found else best), scores

@@ -116,5 +116,5 @@ tracks AS (SELECT p_partkey AS item_id, {plain("p_name")} AS title, {plain("p_br
 requests AS (SELECT query_id, {plain("concat('play ', p_name, ' by ', p_brand)")} AS request FROM q JOIN part ON p_partkey = query_id % (SELECT count(*) FROM part)),
 fused AS ({rrf("adaptive", "goal_branch", "weight", join="JOIN fw USING (query_id)")}),
 exacts AS (SELECT query_id, item_id, {exact_score("request", "title", "artist", "album")} AS exact FROM fused JOIN tracks USING (item_id) JOIN requests USING (query_id)),
-matched AS ({exact("fused", "weight", join="JOIN ew USING (query_id)")}), matched_times AS ({times("matched")}),
-diverse AS ({diversity("matched", "matched_times", "10", "0.2")}), diverse_times AS ({times("diverse")})"""
+matched AS ({exact("fused", "weight", join="JOIN ew USING (query_id)")}), matched_times AS ({times("reservoir")}),
+diverse AS ({diversity("(SELECT * EXCLUDE (score) FROM matched)", "matched_times", "5", "1.0")}), diverse_times AS ({times("diverse")})"""

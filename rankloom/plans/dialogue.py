@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankloom.functions import aliases, messages as M
-from rankloom.operators import context, search, selection
+from rankloom.operators import context, questions, search, selection
 from rankloom.plans import catalog as C, ctes
 from rankloom.sources import adapters, storage
 
@@ -188,8 +188,28 @@ def slot_match_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = search.performer_slots(F.col("text"))
-    return _asked(spark, sf_dir).select("query_id", slots["title"].alias("title"), slots["album"].alias("album"))
+    """What questions about every track ask for, as the cascade reads them."""
+    tracks = adapters.catalog(spark, sf_dir)
+    found = questions.slots(questions.parsed(_asked(spark, sf_dir)), search.name_index(tracks))
+    return found.select("query_id", F.col("target").alias("title"), "album", F.array_join("held", "|").alias("held"))
+
+
+#: Questions about every track, dealt by its number; {n} is its title without spaces, {o} the artist of the next track.
+PERFORMERS = (
+    "Who sang {t}?", "who sang {t} by {a}", "Who performed {t} on the album {l}?", "who sings {t} by {a} on {l}.", "who recorded the album {l}", "who sang the song {n}", "who sang {t} by Zzzzz Qqqqq", "Who sung {t} from Zzzzz Qqqqq?",
+    "who said {t} from the {l} by {a}!", "who sang {t} by {o} in {l}", "Who sang {l} album?", "who performs the album {l} by {a}",
+)
+
+
+def answer_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question about the performers of every track, in each of twelve forms."""
+    tracks = adapters.catalog(spark, sf_dir)
+    part = adapters.table(spark, sf_dir, "part")
+    n = part.count()
+    after = part.select(((F.col("p_partkey") + n - 1) % n).alias("p_partkey"), F.col("p_brand").alias("o"))
+    text = _dealt(PERFORMERS, F.col("p_partkey"), t=F.col("p_name"), a=F.col("p_brand"), l=F.col("p_type"), n=F.replace("p_name", F.lit(" "), F.lit("")), o=F.col("o"))
+    asked = part.join(after, "p_partkey").select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+    return questions.answered(asked, tracks).select("query_id", "outcome", "answer", F.array_join("track_ids", ",").alias("track_ids"))
 
 
 def intent_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +234,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_sessions, first_n_sessions, chunk_sessions, pending_chunks, chunk_union, ground_truth, history_query, recent_requests, expand_music_turns, adaptive_query, goal_query, route_message, routed_requests,
-        split_title_artist, canonicalize, playlist_description, rewrite_playlist_query, selected_positions, extract_prefs, entity_mentions, entity_select, entity_fuzzy, mask, slot_match, slot_match_fuzzy, parse_slots, intent_accept, pending_match,
+        split_title_artist, canonicalize, playlist_description, rewrite_playlist_query, selected_positions, extract_prefs, entity_mentions, entity_select, entity_fuzzy, mask, slot_match, slot_match_fuzzy, parse_slots, answer_questions, intent_accept, pending_match,
     )
 }
 
@@ -316,7 +336,16 @@ SELECT query_id, CASE WHEN p IS NULL THEN NULL WHEN len(list_filter(p, lambda x:
     "extract_prefs": "WITH alias(kind, alias, canonical) AS (VALUES " + ", ".join(str(r) for r in aliases.rows(aliases.SYNTHETIC)) + f") SELECT DISTINCT p_partkey, kind, canonical AS feature FROM part, alias WHERE kind <> 'style' AND contains(concat(' ', {ctes.plain('p_name')}, ' '), concat(' ', alias, ' '))",
     "entity_mentions": f"WITH {ctes.CATALOG}, {C.INDEX}, {_SPANS} SELECT * FROM found",
     "slot_match": f"WITH {ctes.CATALOG}, {C.INDEX} SELECT ord AS query_id, kind, name FROM cat JOIN idx ON replace(name, ' ', '') = replace({C._WORDS('p_name')}, ' ', '') WHERE kind = 'title' AND \"full\"",
-    "parse_slots": f"WITH {ctes.CATALOG} SELECT ord AS query_id, CASE WHEN ord % 2 = 0 THEN concat('the ', p_name) END AS title, CASE WHEN ord % 2 = 0 THEN p_type END AS album FROM cat",
+    "parse_slots": f"WITH {ctes.CATALOG} SELECT ord AS query_id, concat('the ', p_name) AS title, concat('the album ', p_type) AS album, {C._WORDS('p_type')} AS held FROM cat WHERE ord % 2 = 0",
+    "answer_questions": f"""WITH {ctes.CATALOG}, q AS (SELECT a.ord AS query_id, a.ord % 12 AS k, a.p_name AS t, CASE WHEN a.ord % 12 = 9 THEN b.p_brand ELSE a.p_brand END AS a, a.p_type AS l FROM cat a JOIN cat b ON b.ord = (a.ord + 1) % (SELECT count(*) FROM cat)),
+m AS (SELECT query_id, track_id, p_name, p_brand, p_type, popularity FROM q JOIN cat ON p_name = t AND (k NOT IN (1, 3, 8, 9) OR p_brand = a) AND (k NOT IN (2, 3, 8, 9) OR p_type = l) WHERE k IN (0, 1, 2, 3, 5, 8, 9)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY popularity DESC, track_id) AS r FROM m),
+c AS (SELECT query_id, count(*) AS n, string_agg(track_id, ',' ORDER BY r) AS ids, string_agg(concat(r, '. ', p_name, ' — ', p_brand, ' (', p_type, ')'), chr(10) ORDER BY r) AS lines, any_value(concat(p_name, ' is by ', p_brand, '.')) AS one FROM r WHERE r <= 5 GROUP BY query_id),
+al AS (SELECT query_id, any_value(p_type) AS l, string_agg(DISTINCT p_brand, ', ' ORDER BY p_brand) AS by FROM q JOIN cat ON p_type = l AND (k <> 11 OR p_brand = a) WHERE k IN (4, 10, 11) GROUP BY query_id)
+SELECT query_id, CASE WHEN k = 6 THEN 'no_artist' WHEN k = 7 THEN 'no_album' WHEN al.by IS NOT NULL THEN 'album' WHEN c.n IS NULL THEN 'no_track' WHEN c.n = 1 THEN 'track' ELSE 'choose' END AS outcome,
+  CASE WHEN k = 6 THEN 'I couldn''t find the artist ‘Zzzzz Qqqqq’ in the catalog. Please check the name.' WHEN k = 7 THEN 'I couldn''t find the album ‘Zzzzz Qqqqq’ in the catalog. Please check the name.' WHEN al.by IS NOT NULL THEN concat('‘', al.l, '’ is an album. Performers credited on its catalog tracks include ', al.by, '.')
+    WHEN c.n IS NULL THEN concat('I couldn''t find a catalog track matching ‘', t, '’ on the album ‘', q.l, '’.') WHEN c.n = 1 THEN one ELSE concat('Which track did you mean? Reply with its number.', chr(10), lines) END AS answer, coalesce(ids, '') AS track_ids
+FROM q LEFT JOIN c USING (query_id) LEFT JOIN al USING (query_id)""",
     "intent_accept": """WITH n AS (SELECT user_id AS query_id, event_type AS intent, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT query_id, intent, round(n / sum(n) OVER (PARTITION BY query_id), 6) AS score FROM n),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, intent) AS r FROM s), t AS (SELECT query_id, max(CASE WHEN r = 1 THEN intent END) AS intent, max(score) AS confidence, round(max(score) - coalesce(max(CASE WHEN r = 2 THEN score END), 0), 9) AS margin FROM r WHERE r <= 2 GROUP BY query_id)
 SELECT query_id, intent, confidence, margin, intent <> 'other' AND confidence >= 0.22 AND margin >= 0.02 AS accepted FROM t""",

@@ -72,8 +72,10 @@ def top_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists before the diversity stage and after selective expansion, which brings in what they lacked."""
     c = retrieval.chain(spark, sf_dir, "all")
-    return storage.array_form(c["matched"]).join(storage.array_form(c["diverse"]).withColumnRenamed("predicted_track_ids", "now"), "query_id")
+    chosen = ranking.selective_rerank(c["diverse"], c["reservoir"], c["diverse_times"], c["turns"])
+    return storage.array_form(c["matched"]).join(storage.array_form(chosen).withColumnRenamed("predicted_track_ids", "now"), "query_id")
 
 
 def changed_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +99,7 @@ def duplicate_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def missing_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.missing(_gold(spark, sf_dir), retrieval.dense_topk(spark, sf_dir).where("score < 0.9"))
+    return evaluation.missing(_gold(spark, sf_dir), retrieval.dense_topk(spark, sf_dir).where("item_id % 4 = 0 and rank <= 3"))
 
 
 def eval_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,16 +129,28 @@ def grid_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = retrieval.chain(spark, sf_dir, "all")
-    configs = tuning.grid(spark, protect=(8, 10, 12), replacements=(3, 5, 8, 10), weight=(0.5, 1.0, 2.0))
+    configs = tuning.grid(spark, **tuning.EXPANSION)
     return tuning.expansion(c["diverse"], c["reservoir"], c["diverse_times"], _gold(spark, sf_dir), configs, *_sizes(spark, sf_dir))
 
 
-def grid_selective(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _selective(spark: SparkSession, sf_dir: str, target: float | None = None) -> DataFrame:
     c = retrieval.chain(spark, sf_dir, "all")
-    gold, sizes = _gold(spark, sf_dir), _sizes(spark, sf_dir)
+    gold, sizes = storage.staged(_gold(spark, sf_dir), "gold"), _sizes(spark, sf_dir)
     base, reservoir, times = (storage.staged(c[k], f"grid-{k}") for k in ("diverse", "reservoir", "diverse_times"))
-    configs = tuning.grid(spark, protect=(11, 12, 13), start=(11, 21), weight=(1.25, 1.35, 1.5), bonus=(0.1, 0.14))
-    return tuning.search(configs, lambda block: tuning.selective(base, reservoir, times, gold, block, *sizes))
+    return tuning.search(tuning.grid(spark, **tuning.SELECTIVE), lambda block: tuning.selective(base, reservoir, times, gold, block, *sizes), target=target)
+
+
+def grid_selective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selective(spark, sf_dir)
+
+
+#: A score that a later configuration of the search reaches, but not the first.
+TARGET = 0.0735
+
+
+def grid_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first configuration that reaches the target, or the best if none does."""
+    return evaluation.best_config(_selective(spark, sf_dir, TARGET), target=TARGET)
 
 
 def grid_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,9 +161,9 @@ def grid_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = retrieval.chain(spark, sf_dir, "fused")
-    start = {"HH": 0.25, "HL": 0.25, "LH": 0.25, "LL": 0.25}
+    start = {"HH": 0.0, "HL": 0.0, "LH": 0.0, "LL": 0.0}
     a, b = (storage.staged(c[k], f"grid-{k}") for k in ("adaptive", "goal"))
-    return tuning.fusion_by_kind(a, b, _kinds(spark, sf_dir), _gold(spark, sf_dir), (0.0, 0.1, 0.25, 0.5, 0.75, 1.0), *_sizes(spark, sf_dir), start)[1]
+    return tuning.fusion_by_kind(a, b, _kinds(spark, sf_dir), _gold(spark, sf_dir), tuning.FUSION_WEIGHTS, *_sizes(spark, sf_dir), start)[1]
 
 
 def grid_best(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         eval_metrics, ndcg, catalog_diversity, eval_join, fusion_join, specificity_default, specificity_counts, track_frequency, top_frequency, changed_turns, changed_by_spec, candidate_lengths,
-        duplicate_predictions, missing_keys, eval_rollup, points, latency_stats, feedback_counts, replay_mismatches, grid_dense_weight, grid_diversity, grid_expansion, grid_selective, grid_exact, grid_fusion, grid_best,
+        duplicate_predictions, missing_keys, eval_rollup, points, latency_stats, feedback_counts, replay_mismatches, grid_dense_weight, grid_diversity, grid_expansion, grid_selective, grid_stopped, grid_exact, grid_fusion, grid_best,
     )
 }
 
@@ -181,7 +195,7 @@ _IDEAL = lambda k: f"list_sum([1.0 / log2(i + 1.0) for i in range(1, 1 + least(n
 _NDCG = f"""{_DENSE}, {_GOLDS}, per AS (SELECT query_id, {", ".join(f"coalesce(d{k}, 0) / {_IDEAL(k)} AS n{k}" for k in (1, 10, 20))} FROM (SELECT query_id, count(*) AS n FROM golds GROUP BY query_id)
   LEFT JOIN (SELECT query_id, {", ".join(f"sum(CASE WHEN rank <= {k} THEN 1.0 / log2(rank + 1.0) ELSE 0 END) AS d{k}" for k in (1, 10, 20))} FROM r JOIN golds USING (query_id, item_id) GROUP BY query_id) USING (query_id))"""
 _CHAIN = f"WITH {ctes.CHAIN}"
-_ARRAYS = f"""{_CHAIN}, x AS (SELECT query_id, list(item_id ORDER BY rank) AS a FROM matched GROUP BY query_id), y AS (SELECT query_id, list(item_id ORDER BY rank) AS b FROM diverse GROUP BY query_id)"""
+_ARRAYS = f"""{_CHAIN}, x AS (SELECT query_id, list(item_id ORDER BY rank) AS a FROM matched GROUP BY query_id), chosen AS ({ctes.selective("diverse", "reservoir", "diverse_times")}), y AS (SELECT query_id, list(item_id ORDER BY rank) AS b FROM chosen GROUP BY query_id)"""
 
 
 def _grid(**values: tuple) -> str:
@@ -195,6 +209,28 @@ def _grid(**values: tuple) -> str:
 _K = "config_id, query_id"
 _DIVERSITY = f"""{_CHAIN}, {_grid(protect=tuning.PROTECT, weight=tuning.NOVELTY)}, x AS (SELECT * EXCLUDE (score) FROM matched, cfg), o AS ({ctes.diversity("x", "matched_times", "protect", "weight", _K)}),
 sc AS ({ctes.score_configs("o")})"""
+_SELECTIVE = f"""{_CHAIN}, {_grid(**tuning.SELECTIVE)}, x AS (SELECT * FROM diverse, cfg), y AS (SELECT * EXCLUDE (score) FROM reservoir, cfg),
+o AS ({ctes.selective("x", "y", "diverse_times", "protect", "weight", "bonus", "start", keys=_K, cfg=", protect, start, weight, bonus")}), sc AS ({ctes.score_configs("o")})"""
+
+
+def _fusion() -> str:
+    """One kind after another: each step scores its weights with what the steps before found, then the neighbourhood."""
+    kinds, parts = ("HH", "HL", "LH", "LL"), []
+    every = sorted({round(w + d, 2) for w in tuning.FUSION_WEIGHTS for d in (0.0, *tuning.FUSION_STEPS)} & {round(x / 20, 2) for x in range(21)})
+    parts.append(f"w(weight) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in every)}), x AS (SELECT * FROM adaptive, w), y AS (SELECT * FROM goal_branch, w), ranked AS ({ctes.rrf('x', 'y', 'weight', keys='weight, query_id')})")
+    scored = lambda cfg: ctes.score_configs(f"(SELECT config_id, query_id, rank, item_id FROM {cfg} JOIN kinds ON true JOIN ranked USING (query_id) WHERE ranked.weight = CASE specificity WHEN 'HH' THEN HH WHEN 'HL' THEN HL WHEN 'LH' THEN LH ELSE LL END)")
+    values = ", ".join(f"({i}, {x}::DOUBLE)" for i, x in enumerate(tuning.FUSION_WEIGHTS))
+    parts.append("b0 AS (SELECT 0e0 AS HH, 0e0 AS HL, 0e0 AS LH, 0e0 AS LL)")
+    for i, kind in enumerate(kinds):
+        parts.append(f"c{i} AS (SELECT v.config_id, {', '.join('v.weight AS ' + k if k == kind else 'b.' + k for k in kinds)} FROM b{i} b, (VALUES {values}) v(config_id, weight)), s{i} AS ({scored(f'c{i}')}), b{i + 1} AS (SELECT HH, HL, LH, LL FROM s{i} JOIN c{i} USING (config_id) ORDER BY final_score DESC, config_id LIMIT 1)")
+    steps = ", ".join(map(str, (0.0, *tuning.FUSION_STEPS)))
+    for kind in kinds:
+        parts.append(f"n{kind} AS (SELECT DISTINCT v AS {kind} FROM (SELECT 0e0 AS v UNION ALL SELECT round({kind} + d, 2) FROM b4, (SELECT unnest([{steps}]::DOUBLE[]) AS d)) WHERE v BETWEEN 0 AND 1)")
+    parts.append("near AS (SELECT CAST(row_number() OVER (ORDER BY HH, HL, LH, LL) - 1 AS INT) AS config_id, * FROM nHH, nHL, nLH, nLL)")
+    return f"{_CHAIN}, {', '.join(parts)} {scored('near')}"
+
+
+_FUSION = _fusion()
 SQL = {
     "eval_metrics": f"""{_DENSE}, h AS (SELECT query_id, rank FROM gold LEFT JOIN r USING (query_id, item_id)),
 m AS (SELECT {", ".join(f"avg(CASE WHEN rank <= {k} THEN 1.0 / log2(rank + 1.0) ELSE 0 END) AS n{k}" for k in (1, 10, 20))} FROM h), d AS (SELECT count(DISTINCT item_id) / (SELECT catalog_size FROM sizes) AS v FROM r)
@@ -213,16 +249,17 @@ SELECT round(n1, 6) AS ndcg_1, round(n10, 6) AS ndcg_10, round(n20, 6) AS ndcg_2
     "latency_stats": "SELECT event_type, len(v) AS turns, v[len(v) // 2 + 1] AS median, v[CAST(ceil(0.95 * len(v)) AS INT)] AS p95, v[len(v)] AS most FROM (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1)",
     "feedback_counts": "WITH v AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS item_id, arg_max(event_type, event_id) AS last FROM events WHERE event_type IN ('click', 'error') GROUP BY ALL) SELECT item_id, count(*) FILTER (last = 'click') AS up, count(*) FILTER (last = 'error') AS down FROM v GROUP BY 1",
     "duplicate_predictions": "SELECT l_orderkey AS query_id, CAST(l_partkey AS VARCHAR) AS item_id, count(*) AS times FROM lineitem GROUP BY ALL HAVING count(*) > 1",
-    "missing_keys": f"{_DENSE} SELECT query_id FROM gold WHERE query_id NOT IN (SELECT query_id FROM r WHERE score < 0.9)",
+    "missing_keys": f"{_DENSE} SELECT query_id FROM gold WHERE query_id NOT IN (SELECT query_id FROM r WHERE item_id % 4 = 0 AND rank <= 3)",
     "eval_rollup": f"{_NDCG} SELECT specificity, half, round(avg(n20), 6) AS ndcg_20, count(*) AS turns FROM (SELECT *, CAST(query_id >= 250 AS INT) AS half FROM per JOIN kinds USING (query_id)) GROUP BY ROLLUP (specificity, half)",
     "points": f"{_DIVERSITY} SELECT config_id, round(greatest(0, least(10, 10 * (final_score - 0.05) / (0.25 - 0.05))), 4) AS points FROM sc",
-    "replay_mismatches": f"{_ARRAYS} SELECT query_id FROM x FULL JOIN y USING (query_id) WHERE a IS DISTINCT FROM b",
+    "replay_mismatches": f"{_CHAIN}, x AS (SELECT query_id, list(item_id ORDER BY rank) AS a FROM matched GROUP BY query_id), y AS (SELECT query_id, list(item_id ORDER BY rank) AS b FROM diverse GROUP BY query_id) SELECT query_id FROM x FULL JOIN y USING (query_id) WHERE a IS DISTINCT FROM b",
     "grid_dense_weight": f"{_CHAIN}, {_grid(weight=tuning.DENSE_WEIGHTS)}, x AS (SELECT * FROM a50, cfg), y AS (SELECT * FROM b50, cfg), o AS ({ctes.rrf('x', 'y', 'weight', keys=_K, join='JOIN cfg USING (config_id)')}) {ctes.score_configs('o')}",
     "grid_diversity": f"{_DIVERSITY} SELECT * FROM sc",
-    "grid_expansion": f"{_CHAIN}, {_grid(protect=(8, 10, 12), replacements=(3, 5, 8, 10), weight=(0.5, 1.0, 2.0))}, x AS (SELECT * FROM diverse, cfg WHERE protect + replacements <= 20), y AS (SELECT * EXCLUDE (score) FROM reservoir, cfg WHERE protect + replacements <= 20), "
+    "grid_expansion": f"{_CHAIN}, {_grid(**tuning.EXPANSION)}, x AS (SELECT * FROM diverse, cfg WHERE protect + replacements <= 20), y AS (SELECT * EXCLUDE (score) FROM reservoir, cfg WHERE protect + replacements <= 20), "
     f"o AS ({ctes.expansion('x', 'y', 'diverse_times', 'protect', 'replacements', 'weight', keys=_K, cfg=', protect, replacements, weight')}) {ctes.score_configs('o')}",
-    "grid_selective": f"{_CHAIN}, {_grid(protect=(11, 12, 13), start=(11, 21), weight=(1.25, 1.35, 1.5), bonus=(0.1, 0.14))}, x AS (SELECT * FROM diverse, cfg), y AS (SELECT * EXCLUDE (score) FROM reservoir, cfg), "
-    f"o AS ({ctes.selective('x', 'y', 'diverse_times', 'protect', 'weight', 'bonus', 'start', keys=_K, cfg=', protect, start, weight, bonus')}) {ctes.score_configs('o')}",
+    "grid_selective": f"{_SELECTIVE} SELECT * FROM sc",
+    "grid_stopped": f"{_SELECTIVE} SELECT * FROM sc ORDER BY CASE WHEN final_score >= {TARGET} THEN config_id ELSE 1000000 END, final_score DESC, config_id LIMIT 1",
+    "grid_fusion": _FUSION,
     "grid_exact": f"{_CHAIN}, {_grid(HH=(0.05,), HL=tuning.EXACT_WEIGHTS, LH=tuning.EXACT_WEIGHTS, LL=tuning.EXACT_WEIGHTS)}, lw AS (SELECT config_id, specificity, weight FROM cfg UNPIVOT (weight FOR specificity IN (HH, HL, LH, LL))), "
     f"x AS (SELECT config_id, query_id, rank, item_id, weight FROM fused JOIN kinds USING (query_id) JOIN lw USING (specificity)), o AS ({ctes.exact('x', 'weight', keys=_K)}) {ctes.score_configs('o')}",
     "grid_best": f"{_DIVERSITY} SELECT * FROM sc ORDER BY final_score DESC, config_id LIMIT 1",

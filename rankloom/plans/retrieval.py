@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.functions import scalars
 from rankloom.functions.text import exact as normal, tokens
-from rankloom.operators import dense, lexical, ranking, requests
+from rankloom.operators import dense, encode, lexical, ranking, requests
 from rankloom.plans import ctes
 from rankloom.sources import adapters
 from rankloom.sources.storage import staged
@@ -25,6 +25,20 @@ def valid_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count_if(ok).alias("valid"), F.count_if(~ok).alias("dropped"))
 
 
+def encode_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents closest to each benchmark item, both encoded as vectors."""
+    asked = encode.encoded(adapters.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))
+    docs = encode.encoded(adapters.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("query")))
+    return dense.top_k(staged(asked, "encoded"), staged(docs, "encoded"), 10)
+
+
+def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by length, where every fifth is cut, every seventh holds a null and every ninth is missing."""
+    v, n = F.col("embedding").cast("array<double>"), F.col("vec_id")
+    ragged = F.when(n % 9 == 0, F.lit(None)).when(n % 7 == 0, F.array_append(F.slice(v, 1, 10), F.lit(None).cast("double"))).when(n % 5 == 0, F.slice(v, 1, 32)).otherwise(v)
+    return dense.validity(adapters.table(spark, sf_dir, "embeddings").select(ragged.alias("vector")))
+
+
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapters.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return rows.select("vec_id", F.posexplode(scalars.unit(F.col("v"))).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
@@ -78,8 +92,9 @@ def _weights(spark: SparkSession, sf_dir: str, of: str) -> DataFrame:
 
 
 def chain(spark: SparkSession, sf_dir: str, upto: str) -> dict[str, DataFrame]:
-    """The relations of the chain by name, up to the one asked for."""
-    a, b = _branches(spark, sf_dir, 50)
+    """The relations of the chain by name, up to the one asked for. Lists of 50 are the heads of those of 100."""
+    deep = [staged(x, "branch") for x in _branches(spark, sf_dir, 100)]
+    a, b = (x.where("rank <= 50") for x in deep)
     out = {"adaptive": ranking.rrf(a, b, 0.25), "goal": ranking.rrf(b, a, 0.5)}
     # the branches and what follows the exact matches are read several times
     out = {k: staged(df, k) for k, df in out.items()}
@@ -87,7 +102,7 @@ def chain(spark: SparkSession, sf_dir: str, upto: str) -> dict[str, DataFrame]:
     if upto == "fused":
         return out
     out["fused"] = staged(out["fused"], "fused")
-    out["reservoir"] = staged(ranking.rrf(*_branches(spark, sf_dir, 100), 0.25, top=100), "reservoir")
+    out["reservoir"] = staged(ranking.rrf(*deep, 0.25, top=100), "reservoir")
     part = adapters.table(spark, sf_dir, "part")
     tracks = part.select(F.col("p_partkey").alias("item_id"), normal(F.col("p_name")).alias("title"), normal(F.col("p_brand")).alias("artist"), normal(F.col("p_type")).alias("album"))
     asked = adapters.vectors(spark, sf_dir)[0].select("query_id", (F.col("query_id") % part.count()).alias("item_id"))
@@ -97,8 +112,8 @@ def chain(spark: SparkSession, sf_dir: str, upto: str) -> dict[str, DataFrame]:
     out["matched"] = staged(ranking.exact_rerank(out["fused"].drop("score"), out["scores"], _weights(spark, sf_dir, "exact")), "matched")
     n = asked.count()
     out["turns"] = n
-    out["matched_times"] = ranking.frequency(out["matched"])
-    out["diverse"] = ranking.diversity_rerank(out["matched"].drop("score"), out["matched_times"], n, 10, 0.2)
+    out["matched_times"] = ranking.frequency(out["reservoir"])
+    out["diverse"] = ranking.diversity_rerank(out["matched"].drop("score"), out["matched_times"], n, 5, 1.0)
     out["diverse_times"] = ranking.frequency(out["diverse"])
     return out
 
@@ -138,7 +153,7 @@ def selective_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def final_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chain(spark, sf_dir, "all")
     settings = {
-        "fusion_weights": _weights(spark, sf_dir, "fusion"), "exact_weights": _weights(spark, sf_dir, "exact"), "fusion_rrf_k": 60, "diversity": {"protect": 10, "weight": 0.2}, "selective": {},
+        "fusion_weights": _weights(spark, sf_dir, "fusion"), "exact_weights": _weights(spark, sf_dir, "exact"), "fusion_rrf_k": 60, "diversity": {"protect": 5, "weight": 1.0}, "selective": {},
         "diversity_statistics": (c["matched_times"], c["turns"]), "selective_statistics": (c["diverse_times"], c["turns"]),
     }
     return ranking.final_ranking(c["adaptive"], c["goal"], c["reservoir"], c["catalog"], c["scores"], settings)
@@ -168,12 +183,13 @@ _FIELDS = "concat('track_name: ', p_name, chr(10), 'artist_name: ', p_brand, chr
 
 QUERIES = {
     f.__name__: f
-    for f in (dense_topk, valid_embeddings, l2_normalize, tokenize, bm25_df, bm25_topk, retrieve_requests, bm25_fields, rrf_hybrid, rrf_branch, exact_score, exact_rerank, exact_debug, diversity_rerank, candidate_expansion, selective_rerank, final_pipeline, novelty)
+    for f in (dense_topk, encode_queries, vector_lengths, valid_embeddings, l2_normalize, tokenize, bm25_df, bm25_topk, retrieve_requests, bm25_fields, rrf_hybrid, rrf_branch, exact_score, exact_rerank, exact_debug, diversity_rerank, candidate_expansion, selective_rerank, final_pipeline, novelty)
 }
 _CHAIN = f"WITH {ctes.CHAIN} "
 SQL = {
     "dense_topk": f"WITH {ctes.VECTORS} {ctes.dense(20)}",
     "valid_embeddings": "SELECT count(*) FILTER (len(embedding) = 64 AND vec_id % 9 <> 0) AS valid, count(*) FILTER (NOT (coalesce(len(embedding) = 64, false) AND vec_id % 9 <> 0)) AS dropped FROM embeddings",
+    "vector_lengths": """SELECT length, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS dropped FROM (SELECT CASE WHEN vec_id % 9 = 0 THEN NULL WHEN vec_id % 7 = 0 THEN least(len(embedding), 10) + 1 WHEN vec_id % 5 = 0 THEN least(len(embedding), 32) ELSE len(embedding) END::INT AS length, vec_id % 9 <> 0 AND vec_id % 7 <> 0 AS ok FROM embeddings) GROUP BY length""",
     "l2_normalize": """WITH r AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT vec_id, CAST(pos AS INT) AS pos, round(v[pos + 1] / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS x FROM (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n, unnest(range(len(v))) AS pos FROM r)""",
     "tokenize": f"SELECT doc_id, count(*) AS tokens, count(DISTINCT term) AS terms FROM (SELECT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY doc_id",
