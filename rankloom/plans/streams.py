@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.sources import adapters
 from rankloom.sources.storage import fresh_path, staged
-from rankloom.streaming import sessions as S
+from rankloom.streaming import library as L, sessions as S
 
 _ACTIONS = {"signup": "new", "click": "add", "purchase": "save", "view": "open", "error": "clear"}
 
@@ -64,12 +64,34 @@ def stream_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.sessions(commands), "choices").select("device_id", "seq", "action", "playlist", "waiting", "requests", "lists")
 
 
+#: After so long a device has forgotten its suggestions and requests.
+_IDLE_MS = 6 * 3_600_000
+
+
+def stream_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Devices that make, open, rename, delete and fill several lists, as the events command."""
+    n = adapters.catalog(spark, sf_dir).count()
+    e, k = F.col("event_id"), F.col("k")
+    text = lambda x: x.cast("string")
+    rows = _source(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long") % n)
+    case = lambda *pairs: F.element_at(F.array(*(F.struct(F.lit(a).alias("action"), b.cast("string").alias("argument")) for a, b in pairs)), (e % len(pairs) + 1).cast("int"))
+    offer = F.concat_ws(",", text(k), text((k + 1) % n), text((k + 2) % n))
+    command = F.create_map(
+        F.lit("click"), case(("suggest", offer)), F.lit("purchase"), case(("add", k)), F.lit("view"), case(("open", k % 4), ("choose", F.lit("1,2")), ("choose", F.lit("1"))),
+        F.lit("signup"), case(("new", F.concat(F.lit("list "), k)), ("rename", F.concat(F.lit(" name "), k)), ("delete", k % 4), ("new", F.lit("  "))),
+        F.lit("error"), case(("clear", F.lit("")), ("remove", k), ("reject", F.lit("")), ("open", k % 3), ("rename", F.lit(" "))),
+    )[F.col("event_type")]
+    request = F.when(F.col("event_type") == "click", F.concat(F.lit("request "), k))
+    commands = rows.select(F.col("user_id").alias("device_id"), e.alias("seq"), F.col("ts").cast("timestamp").alias("ts"), command["action"].alias("action"), command["argument"].alias("argument"), request.alias("request"))
+    return L.drained(L.library(commands, _IDLE_MS))
+
+
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _source(spark, sf_dir, "events").select("ts", "event_type", "value")
     return S.drained(S.tumbling(rows), "tumbling")
 
 
-QUERIES = {f.__name__: f for f in (stream_turns, stream_sessions, stream_saved_lists, stream_choices, events_tumbling)}
+QUERIES = {f.__name__: f for f in (stream_turns, stream_sessions, stream_saved_lists, stream_choices, stream_library, events_tumbling)}
 _LOG = """log AS (SELECT user_id AS device_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'new' WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'save' WHEN 'view' THEN 'open' WHEN 'error' THEN 'clear' END AS action,
   CAST(json_extract_string(props, '$.k') AS BIGINT) % (SELECT count(*) FROM part) AS track FROM events)"""
 _EPOCHS = """e AS (SELECT *, count(*) FILTER (action IN ('new', 'clear')) OVER d AS epoch, count(*) FILTER (action = 'new') OVER d AS lists FROM log WINDOW d AS (PARTITION BY device_id ORDER BY seq)),
@@ -96,8 +118,33 @@ UNION ALL SELECT device_id, i, seq, action,
   FROM (SELECT st.device_id, cmd.i, cmd.seq, cmd.action, CAST(k AS VARCHAR) AS key, playlist, waiting, requests, lists, list_filter(offer, lambda x: NOT list_contains(playlist, x.id)) AS offered, CASE WHEN len(waiting) > 0 THEN {_CHOSEN} END AS chosen
     FROM st JOIN cmd ON cmd.device_id = st.device_id AND cmd.i = st.i + 1))
 SELECT device_id, seq, action, array_to_string(playlist, ',') AS playlist, array_to_string(list_transform(waiting, lambda x: x.id), ',') AS waiting, array_to_string(requests, '|') AS requests, CAST(lists AS INT) AS lists FROM st WHERE i > 0"""
+_SAME = "list_transform(lists, lambda x: CASE WHEN x.id = active THEN {'id': x.id, 'name': %s, 'tracks': %s, 'changed': seq} ELSE x END)"
+#: The same for several lists: each round takes the next command of every device.
+_LIBRARY = f"""WITH RECURSIVE size AS (SELECT count(*) AS n FROM part),
+log AS (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) % n AS k FROM events, size),
+cmd AS (SELECT user_id AS device_id, event_id AS seq, ts, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i,
+  CASE event_type WHEN 'click' THEN 'suggest' WHEN 'purchase' THEN 'add' WHEN 'view' THEN ['open', 'choose', 'choose'][event_id % 3 + 1] WHEN 'signup' THEN ['new', 'rename', 'delete', 'new'][event_id % 4 + 1] ELSE ['clear', 'remove', 'reject', 'open', 'rename'][event_id % 5 + 1] END AS action,
+  CASE event_type WHEN 'view' THEN k % 4 WHEN 'signup' THEN k % 4 ELSE k % 3 END AS wanted, CAST(k AS VARCHAR) AS key, CASE WHEN event_id % 3 = 1 THEN 2 ELSE 1 END AS most,
+  CASE WHEN event_type = 'error' THEN '' WHEN event_id % 4 = 0 THEN concat('list ', k) WHEN event_id % 4 = 1 THEN concat('name ', k) ELSE 'Untitled playlist' END AS called,
+  [CAST(k AS VARCHAR), CAST((k + 1) % n AS VARCHAR), CAST((k + 2) % n AS VARCHAR)] AS offer FROM log),
+st AS (SELECT DISTINCT device_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS action, true AS done, [{{'id': 0::BIGINT, 'name': 'My playlist', 'tracks': CAST([] AS VARCHAR[]), 'changed': 0::BIGINT}}] AS lists, CAST(0 AS BIGINT) AS active, CAST(1 AS BIGINT) AS next,
+  CAST([] AS VARCHAR[]) AS waiting, CAST([] AS VARCHAR[]) AS requests, CAST(NULL AS TIMESTAMP) AS seen FROM cmd
+UNION ALL SELECT device_id, i, seq, action, done, lists2, active2, next2,
+  CASE WHEN active2 <> active OR (done AND action IN ('choose', 'reject', 'clear')) THEN CAST([] AS VARCHAR[]) WHEN done AND action = 'suggest' THEN offered ELSE waiting END,
+  CASE WHEN active2 <> active OR action = 'clear' THEN CAST([] AS VARCHAR[]) WHEN done AND action = 'suggest' THEN list_append(requests, concat('request ', key))[-2:] ELSE requests END, greatest(coalesce(seen, ts), ts)
+  FROM (SELECT *, CASE WHEN action = 'new' THEN next WHEN action = 'open' AND done THEN wanted WHEN emptied THEN next WHEN action = 'delete' AND done AND wanted = active THEN list_sort(list_transform(rest, lambda x: {{'c': x.changed, 'i': x.id}}), 'DESC')[1].i ELSE active END AS active2,
+    next + CASE WHEN action = 'new' OR emptied THEN 1 ELSE 0 END AS next2,
+    CASE WHEN NOT done THEN lists WHEN action = 'new' THEN list_append(lists, {{'id': next, 'name': called, 'tracks': CAST([] AS VARCHAR[]), 'changed': seq}}) WHEN emptied THEN [{{'id': next, 'name': 'My playlist', 'tracks': CAST([] AS VARCHAR[]), 'changed': seq}}] WHEN action = 'delete' THEN rest
+      WHEN action = 'rename' THEN {_SAME % ("called", "x.tracks")} WHEN action = 'clear' THEN {_SAME % ("x.name", "CAST([] AS VARCHAR[])")} WHEN action = 'remove' THEN {_SAME % ("x.name", "list_filter(x.tracks, lambda y: y <> key)")}
+      WHEN action = 'add' THEN {_SAME % ("x.name", "CASE WHEN list_contains(x.tracks, key) THEN x.tracks ELSE list_append(x.tracks, key) END")} WHEN action = 'choose' THEN {_SAME % ("x.name", "list_concat(x.tracks, list_filter(waiting[1:most], lambda y: NOT list_contains(x.tracks, y)))")} ELSE lists END AS lists2
+  FROM (SELECT *, CASE action WHEN 'open' THEN there WHEN 'delete' THEN there WHEN 'rename' THEN called <> '' WHEN 'suggest' THEN len(offered) > 0 WHEN 'choose' THEN len(waiting) >= most ELSE true END AS done, action = 'delete' AND there AND len(rest) = 0 AS emptied
+  FROM (SELECT st.device_id, cmd.i, cmd.seq, cmd.ts, cmd.action, wanted, key, most, called, lists, active, next, seen, CASE WHEN cmd.ts - seen > INTERVAL {_IDLE_MS // 1000} SECOND THEN CAST([] AS VARCHAR[]) ELSE waiting END AS waiting, CASE WHEN cmd.ts - seen > INTERVAL {_IDLE_MS // 1000} SECOND THEN CAST([] AS VARCHAR[]) ELSE requests END AS requests,
+    len(list_filter(lists, lambda x: x.id = wanted)) > 0 AS there, list_filter(lists, lambda x: x.id <> wanted) AS rest, list_filter(offer, lambda y: NOT list_contains(list_filter(lists, lambda x: x.id = active)[1].tracks, y)) AS offered
+    FROM st JOIN cmd ON cmd.device_id = st.device_id AND cmd.i = st.i + 1))))
+SELECT device_id, seq, action, done, active, list_filter(lists, lambda x: x.id = active)[1].name AS name, array_to_string(list_filter(lists, lambda x: x.id = active)[1].tracks, ',') AS tracks, array_to_string(waiting, ',') AS waiting, array_to_string(requests, '|') AS requests, CAST(len(lists) AS INT) AS lists FROM st WHERE i > 0"""
 SQL = {
     "stream_choices": _CHOICES,
+    "stream_library": _LIBRARY,
     "stream_turns": "SELECT conv_id AS session_id, turn // 2 + 1 AS turn_number, trim(text) AS request FROM conversations WHERE role = 'user' AND trim(text) <> ''",
     "stream_sessions": f"""WITH {_LOG}, {_EPOCHS}
 SELECT device_id, seq, action, CAST(sum(fresh) OVER (PARTITION BY device_id, epoch ORDER BY seq) AS INT) AS tracks, CAST(lists AS INT) AS lists FROM f""",
