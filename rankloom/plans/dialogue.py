@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankloom.functions import aliases, messages as M
-from rankloom.operators import context, questions, search, selection
+from rankloom.operators import context, intents, questions, search, selection
 from rankloom.plans import catalog as C, ctes
 from rankloom.sources import adapters, storage
 
@@ -221,6 +221,16 @@ def intent_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.accepted(shares, least=0.22, margin=0.02)
 
 
+def intent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of all messages by a classifier that is fitted on the messages about every third track, and how many of
+    them it accepts."""
+    said = storage.staged(_said(spark, sf_dir), "said")
+    about = said.where("query_id like 'track %'").withColumn("intent", M.route(F.col("text")))
+    fitted = intents.fit(about.where("cast(substring_index(query_id, ' ', -1) as long) % 3 = 0").select("intent", F.col("text").alias("phrase")))
+    found = search.accepted(storage.staged(intents.scores(said, fitted), "intent-scores"))
+    return found.select("query_id", "intent", F.round("confidence", 3).alias("confidence"), "accepted")
+
+
 def pending_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of five pending tracks of each list those whose title or artist holds a description."""
     from rankloom.plans.playlists import _lists
@@ -234,7 +244,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_sessions, first_n_sessions, chunk_sessions, pending_chunks, chunk_union, ground_truth, history_query, recent_requests, expand_music_turns, adaptive_query, goal_query, route_message, routed_requests,
-        split_title_artist, canonicalize, playlist_description, rewrite_playlist_query, selected_positions, extract_prefs, entity_mentions, entity_select, entity_fuzzy, mask, slot_match, slot_match_fuzzy, parse_slots, answer_questions, intent_accept, pending_match,
+        split_title_artist, canonicalize, playlist_description, rewrite_playlist_query, selected_positions, extract_prefs, entity_mentions, entity_select, entity_fuzzy, mask, slot_match, slot_match_fuzzy, parse_slots, answer_questions, intent_accept, intent_scores, pending_match,
     )
 }
 
