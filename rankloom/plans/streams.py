@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.sources import adapters
 from rankloom.sources.storage import fresh_path, staged
-from rankloom.streaming import library as L, sessions as S
+from rankloom.streaming import library as L, sessions as S, windows as W
 
 _ACTIONS = {"signup": "new", "click": "add", "purchase": "save", "view": "open", "error": "clear"}
 
@@ -91,7 +91,20 @@ def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.drained(S.tumbling(rows), "tumbling")
 
 
-QUERIES = {f.__name__: f for f in (stream_turns, stream_sessions, stream_saved_lists, stream_choices, stream_library, events_tumbling)}
+def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of users that have closed: runs of events with less than four hours between them."""
+    rows = _source(spark, sf_dir, "events").select("user_id", "ts", "value")
+    return W.drained(W.session_windows(rows, gap="4 hours"))[0]
+
+
+def events_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive once, twice or three times, each taken once, by user."""
+    rows = _source(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", F.explode(F.sequence(F.lit(0), (F.col("event_id") % 3).cast("int"))).alias("copy"))
+    seen = W.drained(W.once(rows))[0]
+    return seen.groupBy("user_id").agg(F.count("*").alias("events"), F.count_distinct("event_type").alias("types"), F.sum("event_id").alias("ids"))
+
+
+QUERIES = {f.__name__: f for f in (stream_turns, stream_sessions, stream_saved_lists, stream_choices, stream_library, events_tumbling, events_sessions, events_once)}
 _LOG = """log AS (SELECT user_id AS device_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'new' WHEN 'click' THEN 'add' WHEN 'purchase' THEN 'save' WHEN 'view' THEN 'open' WHEN 'error' THEN 'clear' END AS action,
   CAST(json_extract_string(props, '$.k') AS BIGINT) % (SELECT count(*) FROM part) AS track FROM events)"""
 _EPOCHS = """e AS (SELECT *, count(*) FILTER (action IN ('new', 'clear')) OVER d AS epoch, count(*) FILTER (action = 'new') OVER d AS lists FROM log WINDOW d AS (PARTITION BY device_id ORDER BY seq)),
@@ -151,6 +164,9 @@ SELECT device_id, seq, action, CAST(sum(fresh) OVER (PARTITION BY device_id, epo
     "stream_saved_lists": f"""WITH {_LOG}, {_EPOCHS}, u AS (SELECT device_id, lists, max(epoch) AS epoch, max(seq) FILTER (action IN ('new', 'clear', 'add')) AS last FROM f GROUP BY 1, 2)
 SELECT u.device_id, CAST(u.lists AS INT) AS lists, u.last AS seq, coalesce(string_agg(CAST(track AS VARCHAR), ',' ORDER BY f.seq) FILTER (fresh = 1), '') AS playlist
 FROM u JOIN f ON f.device_id = u.device_id AND f.lists = u.lists AND f.epoch = u.epoch WHERE u.last IS NOT NULL GROUP BY 1, 2, 3""",
+    "events_once": "SELECT user_id, count(*) AS events, count(DISTINCT event_type) AS types, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY user_id",
+    "events_sessions": """WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 4 HOUR THEN 0 ELSE 1 END AS fresh FROM events), n AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS island FROM g)
+SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 4 HOUR AS ended, count(*) AS n, round(sum(value), 4) AS total FROM n GROUP BY user_id, island HAVING max(ts) + INTERVAL 4 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
     "events_tumbling": """WITH w AS (SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
 SELECT * FROM w WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 30 MINUTE FROM events)""",
 }
