@@ -58,7 +58,7 @@ def _variants(words: Column) -> Column:
     bare = F.when(_is(words, F.lit(0), ("the",)) & _is(words, F.lit(1), ("album",)), without((("the",), ("album",)))).otherwise(without((("album",),)))
     forms = [words, bare, without((("the",),))]
     short = lambda w: F.when((F.size(w) > 1) & _is(w, F.size(w) - 1, ("album",)), _upto(w, F.size(w) - 1)).otherwise(w)
-    return F.array(*(M._bare(_text(w)) for w in (*forms, *map(short, forms))))
+    return F.transform(F.flatten(F.array(F.array(*forms), F.transform(F.array(*forms), short))), lambda w: M._bare(_text(w)))
 
 
 def parsed(questions: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
@@ -76,12 +76,15 @@ def parsed(questions: DataFrame, id_col: str = "query_id", text_col: str = "text
     return rows.select(id_col, F.when(at.isNotNull() & ~F.col("same"), _after(w, at)).otherwise(w).alias("words"), F.when(~F.col("same"), kind).alias("kind"), "same")
 
 
-def _reading(kind: str, slot: str, text: Column, base: int = 0, at: Column | None = None, variant: Column | None = None) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), F.lit(slot).alias("slot"), F.lit(base).alias("base"), (F.lit(0) if at is None else at).cast("int").alias("at"), (F.lit(0) if variant is None else variant).cast("int").alias("variant"), text.alias("text"))
+def _reading(kind: str, slot: str, words: Column, base: int = 0, at: Column | None = None) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.lit(slot).alias("slot"), F.lit(base).alias("base"), (F.lit(0) if at is None else at).cast("int").alias("at"), words.alias("words"))
 
 
-def _albums(slot: str, words: Column, base: int = 0, at: Column | None = None) -> Column:
-    return F.transform(_variants(words), lambda t, i: _reading("album", slot, t, base, at, i))
+def _texts(rows: DataFrame, readings: Column, id_col: str) -> DataFrame:
+    """(id, kind, slot, base, at, variant, text): readings as text, albums in all their variants."""
+    each = rows.select(id_col, F.explode(readings).alias("x")).select(id_col, "x.*")
+    texts = F.when(F.col("kind") == "album", _variants(F.col("words"))).otherwise(F.array(_text(F.col("words"))))
+    return each.select(id_col, "kind", "slot", "base", "at", F.posexplode(texts).alias("variant", "text"))
 
 
 def _known(readings: DataFrame, index: DataFrame, id_col: str) -> DataFrame:
@@ -106,23 +109,24 @@ def slots(asked: DataFrame, index: DataFrame, id_col: str = "query_id") -> DataF
     w, by = F.col("words"), F.col("by")
     asked = staged(asked.where("not same").withColumn("by", F.try_element_at(_places(w, BY), F.lit(-1))).withColumn("head", F.when(by.isNotNull(), _upto(w, by))), "asked")
     none = F.array().cast("array<string>")
-    clauses = lambda words, base: F.flatten(F.transform(_places(words, ON), lambda i: _albums("clause", _after(words, i), base, i)))
-    either = lambda c: F.coalesce(c, F.slice(_albums("clause", w), 1, 0))
-    artist = F.when(by.isNotNull(), F.array(_reading("artist", "by", _text(_after(w, by)))))
-    readings = asked.select(id_col, F.explode(F.concat(F.array(_reading("title", "title", _text(w))), _albums("album", w), either(artist), clauses(w, 0), either(clauses(F.col("head"), 1)))).alias("x")).select(id_col, "x.*")
+    clauses = lambda words, base: F.transform(_places(words, ON), lambda i: _reading("album", "clause", _after(words, i), base, i))
+    some = lambda c, x: F.filter(x, lambda r: F.coalesce(c, F.lit(False)))
+    known = by.isNotNull()
+    artist, head = some(known, F.array(_reading("artist", "by", F.coalesce(_after(w, by), w)))), F.coalesce("head", F.slice(w, 1, 0))
+    readings = _texts(asked, F.concat(F.array(_reading("title", "title", w), _reading("album", "album", w)), artist, clauses(w, 0), clauses(head, 1)), id_col)
     found = _known(readings, index, id_col).groupBy(id_col).agg(*(_first(s, b).alias(n) for n, s, b in (("title", "title", 0), ("album", "album", 0), ("by_name", "by", 0), ("clause0", "clause", 0), ("clause1", "clause", 1))))
     rows = asked.join(found, id_col, "left")
     # a whole name is read as such; else an artist that is known goes first, then an album
     whole = F.col("title").isNotNull() | F.col("album").isNotNull()
     cut = ~whole & F.col("by_name").isNotNull()
-    rows = rows.select(id_col, "kind", "title", "album", whole.alias("whole"), cut.alias("cut"), F.when(cut, F.col("head")).otherwise(w).alias("base"), F.when(cut, _text(_after(w, by))).alias("artist"), F.when(~whole, F.when(cut, F.col("clause1")).otherwise(F.col("clause0"))).alias("clause"))
+    rows = rows.select(id_col, "kind", "title", "album", whole.alias("whole"), cut.alias("cut"), F.when(cut, F.col("head")).otherwise(w).alias("base"), F.when(cut, _after(w, by)).alias("artist"), F.when(~whole, F.when(cut, F.col("clause1")).otherwise(F.col("clause0"))).alias("clause"))
     base = F.col("base")
     at = F.when(~F.col("whole"), F.coalesce(F.col("clause")["at"], F.try_element_at(_places(base, ON), F.lit(-1))))
     rows = rows.withColumn("on", at).withColumn("target", F.when(F.col("on").isNotNull(), _upto(base, F.col("on"))).otherwise(base))
     rows = rows.withColumn("inner", F.when(~F.col("whole") & F.col("artist").isNull(), F.try_element_at(_places(F.col("target"), BY), F.lit(-1))))
     inner = F.col("inner")
     rows = rows.select(
-        id_col, "kind", "whole", F.when(inner.isNotNull(), _upto(F.col("target"), inner)).otherwise(F.col("target")).alias("target"), F.when(inner.isNotNull(), _text(_after(F.col("target"), inner))).otherwise(F.col("artist")).alias("artist"),
+        id_col, "kind", "whole", F.when(inner.isNotNull(), _upto(F.col("target"), inner)).otherwise(F.col("target")).alias("target"), F.when(inner.isNotNull(), _after(F.col("target"), inner)).otherwise(F.col("artist")).alias("artist"),
         F.when(F.col("on").isNotNull(), _after(base, F.col("on"))).alias("on_words"), F.coalesce(F.col("title.names"), none).alias("title"), F.coalesce(F.col("album.names"), none).alias("album"), F.coalesce(F.col("clause.names"), none).alias("held"),
     )
     rows = staged(rows, "read")
@@ -131,12 +135,12 @@ def slots(asked: DataFrame, index: DataFrame, id_col: str = "query_id") -> DataF
     wants_album = (kind != "song") & (F.size("album") == 0) & ((kind == "album") | (~F.col("whole") & F.col("on_words").isNull()))
     target = F.col("target")
     # sought exactly and then by close names; an album's close names by the reading without "album" before it
-    when = lambda c, x: F.when(c, x).otherwise(F.slice(x, 1, 0))
+    or_target = lambda c: F.coalesce(F.col(c), target)
     again = F.concat(
-        when(wants_title, F.array(_reading("title", "title", _text(target)))), when(wants_album, _albums("album", target)), when(F.col("artist").isNotNull(), F.array(_reading("artist", "artist", F.col("artist")))),
-        when(F.col("on_words").isNotNull() & (F.size("held") == 0), F.coalesce(_albums("held", F.coalesce("on_words", target)), F.slice(_albums("held", target), 1, 0))),
+        some(wants_title, F.array(_reading("title", "title", target))), some(wants_album, F.array(_reading("album", "album", target))), some(F.col("artist").isNotNull(), F.array(_reading("artist", "artist", or_target("artist")))),
+        some(F.col("on_words").isNotNull() & (F.size("held") == 0), F.array(_reading("album", "held", or_target("on_words")))),
     )
-    second = staged(rows.select(id_col, F.explode(again).alias("x")).select(id_col, "x.*"), "readings")
+    second = staged(_texts(rows, again, id_col), "readings")
     exact = _known(second, index, id_col).groupBy(id_col, "slot").agg(F.min_by("names", "variant").alias("names"))
     exact = staged(exact, "exact")
     fuzzy = second.where("variant = if(kind = 'album', 1, 0)").join(exact.select(id_col, "slot"), [id_col, "slot"], "left_anti")
@@ -146,7 +150,7 @@ def slots(asked: DataFrame, index: DataFrame, id_col: str = "query_id") -> DataF
     out = rows.join(both, id_col, "left")
     pick = lambda old, new: F.when(F.size(old) > 0, F.col(old)).otherwise(F.coalesce(new, none))
     return out.select(
-        id_col, _text(target).alias("target"), "artist", M._bare(_text(F.col("on_words"))).alias("album"), F.when(kind == "album", none).otherwise(pick("title", "new_title")).alias("titles"),
+        id_col, _text(target).alias("target"), _text(F.col("artist")).alias("artist"), M._bare(_text(F.col("on_words"))).alias("album"), F.when(kind == "album", none).otherwise(pick("title", "new_title")).alias("titles"),
         F.when(kind == "song", none).otherwise(pick("album", "new_album")).alias("albums"), F.coalesce("new_artist", none).alias("artists"), pick("held", "new_held").alias("held"),
     )
 
