@@ -312,7 +312,25 @@ _SPANS = f"""asked AS (SELECT ord AS query_id, CASE WHEN ord % 2 = 0 THEN concat
 w AS (SELECT query_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+') AS w, regexp_matches(lower(text), '\\b(album|record|tracklist|on|in|from)\\b') AS of_albums FROM asked),
 runs AS (SELECT query_id, of_albums, s AS start, e AS "end", array_to_string(w[s + 1 : e], ' ') AS name, len(list_filter(w[s + 1 : e], lambda x: x NOT IN {C._GRAMMAR})) > 0 AS fits FROM w, range(0, 200) a(s), range(1, 200) b(e) WHERE e > s AND e <= len(w) AND e - s <= (SELECT max(len(string_split(name, ' '))) FROM idx)),
 found AS (SELECT query_id, kind, name, CAST(start AS INT) AS start, CAST("end" AS INT) AS "end", CAST(len(track_ids) AS INT) AS tracks FROM runs JOIN idx USING (name) WHERE fits AND ("full" OR kind <> 'album' OR of_albums))"""
+#: Mentions taken one after another, the longest first, by message and kind.
+_TAKEN = f"""{_SPANS}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY start - "end", start, name) AS i FROM found),
+t AS (SELECT DISTINCT query_id, kind, CAST(0 AS BIGINT) AS i, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS INT) AS s, CAST(NULL AS INT) AS e, false AS ok, CAST([] AS STRUCT(s INT, e INT)[]) AS taken FROM o
+  UNION ALL SELECT query_id, kind, i, name, s, e, ok, CASE WHEN ok THEN list_append(taken, {{'s': s, 'e': e}}) ELSE taken END
+  FROM (SELECT o.query_id, o.kind, o.i, o.name, o.start AS s, o."end" AS e, t.taken, len(list_filter(t.taken, lambda x: NOT ((x.s = o.start AND x.e = o."end") OR o."end" <= x.s OR x.e <= o.start))) = 0 AS ok FROM t JOIN o ON o.query_id = t.query_id AND o.kind = t.kind AND o.i = t.i + 1)),
+chosen AS (SELECT query_id, kind, name, s, e FROM t WHERE ok)"""
+#: What stands for mentions put in one after another; positions count from 0.
+_PUT = f"""{_TAKEN}, words AS (SELECT query_id, w FROM w),
+p AS (SELECT c.query_id, c.s - CASE WHEN c.s > 0 AND words.w[c.s] IN ('a', 'an', 'the') THEN 1 ELSE 0 END AS s, c.e, CASE kind WHEN 'title' THEN 'this song' WHEN 'artist' THEN 'this artist' ELSE 'this album' END AS shown,
+  row_number() OVER (PARTITION BY c.query_id ORDER BY c.s - c.e, CASE kind WHEN 'artist' THEN 0 WHEN 'title' THEN 1 ELSE 2 END, c.s) AS i FROM chosen c JOIN words USING (query_id)),
+m AS (SELECT query_id, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST([] AS STRUCT(pos BIGINT, shown VARCHAR)[]) AS put FROM words
+  UNION ALL SELECT query_id, i, CASE WHEN ok THEN list_concat(used, range(s, e)) ELSE used END, CASE WHEN ok THEN list_append(put, {{'pos': s, 'shown': shown}}) ELSE put END
+  FROM (SELECT p.query_id, p.i, p.s, p.e, p.shown, m.used, m.put, NOT list_has_any(m.used, range(p.s, p.e)) AS ok FROM m JOIN p ON p.query_id = m.query_id AND p.i = m.i + 1)),
+lasts AS (SELECT query_id, arg_max(used, i) AS used, arg_max(put, i) AS put FROM m GROUP BY query_id)"""
+_REC = "WITH RECURSIVE"
 SQL = {
+    "entity_select": f"{_REC} {ctes.CATALOG}, {C.INDEX}, {_TAKEN} SELECT query_id, kind, name, s AS start, e AS \"end\" FROM chosen",
+    "mask": f"""{_REC} {ctes.CATALOG}, {C.INDEX}, {_PUT} SELECT query_id, array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN len(list_filter(put, lambda y: y.pos = i - 1)) > 0 THEN list_filter(put, lambda y: y.pos = i - 1)[1].shown WHEN NOT list_contains(used, i - 1) THEN x END), lambda x: x IS NOT NULL), ' ') AS masked
+FROM words JOIN lasts USING (query_id)""",
     "scan_sessions": f"WITH {ctes.SESSIONS} SELECT * FROM sess",
     "first_n_sessions": f"WITH {ctes.SESSIONS} SELECT session_id, specificity FROM sess WHERE ord < 10",
     "chunk_sessions": f"WITH {ctes.SESSIONS} SELECT session_id, specificity FROM sess WHERE ord BETWEEN 5 AND 14",
