@@ -127,7 +127,7 @@ def select_diverse(candidates: DataFrame, tracks: DataFrame, tags: DataFrame, li
             i, _, artist, own = entry
             fits = 0.22 * len(genres & own) / max(1, len(genres)) + 0.12 * len(moods & own) / max(1, len(moods))
             variety = 0.0 if not artist else -0.14 if artist in chosen else 0.10
-            return 1.0 - i / size + fits + 0.05 * len((genres & own) - covered) + variety
+            return round(1.0 - i / size + fits + 0.05 * len((genres & own) - covered) + variety, 9)
 
         while pool and len(out) < limit:
             best = max(pool, key=worth)  # the first of equals
@@ -166,8 +166,9 @@ def playlist_query(entries: DataFrame, tracks: DataFrame, tags: DataFrame, style
     """(key, query): a catalog query from a list (key, pos, track_id): genres by votes, four moods, and the styles,
     artists and titles of its last five tracks."""
     votes = profile(entries, tags, key)
-    named = lambda k, n: F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct((-F.col("votes")).alias("v"), F.col("feature").alias("f"))))), 1, n), lambda s: s["f"]), ", ")
-    tastes = votes.groupBy(key).agg(named("genre", 1000).alias("genres"), named("mood", 4).alias("moods"))
+    cut = lambda c, n: c if n is None else F.slice(c, 1, n)
+    named = lambda k, n: F.array_join(F.transform(cut(F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct((-F.col("votes")).alias("v"), F.col("feature").alias("f"))))), n), lambda s: s["f"]), ", ")
+    tastes = votes.groupBy(key).agg(named("genre", None).alias("genres"), named("mood", 4).alias("moods"))
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("pos")))
     last = entries.withColumn("p", place).where(F.col("p") <= 5).join(tracks, "track_id")
     own = styles.where("weight > 1").groupBy("track_id").agg(F.sort_array(F.collect_list("feature")).alias("styles"))

@@ -194,6 +194,9 @@ _SIM = f"""WITH {_TAGS}, {_CHOICE}, norms AS (SELECT track_id, sqrt(sum(weight *
 dots AS (SELECT c.id, c.track_id, s.track_id AS seed, sum(a.weight * b.weight) AS dot FROM (SELECT DISTINCT id, track_id FROM cand) c JOIN styles a USING (track_id) JOIN seeds s ON s.id = c.id JOIN styles b ON b.track_id = s.track_id AND a.feature = b.feature GROUP BY ALL),
 sims AS (SELECT id, track_id, max(round(dot / (x.n * y.n), 9)) AS s FROM dots JOIN norms x USING (track_id) JOIN norms y ON y.track_id = seed GROUP BY ALL),
 sim AS (SELECT DISTINCT id, track_id, coalesce(s, 0) AS similarity FROM cand LEFT JOIN sims USING (id, track_id))"""
+_SCORES = f"""{_SIM.removeprefix("WITH ")}, known AS (SELECT DISTINCT id, p_brand FROM seeds JOIN cat USING (track_id)), styled AS (SELECT DISTINCT id FROM seeds JOIN styles USING (track_id)),
+s AS (SELECT c.id, rank, c.track_id, CAST(k.id IS NOT NULL AS INT) AS same_artist, similarity, t.id IS NOT NULL AS styled FROM cand c JOIN sim USING (id, track_id) JOIN cat USING (track_id) LEFT JOIN known k ON k.id = c.id AND k.p_brand = cat.p_brand LEFT JOIN styled t ON t.id = c.id),
+scores AS (SELECT id, rank, track_id, same_artist, round(similarity + 0.15 * same_artist + 0.05 / rank, 9) AS score FROM s WHERE NOT styled OR similarity >= 0.25 OR same_artist = 1)"""
 #: Features of a track and of a list as sorted lists, so that what a candidate shares is a list of its own row.
 _SHARED = lambda name, source: f"""{name}_t AS (SELECT track_id, list_sort(list(DISTINCT feature)) AS own FROM ({source}) GROUP BY track_id), {name}_l AS (SELECT id, list(DISTINCT feature) AS held FROM seeds JOIN ({source}) USING (track_id) GROUP BY id),
 {name} AS (SELECT id, track_id, array_to_string(shared[1:3], ', ') AS names FROM (SELECT id, track_id, list_filter(own, lambda f: list_contains(held, f)) AS shared FROM (SELECT DISTINCT id, track_id FROM cand) JOIN {name}_t USING (track_id) JOIN {name}_l USING (id)) WHERE len(shared) > 0)"""
@@ -218,9 +221,18 @@ SELECT device_id, lists, resets, coalesce(string_agg(track_id, ',' ORDER BY seq)
     "track_style": f"WITH {_TAGS} SELECT track_id, feature, CAST(weight AS DOUBLE) AS weight FROM styles",
     "playlist_profile": f"WITH {_TAGS} SELECT id, kind, feature, count(*) AS votes FROM (SELECT DISTINCT l_orderkey AS id, CAST(l_partkey AS VARCHAR) AS track_id FROM lineitem) JOIN tags USING (track_id) GROUP BY ALL",
     "playlist_similarity": f"{_SIM} SELECT id, track_id, round(similarity, 6) AS similarity FROM sim",
-    "playlist_scores": f"""{_SIM}, known AS (SELECT DISTINCT id, p_brand FROM seeds JOIN cat USING (track_id)), styled AS (SELECT DISTINCT id FROM seeds JOIN styles USING (track_id)),
-s AS (SELECT c.id, rank, c.track_id, CAST(k.id IS NOT NULL AS INT) AS same_artist, similarity, t.id IS NOT NULL AS styled FROM cand c JOIN sim USING (id, track_id) JOIN cat USING (track_id) LEFT JOIN known k ON k.id = c.id AND k.p_brand = cat.p_brand LEFT JOIN styled t ON t.id = c.id)
-SELECT id, rank, track_id, same_artist, round(similarity + 0.15 * same_artist + 0.05 / rank, 6) AS score FROM s WHERE NOT styled OR similarity >= 0.25 OR same_artist = 1""",
+    "playlist_scores": f"WITH {_SCORES} SELECT id, rank, track_id, same_artist, round(score, 6) AS score FROM scores",
+    "playlist_select": f"""WITH RECURSIVE {_SCORES}, pools AS (SELECT id, list({{'rank': rank, 'track_id': track_id, 'artist': p_brand, 'score': score}}) AS pool FROM scores JOIN cat USING (track_id) GROUP BY id),
+r AS (SELECT id, 0 AS place, CAST(NULL AS VARCHAR) AS track_id, pool, CAST([] AS VARCHAR[]) AS seen FROM pools
+  UNION ALL SELECT id, place + 1, best.x.track_id, list_filter(pool, lambda y: y.rank <> best.x.rank), list_append(seen, best.x.artist)
+  FROM (SELECT *, list_sort(list_transform(pool, lambda y: {{'worth': round(y.score - 0.12 * len(list_filter(seen, lambda a: a = y.artist)), 9), 'late': -y.rank, 'x': y}}), 'DESC')[1] AS best FROM r WHERE place < 5 AND len(pool) > 0))
+SELECT id, CAST(place AS INT) AS place, track_id FROM r WHERE place > 0""",
+    "diverse_select": f"""WITH RECURSIVE {_TAGS}, {_CHOICE}, wants AS (SELECT track_id, bool_or(kind = 'genre' AND feature = 'metal') AS g, bool_or(kind = 'mood' AND feature = 'calm') AS m FROM tags GROUP BY track_id),
+pools AS (SELECT id, list({{'rank': rank, 'track_id': track_id, 'artist': {ctes.plain("p_brand")}, 'g': coalesce(g, false), 'm': coalesce(m, false)}}) AS pool FROM cand JOIN cat USING (track_id) LEFT JOIN wants USING (track_id) GROUP BY id),
+r AS (SELECT id, 0 AS place, CAST(NULL AS VARCHAR) AS track_id, pool, len(pool) AS size, CAST([] AS VARCHAR[]) AS seen, false AS covered FROM pools
+  UNION ALL SELECT id, place + 1, best.x.track_id, list_filter(pool, lambda y: y.rank <> best.x.rank), size, list_append(seen, best.x.artist), covered OR best.x.g
+  FROM (SELECT *, list_sort(list_transform(pool, lambda y: {{'worth': round(1.0::DOUBLE - (y.rank - 1) / size::DOUBLE + CASE WHEN y.g THEN 0.22::DOUBLE ELSE 0 END + CASE WHEN y.m THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN y.g AND NOT covered THEN 0.05::DOUBLE ELSE 0 END + CASE WHEN list_contains(seen, y.artist) THEN -0.14::DOUBLE ELSE 0.1::DOUBLE END, 9), 'late': -y.rank, 'x': y}}), 'DESC')[1] AS best FROM r WHERE place < 8 AND len(pool) > 0))
+SELECT id, CAST(place AS INT) AS place, track_id FROM r WHERE place > 0""",
     "exclude_playlist": f"WITH {_CHOICE} SELECT id, rank, track_id FROM cand ANTI JOIN seeds USING (id, track_id)",
     "catalog_valid": f"WITH {_CHOICE} SELECT id, count(*) AS valid FROM cand WHERE CAST(track_id AS BIGINT) IN (SELECT p_partkey FROM part WHERE p_size <= 30) GROUP BY id",
     "playlist_query": f"""WITH {_TAGS}, {_LISTS}, e AS (SELECT id, unnest(track_ids) AS track_id, unnest(range(len(track_ids))) AS pos FROM lists),

@@ -7,7 +7,7 @@ from rankloom.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
 #: Queries without SQL; other tests hold the searches against brute force and the rest against cases.
-NO_SQL = {"match_score_fuzzy", "search_tracks", "add_by_text", "remove_by_text", "playlist_select", "diverse_select", "entity_fuzzy", "slot_match_fuzzy", "encode_queries", "intent_scores"}
+NO_SQL = {"match_score_fuzzy", "search_tracks", "add_by_text", "remove_by_text", "entity_fuzzy", "slot_match_fuzzy", "encode_queries", "intent_scores"}
 
 
 def test_inventory():
