@@ -19,7 +19,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rankloom.functions.text import STOP_WORDS, tokens
-from rankloom.sources.storage import fresh_path, shared_dir, staged
+from rankloom.sources.storage import shared_dir, staged
 
 K1, B = 1.5, 0.75
 #: Documents and words of a block, about, and the buckets that terms are dealt to.

@@ -17,7 +17,7 @@ def scan_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def first_n_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.sessions(spark, sf_dir).where("ord < 10").select("session_id", "specificity")
+    return adapters.sessions(spark, sf_dir).orderBy("ord").limit(10).select("session_id", "specificity")
 
 
 def chunk_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,7 +332,7 @@ SQL = {
     "mask": f"""{_REC} {ctes.CATALOG}, {C.INDEX}, {_PUT} SELECT query_id, array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN len(list_filter(put, lambda y: y.pos = i - 1)) > 0 THEN list_filter(put, lambda y: y.pos = i - 1)[1].shown WHEN NOT list_contains(used, i - 1) THEN x END), lambda x: x IS NOT NULL), ' ') AS masked
 FROM words JOIN lasts USING (query_id)""",
     "scan_sessions": f"WITH {ctes.SESSIONS} SELECT * FROM sess",
-    "first_n_sessions": f"WITH {ctes.SESSIONS} SELECT session_id, specificity FROM sess WHERE ord < 10",
+    "first_n_sessions": f"WITH {ctes.SESSIONS} SELECT session_id, specificity FROM sess ORDER BY ord LIMIT 10",
     "chunk_sessions": f"WITH {ctes.SESSIONS} SELECT session_id, specificity FROM sess WHERE ord BETWEEN 5 AND 14",
     "pending_chunks": f"WITH {ctes.SESSIONS} SELECT DISTINCT ord // 4 AS chunk FROM sess WHERE ord // 4 NOT IN (0, 2)",
     "chunk_union": f"WITH {ctes.SESSIONS} SELECT ord // 10 AS chunk, count(*) AS sessions, count(*) * 8 AS turns FROM sess GROUP BY 1",
