@@ -188,24 +188,24 @@ def save_best(scores: DataFrame, path: str, by: str = "final_score") -> bool:
     spark = scores.sparkSession
     found = scores.where(F.col(by).isNotNull() & ~F.isnan(by)).orderBy(F.desc(by), "config_id").limit(1)
     new = found.first()
-    saved = load_best(spark, path, by)
+    saved = load_best(spark, path)
     if new is None or (saved is not None and saved[by] >= new[by]):
         return False
     folder = f"best-{uuid.uuid4().hex}"
     spark.createDataFrame([new], scores.schema).coalesce(1).write.parquet(f"{path}/{folder}")
-    spark.createDataFrame([(folder,)], "folder string").coalesce(1).write.parquet(f"{path}/saved/{folder}")
+    spark.createDataFrame([(folder, float(new[by]))], "folder string, score double").coalesce(1).write.parquet(f"{path}/saved/{folder}")
     return True
 
 
-def load_best(spark: SparkSession, path: str, by: str = "final_score") -> Row | None:
+def load_best(spark: SparkSession, path: str) -> Row | None:
     """The best row saved at path; null if there is none."""
     try:
-        markers = [r["folder"] for r in spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/saved").collect()]
+        marker = spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/saved").orderBy(F.desc("score")).first()
     except AnalysisException as e:  # nothing saved yet
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
-    return spark.read.parquet(*(f"{path}/{m}" for m in markers)).orderBy(F.desc(by), "config_id").first()
+    return spark.read.parquet(f"{path}/{marker['folder']}").first()
 
 
 def read_examples(spark: SparkSession, path: str) -> DataFrame:
