@@ -8,7 +8,7 @@ from rankloom.functions import scalars
 from rankloom.functions.text import exact, overlap, phrase, plain
 from rankloom.operators import search
 from rankloom.plans import ctes
-from rankloom.sources import adapters, storage
+from rankloom.sources import adapters, storage, tables
 
 
 def scan_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,16 @@ def catalog_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.upserted(adapters.catalog_updates(spark, sf_dir))
 
 
+def catalog_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog imported in two steps: three quarters of the tracks, then the others with every tenth track changed."""
+    path = storage.fresh_path(spark, "catalog")
+    rows = adapters.catalog_updates(spark, sf_dir)
+    late, changed = F.col("track_id").cast("long") % 4 == 3, F.col("name").endswith(" (new)")
+    tables.merge(rows.where(~late & ~changed), path)
+    tables.merge(rows.where(late | changed).withColumn("seq", F.col("track_id").cast("long")), path)
+    return tables.load(spark, path)
+
+
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tracks = adapters.catalog(spark, sf_dir)
     return tracks.where(F.col("track_id") == "42").select("track_id", F.array_join("track_name", "|").alias("track_name"), "popularity")
@@ -223,7 +233,7 @@ _CAT = f"WITH {ctes.CATALOG}"
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_catalog, catalog_ordered, catalog_upsert, point_lookup, clean_values, display_track, display_record, corpus_text, metadata_text, compact_music, normalize_text, token_overlap, phrase_match,
+        scan_catalog, catalog_ordered, catalog_upsert, catalog_merge, point_lookup, clean_values, display_track, display_record, corpus_text, metadata_text, compact_music, normalize_text, token_overlap, phrase_match,
         match_score_contains, match_score_fuzzy, popularity_clean, duration_ms, reasonable_title, ordered_distinct, name_index, name_index_stats, ambiguous_titles, artist_tags, album_tracks, artist_tracks,
         track_fact, search_tracks, exact_or_all, add_by_text, remove_by_text, disambiguate, entity_intersect, entity_union, valid_names,
     )
@@ -232,6 +242,9 @@ SQL = {
     "scan_catalog": f"{_CAT} SELECT track_id, p_name AS track_name, array_to_string(tag_list, '|') AS tags, popularity, duration, ord FROM cat",
     "catalog_ordered": "SELECT p_partkey AS ord, CAST(p_partkey AS VARCHAR) AS track_id FROM part ORDER BY p_partkey",
     "catalog_upsert": """SELECT CAST(p_partkey AS VARCHAR) AS track_id, CASE WHEN p_partkey % 10 = 0 THEN concat(p_name, ' (new)') ELSE p_name END AS name, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS popularity, p_partkey AS ord FROM part""",
+    "catalog_merge": """WITH t AS (SELECT max(p_partkey) FILTER (p_partkey % 4 <> 3) AS last, min(p_partkey) FILTER (p_partkey % 4 = 3 OR p_partkey % 10 = 0) AS first FROM part)
+SELECT CAST(p_partkey AS VARCHAR) AS track_id, CASE WHEN p_partkey % 10 = 0 THEN concat(p_name, ' (new)') ELSE p_name END AS name, CASE WHEN p_partkey % 10 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS popularity,
+  CASE WHEN p_partkey % 4 = 3 THEN p_partkey - first + last + 1 ELSE p_partkey END AS ord FROM part, t""",
     "point_lookup": "SELECT CAST(p_partkey AS VARCHAR) AS track_id, p_name AS track_name, p_retailprice AS popularity FROM part WHERE p_partkey = 42",
     "clean_values": f"{_CAT} SELECT track_id, CASE WHEN ord % 3 = 0 THEN trim(p_name) WHEN ord % 3 = 1 THEN array_to_string(list_filter(list_transform(tag_list, lambda x: trim(x)), lambda x: x <> ''), '|') ELSE '' END AS cleaned FROM cat",
     "display_track": f"{_CAT} SELECT track_id, concat({_SHOWN('p_name', 'Unknown title')}, ' — ', CASE WHEN ord % 5 <> 0 THEN {_SHOWN('p_brand', 'Unknown artist')} ELSE 'Unknown artist' END, CASE WHEN ord % 4 <> 0 AND trim(p_type) <> '' THEN concat(' (', trim(p_type), ')') ELSE '' END) AS shown FROM cat",

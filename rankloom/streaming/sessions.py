@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rankloom.functions.messages import choice
+from rankloom.sources import tables
 from rankloom.sources.storage import fresh_path
 
 #: Requests that a session remembers.
@@ -112,25 +114,55 @@ def sessions(commands: DataFrame, key: str = "device_id") -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(advance, schema, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
-def autosave(states: DataFrame, path: str, key: str = "device_id") -> StreamingQuery:
+def autosave(states: DataFrame, path: str, key: str = "device_id", compact_every: int = 0) -> StreamingQuery:
     """Saves the lists of a stream of states, as `sessions` gives them, at path after the updates of each batch.
 
     A created list has a number of its own, so it is saved beside the former ones, which stay; other updates are saved to
     the active list. A batch that is run again overwrites its own files, so that each state is saved once. Runs over all
-    that is there; a later call with the same path goes on where this one ended.
+    that is there; a later call with the same path goes on where this one ended. With compact_every, saved batches are
+    merged after each so many.
     """
 
     def save(batch: DataFrame, number: int) -> None:
         updates = batch.where(F.col("action").isin(*UPDATES))
         last = updates.groupBy(key, "lists").agg(F.max("seq").alias("seq"), F.max_by("playlist", "seq").alias("playlist"))
         last.write.mode("overwrite").parquet(f"{path}/batch-{number}")
+        if compact_every and number % compact_every == compact_every - 1:
+            compact_lists(batch.sparkSession, path, key)
 
     return states.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}-checkpoint").outputMode("append").trigger(availableNow=True).start()
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(name[6:]) for name in tables.folders(spark, path) if name.startswith("batch-"))
+
+
+def compact_lists(spark: SparkSession, path: str, key: str = "device_id", buckets: int = tables.BUCKETS) -> int:
+    """Merges the batches saved at path into the table beside it, drops their folders and returns how many there were.
+
+    No batch may be saved meanwhile but by the caller. The table notes the last batch that it has, so that after a loss
+    between the merge and the drop, batches that are still there or are saved again count once. Lists without a key are
+    kept as those of a device of their own.
+    """
+    there = _batches(spark, path)
+    if not there:
+        return 0
+    rows = spark.read.parquet(*(f"{path}/batch-{n}" for n in there))
+    if not rows.isEmpty():
+        # an array holds a null, which no key of a table may be
+        last = rows.groupBy(key, "lists").agg(F.max("seq").alias("seq"), F.max_by("playlist", "seq").alias("playlist"))
+        tables.merge(last.withColumns({"device": F.array(key), "at": F.col("seq")}), f"{path}-table", ("device", "lists"), "at", buckets, batch=there[-1])
+    for n in there:
+        tables.removed(spark, f"{path}/batch-{n}")
+    return len(there)
+
+
 def saved_lists(spark: SparkSession, path: str, key: str = "device_id") -> DataFrame:
-    """(key, lists, seq, playlist): each list that was saved at path, as it was saved last."""
-    rows = spark.read.option("recursiveFileLookup", "true").parquet(path)
+    """(key, lists, seq, playlist): each list that was saved at path, as it was saved last, merged batches included."""
+    parts = [spark.read.parquet(*(f"{path}/batch-{n}" for n in there))] if (there := _batches(spark, path)) else []
+    if tables.versions(spark, f"{path}-table"):
+        parts.append(tables.load(spark, f"{path}-table"))
+    rows = reduce(DataFrame.unionByName, (p.select(key, "lists", "seq", "playlist") for p in parts))
     return rows.groupBy(key, "lists").agg(F.max("seq").alias("seq"), F.max_by("playlist", "seq").alias("playlist"))
 
 
