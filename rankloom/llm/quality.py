@@ -1,8 +1,10 @@
 """Quality classifier over supervised subword embeddings.
 
-Each word gives one hashed word feature and the hashed character n-grams of `<word>`, and a word that follows itself
-gives the repeat bigram; a document is the mean of the learned vectors of its features, and a softmax layer turns it into class probabilities. Vectors and layer are trained
-by plain stochastic gradient descent in numpy. Once trained, a document's score needs one number for each feature.
+Each word gives one hashed word feature and the hashed character n-grams of `<word>`, all of them hashed together with
+whether the word has occurred before in the text, so that repetition is learned like any other property of words. A
+document is the mean of the learned vectors of its features, and a softmax layer turns it into class probabilities.
+Vectors and layer are trained by plain stochastic gradient descent in numpy. Once trained, a document's score needs one
+number for each feature.
 """
 
 from __future__ import annotations
@@ -33,13 +35,14 @@ class Settings:
 
 
 def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the word, hashed feature) of all features of distinct words, by array operations only.
+    """(index of the word, hashed features) of all features of distinct words, by array operations only.
 
-    Feature 0 is kept for the end of a document, feature 1 for the word bigram of a word and itself.
+    Features have two rows: where the word is new in its text, and where it has occurred before. Feature 0 is kept for the
+    end of a document.
     """
     n = len(words)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros((2, 0), np.int64)
     words = pa.concat_arrays([pc.cast(words, pa.binary())])
     length = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     first = np.frombuffer(words.buffers()[1], np.int32)[words.offset]
@@ -64,17 +67,18 @@ def features(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         owner.append(of[: len(of) - k + 1][fits])
         found.append(h[fits])
     mixed = np.concatenate(found)
+    mixed = np.stack([mixed, mixed ^ np.uint32(0xB5297A4D)])
     mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-    return np.concatenate(owner), ((mixed >> np.uint32(8)) % np.uint32(BUCKETS - 2)).astype(np.int64) + 2
+    return np.concatenate(owner), ((mixed >> np.uint32(8)) % np.uint32(BUCKETS - 1)).astype(np.int64) + 1
 
 
-def repeats(index: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """1.0 at each word that equals the word before it in the same text."""
-    same = np.zeros(len(index))
-    same[1:] = index[1:] == index[:-1]
-    first = (np.cumsum(counts) - counts)[counts > 0]
-    same[first] = 0
-    return same
+def later(index: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1 at each word that has occurred before in the same text, else 0."""
+    words = int(index.max(initial=0)) + 1
+    _, first = np.unique(np.repeat(np.arange(len(counts)), counts) * words + index, return_index=True)
+    seen = np.ones(len(index), np.int64)
+    seen[first] = 0
+    return seen
 
 
 def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -83,9 +87,10 @@ def bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for text in texts:
         words, index, counts = words_of(pa.array([text], pa.string()))
         owner, found = features(words)
-        times = np.bincount(index, minlength=len(words))[owner] if len(words) else np.zeros(0)
-        total = np.bincount(found, weights=times, minlength=2)
-        total[:2] = 1, repeats(index, counts).sum()
+        seen = later(index, counts)
+        times = np.stack([np.bincount(index[seen == k], minlength=len(words))[owner] for k in (0, 1)])
+        total = np.bincount(found.ravel(), weights=times.ravel(), minlength=1)
+        total[0] = 1
         ids = np.flatnonzero(total)
         out.append((ids, total[ids] / total[ids].sum()))
     return out
@@ -155,11 +160,10 @@ def score(docs: DataFrame, weights: np.ndarray, cut: float = 0.7, id_col: str =
         for b in slices(batches):
             words, index, counts = words_of(b.column(1))
             owner, found = features(words)
-            by_word = np.bincount(owner, weights=table[found], minlength=len(words))
+            by_word = np.stack([np.bincount(owner, weights=table[row], minlength=len(words)) for row in found])
             number = np.bincount(owner, minlength=len(words))
-            same = repeats(index, counts)
-            total = sum_by_text(by_word[index] + table[1] * same, counts) + table[0]
-            mean = total / (sum_by_text(number[index] + same, counts) + 1)
+            total = sum_by_text(by_word[later(index, counts), index], counts) + table[0]
+            mean = total / (sum_by_text(number[index], counts) + 1)
             p = 1 / (1 + np.exp(-np.clip(mean, -50, 50)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p), pa.array((p >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -15,10 +15,9 @@ def plain_features(text):
     """{feature: times} with the hashes written out for one word after another."""
     words = [w for w in (text or "").encode().replace(b"\x0b", b" ").split()]
     out = {0: 1}
-    for before, word in zip([None, *words], words):
+    for at_word, word in enumerate(words):
         shown = b"<" + word + b">"
-        if word == before:
-            out[1] = out.get(1, 0) + 1
+        seen = 0xB5297A4D if word in words[:at_word] else 0
         whole = sum(b * pow(0x01000193, k + 1, 1 << 32) for k, b in enumerate(shown)) * 0x9E3779B1 & U
         found = [whole]
         for n in Q.NGRAMS:
@@ -28,8 +27,9 @@ def plain_features(text):
                     h = (h ^ b) * 0x01000193 & U
                 found.append(h)
         for h in found:
+            h ^= seen
             h = (h ^ h >> 15) * 0x85EBCA6B & U
-            f = (h >> 8) % (Q.BUCKETS - 2) + 2
+            f = (h >> 8) % (Q.BUCKETS - 1) + 1
             out[f] = out.get(f, 0) + 1
     return out
 
@@ -44,6 +44,29 @@ def test_features():
         assert dict(zip(ids.tolist(), share.tolist())) == pytest.approx({f: n / total for f, n in plain.items()})
 
 
+def test_words_that_occurred_before_in_their_own_text():
+    index, counts = np.array([0, 1, 0, 0, 2, 1, 1]), np.array([3, 0, 2, 2])
+    assert Q.later(index, counts).tolist() == [0, 0, 1, 0, 0, 0, 1]
+    assert Q.later(np.zeros(0, np.int64), np.zeros(2, np.int64)).tolist() == []
+
+
+def test_repetition_is_learned_wherever_it_stands(spark):
+    """Texts of the same words: one label's words come again later, never side by side; other words are judged alike."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+
+    def text(label):
+        words = [word() for _ in range(30 if label else 10)]
+        return " ".join(words if label else words * 3)
+
+    labels = [i % 2 for i in range(600)]
+    texts = [text(y) for y in labels]
+    weights = Q.train(texts[:400], labels[:400])
+    rest = spark.createDataFrame(list(enumerate(texts))[400:], "doc_id long, text string")
+    right = [(r["score"] > 0.5) == labels[r["doc_id"]] for r in Q.score(rest, weights).collect()]
+    assert sum(right) / len(right) > 0.95
+
+
 def test_training_step_by_step(monkeypatch):
     """The same gradient steps with loops over dimensions and features, in the same order."""
     monkeypatch.setattr(Q, "BUCKETS", 512)
