@@ -131,24 +131,79 @@ def _substrings(name: Column, sizes: list[int]) -> Column:
     return F.concat(*map(of, sizes))
 
 
+#: Letters of the longer name up to which close names meet by length, piece and text; beyond, by text alone.
+KEYED = 40
+
+
+def edits(n: int, m: int, least: float) -> int:
+    """Insertions and deletions that names of these lengths can be apart at a ratio of `least` percent."""
+    return math.floor((100 - least) * (n + m) / 100 + 1e-9)
+
+
+def pieces(n: int, least: float) -> list[tuple[int, int]]:
+    """(at, size) of the pieces of a name of n letters, one more than there can be edits to a name no longer."""
+    count = edits(n, n, least) + 1
+    cuts = [i * n // count for i in range(count + 1)]
+    return [(low + 1, high - low) for low, high in zip(cuts, cuts[1:])]
+
+
+def probes(least: float, most: int = KEYED) -> list[tuple[int, int, int, int, int]]:
+    """(m, n, piece, there, size): where a name of m letters may hold a piece of a name of n >= m letters.
+
+    Go through the pieces of the longer name and take their number from that of the edits before them. This starts at 0,
+    ends below 0 and falls by one at most, by that just at a piece without an edit; so some piece i is whole and has i
+    edits before it. It has moved by as many places as these differ in insertions and deletions: by i at most, by an even
+    number if i is even and by an odd one if not, and what is left of the edits makes up for the rest of n - m.
+    """
+    out = []
+    for n in range(1, most + 1):
+        for m in range(1, n + 1):
+            d = edits(n, m, least)
+            if n - m > d:
+                continue
+            for i, (at, size) in enumerate(pieces(n, least)[: d + 1]):
+                for moved in range(-i, i + 1, 2):
+                    there = at - moved
+                    if abs(n - m - moved) <= d - i and there >= 1 and there + size - 1 <= m:
+                        out.append((m, n, i, there, size))
+    return out
+
+
+def _keyed(longer: DataFrame, a: str, shorter: DataFrame, b: str, least: float, same: bool) -> DataFrame:
+    """(a, b) that share a piece, for longer names of KEYED letters at most; of equal lengths if `same`."""
+    spark = longer.sparkSession
+    cut = pa.Table.from_pylist([{"n": n, "piece": i, "at": at, "size": size} for n in range(1, KEYED + 1) for i, (at, size) in enumerate(pieces(n, least))])
+    seek = pa.Table.from_pylist([dict(zip(("m", "n", "piece", "there", "size"), x)) for x in probes(least) if same or x[0] < x[1]], pa.schema([(c, pa.int64()) for c in ("m", "n", "piece", "there", "size")]))
+    # both tables follow from `least` alone and are small
+    text = lambda name, at: F.substring(name, F.col(at).cast("int"), F.col("size").cast("int")).alias("text")
+    held = longer.join(F.broadcast(spark.createDataFrame(cut)), F.length(a) == F.col("n")).select(a, "n", "piece", text(a, "at"))
+    sought = shorter.join(F.broadcast(spark.createDataFrame(seek)), F.length(b) == F.col("m")).select(b, "n", "piece", text(b, "there"))
+    return held.join(sought, ["n", "piece", "text"]).select("want", "value").distinct()
+
+
 def close(wanted: DataFrame, values: DataFrame, least: float = 85.0) -> DataFrame:
     """(want, value, score) of distinct names (want) and (value) whose insertion-deletion ratio is at least `least` percent.
 
     At a ratio r, names of lengths n >= m differ by (100 - r) (n + m) / 100 insertions and deletions at most. The longer
-    one is cut into one piece more than that could be with m = n, so a piece stands whole in the shorter one, moved by no
-    more places than there are edits. Pieces and substrings meet in an equi-join; what meets is scored.
+    one is cut into one piece more than that could be with m = n, so a piece stands whole in the shorter one, near its
+    place. Names meet in an equi-join on the longer one's length, the number of the piece and its text; for longer names
+    than KEYED, pieces meet substrings by their text, and places are compared then. What meets is scored.
     """
-    edits = lambda n: math.floor(2 * (100 - least) * n / 100 + 1e-9)
-    sizes = sorted({s for n in range(1, 1000) for s in (n // (edits(n) + 1), -(-n // (edits(n) + 1)))})
+    if not 50 <= least < 100:
+        raise ValueError("least must be 50 or more and below 100")
+    # a name of n letters has floor(n * share) + 1 pieces, so their sizes lie between the smallest and 1 / share
+    share = 2 * (100 - least) / 100
+    sizes = list(range(max(1, math.floor((KEYED + 1) / ((KEYED + 1) * share + 1) - 1e-9)), math.ceil(1 / share + 1e-9) + 1))
 
     def meet(longer: DataFrame, a: str, shorter: DataFrame, b: str) -> DataFrame:
-        pieces = longer.select(a, F.explode(_segments(F.col(a), least)).alias("x")).select(a, "x.text", F.col("x.at").alias("at"))
-        inside = shorter.select(b, F.explode(_substrings(F.col(b), sizes)).alias("y")).select(b, "y.text", F.col("y.at").alias("there"))
         n, m = F.length(a), F.length(b)
+        cut = longer.where(n > KEYED).select(a, F.explode(_segments(F.col(a), least)).alias("x")).select(a, "x.text", F.col("x.at").alias("at"))
+        inside = shorter.where(200.0 * m / (m + KEYED + 1) >= least - 1e-9).select(b, F.explode(_substrings(F.col(b), sizes)).alias("y")).select(b, "y.text", F.col("y.at").alias("there"))
         allowed = (100 - least) * (n + m) / 100 + 1e-9
         fits = (n >= m) & (200.0 * m / (n + m) >= least - 1e-9) & (F.abs(F.col("at") - F.col("there")) <= allowed)
-        return pieces.join(inside, "text").where(fits).select("want", "value").distinct()
+        return cut.join(inside, "text").where(fits).select("want", "value").distinct()
 
     wanted, values = wanted.where("want <> ''"), values.where("value <> ''")
-    pairs = meet(wanted, "want", values, "value").union(meet(values, "value", wanted, "want")).distinct()
+    keyed = _keyed(wanted, "want", values, "value", least, True).union(_keyed(values, "value", wanted, "want", least, False))
+    pairs = keyed.union(meet(wanted, "want", values, "value").union(meet(values, "value", wanted, "want")).distinct())
     return pairs.withColumn("score", indel(F.col("want"), F.col("value"))).where(F.col("score") >= least)

@@ -19,6 +19,8 @@ def made_up(n: int, seed: int) -> list[str]:
             at = rng.randrange(len(letters) + 1)
             letters[at : at + rng.randint(0, 1)] = rng.choice(["", "z", "e", "ou"])
         names.append("".join(letters).strip() or "z")
+    long = "the quick brown fox and a lazy dog who sleeps on"  # around and beyond the length up to which pieces have keys
+    names += [long[:k] + "y" * (k % 3) + long[k + k % 4 :] for k in range(3, 48, 2)] + [long[:n] for n in range(34, 49)]
     return sorted({*names, "a", "ab", "x" * 70, "x" * 69 + "y", "café noir", "cafe noir"})
 
 
@@ -75,13 +77,28 @@ def test_common_lengths_are_exact_and_a_bound_for_long_names(names):
             assert c == exact if len(q) <= 64 else c >= exact
 
 
-@pytest.mark.parametrize("least", [85.0, 70.0, 95.0])
+@pytest.mark.parametrize("least", [85.0, 70.0, 95.0, 51.5])
 def test_close_is_every_pair_that_reaches_the_threshold(spark, names, least):
     found = {(r["want"], r["value"]): r["score"] for r in near.close(*frames(spark, names), least).collect()}
     wanted = {(q, v): s for q in names[0] for v in set(names[1]) if (s := plain_indel(q, v)) >= least}
     assert found == pytest.approx(wanted) and len(wanted) > 20
 
 
+def test_few_names_meet(spark):
+    """Names of two syllables out of forty share pieces all the time, but seldom at the same place of the same length."""
+    rng = random.Random(7)
+    syllables = [a + b for a in "bdfgklmn" for b in ("an", "el", "ing", "or", "u")]
+    some = sorted({"".join(rng.choices(syllables, k=rng.randint(3, 6))) for _ in range(2000)})
+    wanted = spark.createDataFrame([(x,) for x in some[::2]], "want string")
+    values = spark.createDataFrame([(x,) for x in some[1::2]], "value string")
+    met = near._keyed(wanted, "want", values, "value", 85.0, True).count() + near._keyed(values, "value", wanted, "want", 85.0, False).count()
+    assert met < len(some) ** 2 / 4 * 0.2
+    assert all(p[0] <= p[1] and p[3] >= 1 and p[3] + p[4] - 1 <= p[0] for p in near.probes(85.0))
+    for least in (40, 100):
+        with pytest.raises(ValueError):
+            near.close(wanted, values, least)
+
+
 def test_nothing_meets_nothing(spark, names):
     wanted, values = frames(spark, names)
     assert near.similar(wanted.where("1 = 0"), values, 0.42).isEmpty() and near.close(wanted, values.where("1 = 0")).isEmpty()
