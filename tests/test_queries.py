@@ -6,7 +6,7 @@ from compare import assert_same
 from rankloom.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
-#: Queries without SQL; other tests hold the searches against brute force and the rest against cases.
+#: Queries without SQL; other tests hold them against brute force over whole tables or against plain solvers.
 NO_SQL = {"match_score_fuzzy", "search_tracks", "add_by_text", "remove_by_text", "entity_fuzzy", "slot_match_fuzzy", "encode_queries", "intent_scores"}
 
 
