@@ -1,8 +1,10 @@
-"""Tables in shared storage: staged results, imports that commit by a marker, chunks that resume, JSON lists."""
+"""Tables in shared storage: staged results and their end, imports that commit by a marker, chunks that resume, JSON lists."""
 
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from rankloom.sources import tables
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor shares; the warehouse's if that is unset."""
@@ -28,6 +32,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Folders that one run makes for itself: a label, a number of their own, and what belongs to it.
+_OWN = re.compile(r"rankloom-(?!index-).+-[0-9a-f]{32}(-checkpoint|-table|-table-checkpoint)?")
+
+
+def clear_staged(spark: SparkSession, idle_hours: float = 72) -> list[str]:
+    """Drops the staged tables of former runs from the shared folder, and returns their names in order.
+
+    They are those that have not changed for idle_hours, so no run that still reads its tables may be older. Indexes that
+    later runs find by a digest stay, and so does whatever has another name.
+    """
+    before = (time.time() - idle_hours * 3600) * 1000
+    folder = shared_dir(spark)
+    old = sorted(name for name, changed in tables.folders(spark, folder).items() if _OWN.fullmatch(name) and changed <= before)
+    return [name for name in old if tables.removed(spark, f"{folder}/{name}")]
+
+
 def upserted(rows: DataFrame, key: str = "track_id", order: str = "seq") -> DataFrame:
     """One row a key: the values of its last row, and `ord`, the place where it was first seen. Null keys go."""
     values = [c for c in rows.columns if c not in (key, order)]

@@ -98,3 +98,20 @@ def test_training_examples(spark, tmp_path):
     (tmp_path / "examples.json").write_text(json.dumps({"add": ["add it", " ", "put it in"], "clear": []}, indent=1))
     rows = storage.read_examples(spark, str(tmp_path / "examples.json")).collect()
     assert sorted(map(tuple, rows)) == [("add", 0, "add it"), ("add", 2, "put it in")]
+
+
+def test_staged_tables_of_former_runs_are_cleared(spark):
+    """Those of an age go; younger ones, indexes and other folders stay."""
+    import os
+    import time
+
+    folder = storage.shared_dir(spark)
+    number = "0123456789abcdef" * 2
+    names = [f"rankloom-old-{number}", f"rankloom-stream-x-{number}-checkpoint", f"rankloom-young-{number}", f"rankloom-index-{number}", "rankloom-old", f"other-{number}"]
+    for name in names:
+        spark.range(1).write.parquet(f"{folder}/{name}")
+        age = 0 if "young" in name else 5000 * 3600
+        os.utime(f"{folder}/{name}", (time.time() - age,) * 2)
+    mine = storage.staged(spark.range(3), "mine")
+    assert storage.clear_staged(spark, idle_hours=4000) == names[:2]
+    assert mine.count() == 3 and all(os.path.isdir(f"{folder}/{name}") for name in names[2:])
