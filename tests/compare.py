@@ -52,3 +52,24 @@ def assert_same(spark_df, sql: str, sf_dir: str) -> int:
     wrong = [(x, y) for x, y in zip(a, b) if x != y]
     assert not wrong, (len(wrong), wrong[:3])
     return len(a)
+
+
+def most_rows(df) -> int:
+    """Runs df and returns the most rows that a single operator of its plan has made."""
+    run = df._jdf.queryExecution()
+    run.toRdd().count()
+
+    def of(plan) -> int:
+        inner = [getattr(plan, step)() for kind, step in (("AdaptiveSparkPlanExec", "executedPlan"), ("QueryStageExec", "plan")) if plan.getClass().getSimpleName().endswith(kind)]
+        children = plan.children()
+        made = plan.metrics().get("numOutputRows")
+        return max([made.get().value() if made.isDefined() else 0, *map(of, inner), *(of(children.apply(i)) for i in range(children.size()))])
+
+    return of(run.executedPlan())
+
+
+def tables_of(spark, folder, parts) -> str:
+    """A folder with a part table of these (p_partkey, p_name, p_brand, p_type)."""
+    rows = [(k, n, b, t, k % 50, 900.0 + k % 7) for k, n, b, t in parts]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{folder}/part.parquet")
+    return str(folder)
