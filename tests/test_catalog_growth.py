@@ -18,3 +18,7 @@ def held(spark, folder, name, most, parts):
 
 def test_disambiguate_of_one_title(spark, tmp_path):
     held(spark, tmp_path, "disambiguate", 6 * N, [(i, "one title", f"b{i % 5}", "t") for i in range(N)])
+
+
+def test_entity_intersect_of_one_artist(spark, tmp_path):
+    held(spark, tmp_path, "entity_intersect", 10 * N, [(i, f"title {i}", "b", f"t{i // 2}") for i in range(N)])
