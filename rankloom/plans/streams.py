@@ -12,9 +12,12 @@ _ACTIONS = {"signup": "new", "click": "add", "purchase": "save", "view": "open",
 
 
 def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """A table as a stream of the files of its folder whose names fit."""
+    """A table as a stream of its files: of the one that it is, or of those in the folder that it is.
+
+    The name is a pattern that only itself fits, since Spark takes a plain path for a folder.
+    """
     schema = adapters.table(spark, sf_dir, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{table[0]}]{table[1:]}.parquet")
 
 
 def stream_turns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,3 +68,13 @@ def test_no_updates_save_no_list(spark, tmp_path):
         source = S.turn_source(spark, str(tmp_path / f"{name}/*"), schema)
         S.autosave(S.sessions(source), str(tmp_path / f"{name}-saved")).awaitTermination()
         assert S.saved_lists(spark, str(tmp_path / f"{name}-saved")).collect() == []
+
+
+def test_a_table_that_is_a_folder_streams_all_its_files(spark, sf_dir, tmp_path):
+    """Larger tables are folders of files."""
+    from rankloom.plans import registry
+
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    query = registry.queries()["stream_turns"]
+    wanted = sorted(map(tuple, query(spark, sf_dir).collect()))
+    assert wanted and sorted(map(tuple, query(spark, str(tmp_path)).collect())) == wanted
