@@ -155,6 +155,15 @@ def slots(asked: DataFrame, index: DataFrame, id_col: str = "query_id") -> DataF
     )
 
 
+def read(questions: DataFrame, index: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """slots of the questions about performers; equal questions are read once, so that what the joins of readings write
+    or send grows with the different texts."""
+    each = questions.select(id_col, F.col(text_col).alias("text")).where("text is not null").withColumn("class", F.md5(F.concat(F.length("text").cast("string"), F.lit(" "), "text")))
+    classes = staged(each.select("class", "text").distinct(), "classes")
+    found = staged(slots(parsed(classes, "class"), staged(index.select("kind", "name", "full"), "index"), "class"), "slots")
+    return each.select(id_col, "class").join(found, "class").drop("class")
+
+
 def _best(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, track_id, popularity): the CHOICES most popular tracks of each combination of names."""
     order = Window.partitionBy(*keys).orderBy(F.desc("popularity"), "track_id")

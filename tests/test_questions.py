@@ -83,3 +83,17 @@ def test_choices_stand_by_popularity(spark):
     tracks = spark.createDataFrame(rows, "track_id string, track_name array<string>, artist_name array<string>, album_name array<string>, popularity double, ord long")
     found = questions.answered(spark.createDataFrame([(1, "who sang echo?")], "query_id long, text string"), tracks).first()
     assert found["outcome"] == "choose" and list(found["track_ids"]) == ["t3", "t7", "t2", "t6", "t1"] and "1. Echo — Artist 3 (A)" in found["answer"]
+
+
+def test_equal_questions_are_read_once(spark, monkeypatch):
+    from rankloom.operators import questions, search
+
+    tracks = spark.createDataFrame([(str(i), [n], ["Ann Lee"], ["Blue"], 1.0, i) for i, n in enumerate(["Red Ring", "Old Bolt"])], "track_id string, track_name array<string>, artist_name array<string>, album_name array<string>, popularity double, ord long")
+    texts = ["Who sang Red Ring on the album Blue?", "who sang Old Bolt by Ann Lee", "Who sang it?", "no question"]
+    asked = spark.createDataFrame([(i, texts[i % 4]) for i in range(800)], "query_id long, text string")
+    index, sizes, plain = search.name_index(tracks), {}, questions.staged
+    wanted = {r["query_id"]: r for r in questions.slots(questions.parsed(asked.limit(4)), index).collect()}
+    monkeypatch.setattr(questions, "staged", lambda df, label: sizes.setdefault(label, plain(df, label)))
+    found = {r["query_id"]: r for r in questions.read(asked, index).collect()}
+    assert sizes["read"].count() == 2 and set(found) == {i for i in range(800) if i % 4 < 2}
+    assert all(tuple(r)[1:] == tuple(wanted[i % 4])[1:] for i, r in found.items())
