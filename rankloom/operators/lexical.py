@@ -172,7 +172,8 @@ def _scored(decimals: int, k: int):
 
 
 def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", query_col: str = "query_id", query_text: str = "query", decimals: int = 6, index: tuple[DataFrame, int, int] | None = None, pad: bool = False) -> DataFrame:
-    """(query_id, rank, item_id, score) of the documents that match, k at most for each query.
+    """(query_id, rank, item_id, score) of the documents that match, k at most for each query. Queries of the same terms
+    are answered once.
 
     Term weights are ln(1 + (N - df + .5) / (df + .5)) * tf / (tf + k1 (1 - b + b * dl / avgdl)); a term that a query
     repeats adds as often. Ties go to the smaller id. index is one of load_index, by default the shared one of these
@@ -182,6 +183,9 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", t
     spark = docs.sparkSession
     asked = terms(queries, query_col, query_text).select(F.col("id").alias("query_id"), "term", F.col("tf").alias("qtf"))
     postings, n, total = index if index is not None else shared_index(docs, id_col, text_col)
+    bags = asked.where("query_id is not null").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "qtf"))).alias("bag"))
+    whose = staged(bags.withColumn("same_as", F.md5(F.to_json("bag"))), "bags")
+    asked = whose.groupBy("same_as").agg(F.first("bag").alias("bag")).select(F.col("same_as").alias("query_id"), F.inline("bag"))
     asked = staged(asked.withColumn("bucket", _bucket("term")), "asked")
     buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # BUCKETS at most
     held = postings.where(F.col("bucket").isin(buckets)).join(asked.select("term").distinct(), "term", "left_semi")
@@ -193,7 +197,7 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", t
     weighed = staged(asked.join(df, "term").select("query_id", "term", weight.alias("weight")), "weights")
     bounds = staged(weighed.join(meta, "term").groupBy("query_id", "block").agg(F.sum(F.col("weight") * F.col("bound")).alias("bound"), F.max("n").alias("docs")), "reach")
     lists = held.select("block", "term", "ids", F.zip_with("tfs", "lengths", part).alias("parts"))
-    types = (queries.schema[query_col].dataType.simpleString(), docs.schema[id_col].dataType.simpleString())
+    types = ("string", docs.schema[id_col].dataType.simpleString())
 
     def scored(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select("query_id", "block").join(weighed, "query_id").join(meta.select("block", "term"), ["block", "term"], "left_semi")
@@ -209,7 +213,8 @@ def top_k(docs: DataFrame, queries: DataFrame, k: int, id_col: str = "doc_id", t
     slack = 10.0**-decimals
     rest = bounds.join(first, ["query_id", "block"], "left_anti").join(edge, "query_id", "left").where(F.coalesce(F.col("bound") >= F.col("edge") - slack, F.lit(True)))
     both = sure.unionByName(scored(staged(rest, "other-blocks")))
-    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, k)).select("query_id", "rank", "item_id", "score")
+    ranked = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(0, k)).select(F.col("query_id").alias("same_as"), "rank", "item_id", "score")
+    ranked = whose.select("query_id", "same_as").join(ranked, "same_as").select("query_id", "rank", "item_id", "score")
     return _padded(staged(ranked, "ranked"), docs, queries, k, id_col, query_col) if pad else ranked
 
 

@@ -102,3 +102,18 @@ def test_only_the_buckets_of_the_terms_are_read(spark):
     assert [tuple(r)[:3] for r in lexical.top_k(strings, asked, 5).collect()] == [("q", 1, "7")]
     none = docs.where("1 = 0")
     assert lexical.top_k(none, asked, 5).count() == 0 and lexical.top_k(docs, asked.where("1 = 0"), 5).count() == 0
+
+
+def test_queries_of_the_same_terms_are_answered_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} ring old{i % 3}") for i in range(60)], "doc_id long, text string")
+    texts = ["ring word3", "word3 the ring!", "old1", "word3 ring ring"]
+    queries = spark.createDataFrame([(i, texts[i % 4]) for i in range(400)], "query_id long, query string")
+    written, plain = {}, lexical.staged
+    monkeypatch.setattr(lexical, "staged", lambda df, label: written.setdefault(label, plain(df, label)))
+    found = {}
+    for r in lexical.top_k(docs, queries, 5).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["item_id"], r["score"]))
+    blocks = written["bounds"].select("block").distinct().count()
+    assert written["reach"].count() <= 3 * blocks
+    assert len(found) == 400 and all(sorted(found[i]) == sorted(found[i % 4]) for i in found)
+    assert sorted(found[0]) == sorted(found[1]) != sorted(found[3])
