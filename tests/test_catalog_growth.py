@@ -26,3 +26,7 @@ def test_entity_intersect_of_one_artist(spark, tmp_path):
 
 def test_entity_union_of_one_artist(spark, tmp_path):
     held(spark, tmp_path, "entity_union", 10 * N, [(i, f"title {i}", "b", f"t{i // 2}") for i in range(N)])
+
+
+def test_exact_or_all_of_one_word(spark, tmp_path):
+    held(spark, tmp_path, "exact_or_all", N * N // 3 + 10 * N, [(i, f"title {i}", "b", "t") for i in range(N)])
