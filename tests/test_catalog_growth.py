@@ -44,3 +44,13 @@ def test_remove_by_text_of_one_artist(spark, tmp_path, monkeypatch):
     # of the twenty most popular tracks of the title the first, if the artist is named, else five
     best = lambda i: [str(k) for k in sorted(range(i % 2, N, 2), key=lambda k: (-(k % 7), k))]
     assert all((r["outcome"], list(r["track_ids"])) == (("removed", best(r["query_id"])[:1]) if r["query_id"] % 2 == 0 else ("choose", best(r["query_id"])[:5])) for r in found)
+
+
+def test_entity_mentions_never_carry_the_ids_of_a_name(spark, tmp_path, monkeypatch):
+    from rankloom.operators import search
+
+    given, plain = [], search.mentions
+    monkeypatch.setattr(search, "mentions", lambda messages, index: given.extend(index.columns) or plain(messages, index))
+    sf_dir = tables_of(spark, tmp_path, [(i, f"ring {i % 3}", "b", "t") for i in range(60)])
+    found = QUERIES["entity_mentions"](spark, sf_dir).collect()
+    assert "track_ids" not in given and {(r["kind"], r["tracks"]) for r in found} == {("title", 20), ("artist", 60), ("album", 60)}
