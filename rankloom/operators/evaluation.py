@@ -25,6 +25,21 @@ def ndcg(ranking: DataFrame, gold: DataFrame, depths: Sequence[int] = DEPTHS, ke
     """
     wanted = gold.distinct().groupBy(*keys).agg(F.count("*").alias("golds"))
     hits = ranking.groupBy(*keys, "item_id").agg(F.min("rank").alias("rank")).join(gold.distinct(), [*keys, "item_id"])
+    return _gains(hits, wanted, depths, keys)
+
+
+def ndcg_by_label(ranking: DataFrame, queries: DataFrame, items: DataFrame, depths: Sequence[int] = DEPTHS) -> DataFrame:
+    """(query_id, ndcg_k ...) of ndcg where the gold items of a query (query_id, label) are all items (item_id, label) of
+    its label: these are counted by label and met by what was found, never paired."""
+    sizes = items.select("item_id", "label").distinct().groupBy("label").agg(F.count("*").alias("golds"))
+    asked = queries.select("query_id", "label").distinct()
+    wanted = asked.join(sizes, "label").groupBy("query_id").agg(F.sum("golds").alias("golds"))
+    found = ranking.groupBy("query_id", "item_id").agg(F.min("rank").alias("rank"))
+    hits = found.join(items.select("item_id", "label").distinct(), "item_id").join(asked, ["query_id", "label"])
+    return _gains(hits, wanted, depths, ["query_id"])
+
+
+def _gains(hits: DataFrame, wanted: DataFrame, depths: Sequence[int], keys: Sequence[str]) -> DataFrame:
     sums = hits.groupBy(*keys).agg(*(F.sum(F.when(F.col("rank") <= k, gain(F.col("rank"))).otherwise(0.0)).alias(f"dcg_{k}") for k in depths))
     rows = wanted.join(sums, list(keys), "left")
     return rows.select(*keys, *((F.coalesce(F.col(f"dcg_{k}"), F.lit(0.0)) / best_gain(F.col("golds"), k)).alias(f"ndcg_{k}") for k in depths))
