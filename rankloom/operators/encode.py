@@ -21,16 +21,29 @@ class HashingEncoder:
     It is no language model; it stands where one can be hooked in, and puts texts that share words close together.
     """
 
-    def __init__(self, dim: int = 64, seed: int = 42):
+    def __init__(self, dim: int = 64, seed: int = 42, words: int = 100_000):
         self.dim, self.seed = dim, seed
+        self.known: dict[str, int] = {}  # the words seen and their rows; they are forgotten when `words` are known
+        self.rows = np.zeros((words + MAX_WORDS, dim))
+        self.words = words
+
+    def word(self, word: str) -> int:
+        at = self.known[word] = len(self.known)
+        row = self.rows[at]
+        row[:] = 0.0
+        for piece in (word, *(f"<{word}>"[i : i + 3] for i in range(len(word)))):
+            h = xxhash.xxh64_intdigest(piece.encode(), self.seed)
+            row[(h >> 1) % self.dim] += 1.0 if h & 1 else -1.0
+        return at
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            for word in re.findall(r"\w+", text.lower())[:MAX_WORDS]:
-                for piece in (word, *(f"<{word}>"[i : i + 3] for i in range(len(word)))):
-                    h = xxhash.xxh64_intdigest(piece.encode(), self.seed)
-                    row[(h >> 1) % self.dim] += 1.0 if h & 1 else -1.0
+            if len(self.known) >= self.words:
+                self.known.clear()
+            found = re.findall(r"\w+", text.lower())[:MAX_WORDS]
+            at = [self.known[w] if w in self.known else self.word(w) for w in found]
+            row[:] = self.rows[at].sum(axis=0) if at else 0.0
         return out
 
 
