@@ -82,6 +82,12 @@ def diversity_rerank(ranking: DataFrame, times: DataFrame, turns: Column | float
     return _ranked(rows, keys, kept, F.desc("score"), "before")
 
 
+def met(ranking: DataFrame, reservoir: DataFrame, times: DataFrame, turns: Column | float) -> DataFrame:
+    """(query_id, item_id, r1, r2, novelty): what a list and its reservoir hold, which no parameter of the stages changes."""
+    slim = lambda df: df.select(*KEYS, "rank", "item_id")
+    return _novel(_merged(slim(ranking), slim(reservoir), KEYS), times, turns).select(*KEYS, "item_id", "r1", "r2", "novelty")
+
+
 def candidate_expansion(
     ranking: DataFrame, reservoir: DataFrame, times: DataFrame, turns: Column | float, protect: Column | int, replacements: Column | int, weight: Column | float, start: Column | int = 21, end: Column | int = 100, keys: Sequence[str] = KEYS
 ) -> DataFrame:
@@ -91,7 +97,11 @@ def candidate_expansion(
     list's own end again.
     """
     cfg = [c for c in ranking.columns if c not in (*keys, "rank", "item_id", "score")]
-    rows = _novel(_merged(ranking, reservoir, keys, cfg), times, turns)
+    return expanded(_novel(_merged(ranking, reservoir, keys, cfg), times, turns), protect, replacements, weight, start, end, keys)
+
+
+def expanded(rows: DataFrame, protect: Column | int, replacements: Column | int, weight: Column | float, start: Column | int = 21, end: Column | int = 100, keys: Sequence[str] = KEYS) -> DataFrame:
+    """candidate_expansion of rows as `met` gives them, or of these crossed with configurations."""
     rows = rows.withColumn("n", F.count("r1").over(Window.partitionBy(*keys)))
     swapped = F.greatest(F.lit(0), F.least(_param(replacements), F.col("n") - F.least(_param(protect), F.col("n"))))
     rows = rows.withColumn("swapped", swapped)
@@ -116,8 +126,13 @@ def selective_rerank(
     where it has one. Winners stand in the order of their ranks, not of their scores.
     """
     cfg = [c for c in ranking.columns if c not in (*keys, "rank", "item_id", "score")]
+    return selected(_novel(_merged(ranking, reservoir, keys, cfg), times, turns), protect, weight, bonus, start, end, keys)
+
+
+def selected(rows: DataFrame, protect: Column | int, weight: Column | float, bonus: Column | float, start: Column | int, end: Column | int = 100, keys: Sequence[str] = KEYS) -> DataFrame:
+    """selective_rerank of rows as `met` gives them, or of these crossed with configurations."""
     p = _param(protect)
-    rows = _novel(_merged(ranking, reservoir, keys, cfg), times, turns).withColumn("n", F.count("r1").over(Window.partitionBy(*keys)))
+    rows = rows.withColumn("n", F.count("r1").over(Window.partitionBy(*keys)))
     fixed = F.coalesce(F.col("r1") <= p, F.lit(False))
     own = F.col("r1").isNotNull()
     rows = rows.where(own | F.col("r2").between(_param(start), _param(end)))

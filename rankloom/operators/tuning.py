@@ -13,6 +13,7 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.operators import evaluation, ranking
+from rankloom.operators.groups import dealt, parts
 from rankloom.sources.storage import staged
 
 CONFIG_KEYS = ("config_id", "query_id")
@@ -77,15 +78,23 @@ def diversity(base: DataFrame, times: DataFrame, gold: DataFrame, configs: DataF
 def expansion(base: DataFrame, reservoir: DataFrame, times: DataFrame, gold: DataFrame, configs: DataFrame, catalog_size: int, turns: int) -> DataFrame:
     """Scores of (config_id, protect, replacements, weight) of candidate expansion, those that fit a list of 20."""
     fits = configs.where("protect + replacements <= 20")
-    slim = lambda df: crossed(df.select("query_id", "rank", "item_id"), fits)
-    out = ranking.candidate_expansion(slim(base), slim(reservoir), times, turns, F.col("protect"), F.col("replacements"), F.col("weight"), keys=CONFIG_KEYS)
+    rows = _tried(base, reservoir, times, turns, fits)
+    out = ranking.expanded(rows, F.col("protect"), F.col("replacements"), F.col("weight"), keys=CONFIG_KEYS)
     return evaluation.score_configs(out, gold, catalog_size, turns)
 
 
+def _tried(base: DataFrame, reservoir: DataFrame, times: DataFrame, turns: int, configs: DataFrame) -> DataFrame:
+    """What lists and reservoirs hold, with every configuration: lists meet their reservoirs once and are dealt by query,
+    to as many partitions as their rows need, before they are crossed, so that no crossed row is shuffled."""
+    rows = staged(ranking.met(base, reservoir, times, turns), "met")
+    n = parts(rows.sparkSession, rows.count() * configs.count())
+    return crossed(dealt(rows, n, "query_id"), configs)
+
+
 def selective(base: DataFrame, reservoir: DataFrame, times: DataFrame, gold: DataFrame, configs: DataFrame, catalog_size: int, turns: int) -> DataFrame:
     """Scores of (config_id, protect, start, weight, bonus) of selective expansion."""
-    slim = lambda df: crossed(df.select("query_id", "rank", "item_id"), configs)
-    out = ranking.selective_rerank(slim(base), slim(reservoir), times, turns, F.col("protect"), F.col("weight"), F.col("bonus"), F.col("start"), keys=CONFIG_KEYS)
+    rows = _tried(base, reservoir, times, turns, configs)
+    out = ranking.selected(rows, F.col("protect"), F.col("weight"), F.col("bonus"), F.col("start"), keys=CONFIG_KEYS)
     return evaluation.score_configs(out, gold, catalog_size, turns)
 
 
