@@ -5,6 +5,7 @@ import random
 import pytest
 from compare import canonical, sql_rows, tables_of
 
+from rankloom.operators import selection
 from rankloom.plans import registry
 
 QUERIES, SQL = registry.queries(), registry.oracle_sql()
@@ -37,7 +38,7 @@ def sf_dir(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["build_playlist"])
+@pytest.mark.parametrize("name", ["explain_recs", "build_playlist"])
 def test_as_sql_says(spark, sf_dir, name):
     sql = SQL[name]
     for t in ("part", "lineitem"):
@@ -45,6 +46,28 @@ def test_as_sql_says(spark, sf_dir, name):
     assert canonical(QUERIES[name](spark, sf_dir).toPandas()) == canonical(sql_rows(sql, ""))
 
 
-@pytest.mark.parametrize("name", ["build_playlist"])
+@pytest.mark.parametrize("name", ["explain_recs", "build_playlist"])
 def test_candidates_of_a_pool_are_shuffled_once_for_all_lists(spark, sf_dir, name):
     assert shuffled_rows(QUERIES[name](spark, sf_dir)) < 20 * LISTS
+
+
+def test_reasons_by_pool_and_by_list(spark):
+    rng = random.Random(7)
+    tracks = [str(i) for i in range(40)]
+    kinds = {kind: spark.createDataFrame([(t, f) for t in tracks for f in rng.sample("abcdefgh", rng.randint(0, 5))], "track_id string, feature string") for kind in ("one", "two")}
+    seeds = spark.createDataFrame([(k, rng.choice(tracks)) for k in range(60) for _ in range(rng.randint(0, 4))], "id long, track_id string")
+    lists = spark.createDataFrame([(k, k % 9) for k in range(60)], "id long, pool long")
+    pools = spark.createDataFrame([(p, n, rng.choice([*tracks, "unknown", None])) for p in range(9) for n in range(12)], "pool long, rank int, track_id string")
+    whole = selection.reasons(pools.join(lists, "pool").drop("pool"), seeds, kinds).select("id", "rank", "track_id", "one", "two")
+    for parts in (None, 5):
+        assert canonical(selection.reasons(pools, seeds, kinds, parts=parts, lists=lists).toPandas()) == canonical(whole.toPandas())
+    own, at = {}, {k: {} for k in kinds}
+    for kind, rows in kinds.items():
+        for r in rows.collect():
+            at[kind].setdefault(r["track_id"], set()).add(r["feature"])
+    for r in seeds.collect():
+        for kind in kinds:
+            own.setdefault((r["id"], kind), set()).update(at[kind].get(r["track_id"], set()))
+    for r in whole.collect():
+        for kind in kinds:
+            assert (r[kind] or "") == ", ".join(sorted(at[kind].get(r["track_id"], set()) & own.get((r["id"], kind), set()))[:3])
