@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,20 +12,21 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-#: Texts that go through an encoder at once, and the words of a text that it reads at most.
-BATCH, MAX_WORDS = 256, 512
+#: Texts that go through an encoder at once, and words of a text whose rows the default encoder sums at once.
+BATCH, WORDS = 256, 512
 
 
 class HashingEncoder:
     """Sums signed hashes of words and of their runs of three characters: the same vectors on every machine.
 
-    It is no language model; it stands where one can be hooked in, and puts texts that share words close together.
+    It is no language model; it stands where one can be hooked in, and puts texts that share words close together. It reads
+    all words of a text, some at a time; the sums are of whole numbers, so their order does not count.
     """
 
     def __init__(self, dim: int = 64, seed: int = 42, words: int = 100_000):
         self.dim, self.seed = dim, seed
         self.known: dict[str, int] = {}  # the words seen and their rows; they are forgotten when `words` are known
-        self.rows = np.zeros((words + MAX_WORDS, dim))
+        self.rows = np.zeros((words + WORDS, dim))
         self.words = words
 
     def word(self, word: str) -> int:
@@ -39,11 +41,11 @@ class HashingEncoder:
     def __call__(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            if len(self.known) >= self.words:
-                self.known.clear()
-            found = re.findall(r"\w+", text.lower())[:MAX_WORDS]
-            at = [self.known[w] if w in self.known else self.word(w) for w in found]
-            row[:] = self.rows[at].sum(axis=0) if at else 0.0
+            found = (m.group() for m in re.finditer(r"\w+", text.lower()))
+            while some := list(islice(found, WORDS)):
+                if len(self.known) >= self.words:
+                    self.known.clear()
+                row += self.rows[[self.known[w] if w in self.known else self.word(w) for w in some]].sum(axis=0)
         return out
 
 
