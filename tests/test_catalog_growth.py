@@ -2,6 +2,7 @@
 
 import pytest
 from compare import canonical, most_rows, sql_rows, tables_of
+from pyspark.sql import functions as F
 
 from rankloom.plans import registry
 
@@ -54,3 +55,30 @@ def test_entity_mentions_never_carry_the_ids_of_a_name(spark, tmp_path, monkeypa
     sf_dir = tables_of(spark, tmp_path, [(i, f"ring {i % 3}", "b", "t") for i in range(60)])
     found = QUERIES["entity_mentions"](spark, sf_dir).collect()
     assert "track_ids" not in given and {(r["kind"], r["tracks"]) for r in found} == {("title", 20), ("artist", 60), ("album", 60)}
+
+
+def shares(found, folder) -> list[int]:
+    """How many rows the tasks that write found make, checked to be few bytes a row."""
+    found.write.parquet(f"{folder}/out")
+    assert sum(f.stat().st_size for f in folder.glob("out/*.parquet")) < 0.25 * (n := found.count())
+    counts = sorted(r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert sum(counts) == n
+    return counts
+
+
+def test_exact_or_all_makes_the_pairs_of_one_word_in_many_tasks(spark, tmp_path):
+    sf_dir = tables_of(spark, tmp_path, [(i, f"title {i}", "b", "t") for i in range(4 * N)])
+    counts = shares(QUERIES["exact_or_all"](spark, sf_dir), tmp_path)
+    assert sum(counts) == (4 * N) ** 2 // 3 + 4 * N * 2 // 3 and counts[-1] <= sum(counts) * 0.75
+
+
+def test_pairs_of_blocks_keep_nulls_and_repeats(spark, monkeypatch):
+    from rankloom.operators import search
+
+    for name, size in (("PART", 7), ("HELD", 3), ("ASKED", 2), ("PAIRS", 50)):
+        monkeypatch.setattr(search, name, size)
+    ids = lambda n: [None if i % 11 == 0 else i % 25 for i in range(n)]
+    asked, held = [(k, q) for k in ("a", "b", None) for q in ids(40)], [(k, None if t is None else f"t{t}") for k in ("a", "c", None) for t in ids(30)]
+    found = search.spread_join(spark.createDataFrame(asked, "word string, query_id long"), spark.createDataFrame(held, "word string, track_id string"), ["word"], "query_id").collect()
+    wanted = [(q, t) for k, q in asked for w, t in held if k == w == "a"]
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, wanted))
