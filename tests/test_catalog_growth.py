@@ -72,6 +72,12 @@ def test_exact_or_all_makes_the_pairs_of_one_word_in_many_tasks(spark, tmp_path)
     assert sum(counts) == (4 * N) ** 2 // 3 + 4 * N * 2 // 3 and counts[-1] <= sum(counts) * 0.75
 
 
+def test_entity_intersect_makes_the_pairs_of_two_names_in_many_tasks(spark, tmp_path):
+    sf_dir = tables_of(spark, tmp_path, [(i, f"title {i}", "b", f"t{i % 2}") for i in range(4 * N)])
+    counts = shares(QUERIES["entity_intersect"](spark, sf_dir), tmp_path)
+    assert sum(counts) == 8 * N * N and counts[-1] <= sum(counts) * 0.75
+
+
 def test_pairs_of_blocks_keep_nulls_and_repeats(spark, monkeypatch):
     from rankloom.operators import search
 
