@@ -4,6 +4,7 @@ import random
 
 import pytest
 from compare import canonical, sql_rows, tables_of
+from pyspark.sql import functions as F
 
 from rankloom.operators import selection
 from rankloom.plans import registry
@@ -71,3 +72,35 @@ def test_reasons_by_pool_and_by_list(spark):
     for r in whole.collect():
         for kind in kinds:
             assert (r[kind] or "") == ", ".join(sorted(at[kind].get(r["track_id"], set()) & own.get((r["id"], kind), set()))[:3])
+
+
+@pytest.mark.parametrize("name", ["playlist_scores", "playlist_select"])
+def test_scores_are_as_sql_says(spark, sf_dir, name):
+    sql = SQL[name]
+    for t in ("part", "lineitem"):
+        sql = sql.replace(f"FROM {t}", f"FROM read_parquet('{sf_dir}/{t}.parquet/*.parquet')")
+    assert canonical(QUERIES[name](spark, sf_dir).toPandas()) == canonical(sql_rows(sql, ""))
+
+
+@pytest.mark.parametrize("name", ["playlist_scores", "playlist_select"])
+def test_candidates_are_scored_where_their_list_is(spark, sf_dir, name):
+    assert shuffled_rows(QUERIES[name](spark, sf_dir)) < 20 * LISTS
+
+
+def test_scores_by_pool_and_by_list(spark):
+    rng = random.Random(11)
+    ids = [str(i) for i in range(40)]
+    tracks = spark.createDataFrame([(t, [f"b{int(t) % 6}"]) for t in ids], "track_id string, artist_name array<string>")
+    styles = spark.createDataFrame([(t, f, float(rng.randint(1, 2))) for t in ids for f in rng.sample("abcdef", rng.randint(0, 3))], "track_id string, feature string, weight double")
+    tags = spark.createDataFrame([(t, "mood", rng.choice("xyz")) for t in ids], "track_id string, kind string, feature string")
+    wanted = spark.createDataFrame([(k, "mood", rng.choice("xyz")) for k in range(60)], "id long, kind string, feature string")
+    seeds = spark.createDataFrame([(k, rng.choice([*ids, "unknown"])) for k in range(60) for _ in range(rng.randint(1, 4))], "id long, track_id string")
+    pools = spark.createDataFrame([(p, n, t) for p in range(9) for n, t in enumerate(rng.sample(ids, 12), 1)], "pool long, rank int, track_id string")
+    each = pools.join(spark.createDataFrame([(k, k % 9) for k in range(60)], "id long, pool long"), "pool").drop("pool")
+    for asked in (None, wanted):
+        for parts in (None, 5):
+            whole = selection.playlist_scores(each, seeds, tracks, styles, tags, asked, parts=parts)
+            by_pool = selection.playlist_scores(pools, seeds, tracks, styles, tags, asked, parts=parts, pool=F.col("id") % 9)
+            assert canonical(by_pool.toPandas()) == canonical(whole.toPandas())
+            chosen = selection.select_matches(by_pool, tracks, 5, parts=parts, placed=asked is None)
+            assert canonical(chosen.toPandas()) == canonical(selection.select_matches(whole, tracks, 5, parts=parts).toPandas())
