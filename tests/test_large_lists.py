@@ -48,6 +48,22 @@ def test_blocks_hold_whole_groups(spark):
     assert sorted(r["n"] for r in groups.by_block(rows, ["k"], ["v"], sizes, "n long").collect()) == wanted
 
 
+def test_blocks_of_placed_rows_are_neither_dealt_nor_sorted(spark):
+    """Rows made from one row each stand together, however many of them a batch has."""
+    rows = spark.range(4000).repartition(6, "id").selectExpr("if(id % 100 = 0, null, id) as k", "id as list", "sequence(1, cast(1 + id * 7 % 23 as int)) as ranks")
+    rows = rows.where("k is not null or id = 500").selectExpr("k", "list", "explode(ranks) as rank")
+
+    def groups_of(t, starts):
+        at = np.append(starts, t.num_rows)
+        assert all(t.column("rank").to_pylist()[a:b] == list(range(1, b - a + 1)) for a, b in zip(at[:-1], at[1:]))
+        return pa.table({"list": t.column("list").take(pa.array(starts)), "n": pa.array(np.diff(at))})
+
+    found = groups.by_block(rows, ["k"], ["rank"], groups_of, "list long, n long", placed=True)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, rows.groupBy("list").count().collect()))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and plan.count("Repartition") == 1
+
+
 def test_diverse_choice_of_lists_of_all_sizes(spark):
     rng = random.Random(3)
     names = ["rock", "jazz", "pop", "calm", "dark"]
